@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the Python workers, once per Spark context, so that they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_plumbline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="plumbline-ship-")) / "plumbline.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._plumbline_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark opens the path, so any store that Spark reads will do."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -117,3 +134,17 @@ class WordHashes(dict):
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, label 0/1) of at most `most` labelled documents of each class, the same on every run: those of the
+    smallest hash of their id. Only labels with an id and a value count; of several for one id the largest.
+    train: a condition on id_col that says which ids may be learned from."""
+    ids = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
+    if train is not None:
+        ids = labels.where(train).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
+    ids = ids.groupBy("_id").agg(F.max("_y").alias("_y"))
+    order = [F.xxhash64("_id"), F.col("_id")]
+    picked = ids.where("_y = 0").orderBy(*order).limit(most).unionByName(ids.where("_y = 1").orderBy(*order).limit(most))
+    one = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")  # 2 * most rows at most
+    return one.groupBy("_id").agg(F.min(F.coalesce("_text", F.lit(""))).alias("text"), F.max("_y").alias("label")).orderBy("_id").select("text", "label")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
-from .common import read_table
+from .common import id_bucket, read_table
+from .quality import fit_quality, quality_scores
+from .toxicity import fit_toxicity, toxicity_scores
 
 #: Where the public vocabulary files lie; a parameter of the queries below.
 TOKENIZERS = "/opt/tokenizers"
@@ -25,7 +27,23 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learned from the labels of documents that aren't held out."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels, train=id_bucket("doc_id", 5) != 0)
+    return quality_scores(docs, model).select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learned from the labels of documents that aren't held out."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels, train=id_bucket("doc_id", 3) != 1)
+    return toxicity_scores(docs, model).select("doc_id", (id_bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
     "op9_bpe": op9_bpe,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
