@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .common import id_bucket, read_table
+from .neardup import near_duplicates
 from .quality import fit_quality, quality_scores
 from .toxicity import fit_toxicity, toxicity_scores
 
@@ -41,8 +42,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, model).select("doc_id", (id_bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: three-word shingles, similarity 0.85 or more."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
+    "op5_near_duplicates": op5_near_duplicates,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
 }
