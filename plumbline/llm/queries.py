@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .common import id_bucket, read_table
+from .html import extract_main_text
+from .media import media_columns
 from .neardup import near_duplicates
 from .quality import fit_quality, quality_scores
 from .toxicity import fit_toxicity, toxicity_scores
@@ -47,9 +49,32 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_main_text(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as sound: digests of the samples read back, of the file, and of its fingerprint."""
+    made = media_columns(read_table(spark, sf_dir, "documents"))
+    prints = F.array_join(F.col("fingerprint").cast("array<string>"), ",")
+    return made.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.size("fingerprint").cast("string"), F.sha2(prints, 256)).alias("feature"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
     "op3_toxicity": op3_toxicity,
     "op5_near_duplicates": op5_near_duplicates,
+    "op8_media": op8_media,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
 }
