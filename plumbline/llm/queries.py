@@ -12,6 +12,7 @@ from .common import id_bucket, read_table
 from .html import extract_main_text
 from .media import media_columns
 from .neardup import near_duplicates
+from .pii import pseudonymise
 from .quality import fit_quality, quality_scores
 from .toxicity import fit_toxicity, toxicity_scores
 
@@ -70,9 +71,20 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Key of the pseudonyms; a deployment sets its own.
+PII_KEY = "plumbline-example-key"
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data as pseudonyms."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, PII_KEY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op3_toxicity": op3_toxicity,
+    "op4_pii": op4_pii,
     "op5_near_duplicates": op5_near_duplicates,
     "op8_media": op8_media,
     "op9_bpe": op9_bpe,
