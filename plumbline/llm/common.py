@@ -112,6 +112,16 @@ def slices(batch: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
+def filter_rows(docs: DataFrame, text_col: str, stays: Callable[[pa.Array], list[bool]]) -> DataFrame:
+    """The rows of docs whose text stays; all columns as they are, whatever their names and types."""
+    at = docs.columns.index(text_col)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(stays(batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(by_batch(work, 8 << 20), docs.schema)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit hashes (splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, by_batch, mix64, text_bytes
@@ -222,3 +222,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     out = signed.select("_id", "n").join(settled, "_id", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
     scratch.drop(in_buckets, full, bucket, central)
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each near-duplicate group, that of the smallest id; columns stay as they are. Rows
+    with a null id stay; of several rows with the same id one stays (the one with the smallest text hash)."""
+    scratch = Scratch(docs.sparkSession, "dropped")
+    found = scratch.keep(near_duplicates(docs, shingle, percent, id_col, text_col).select(F.col(id_col).alias("_dropped"), "kept"))
+    out = docs.join(found.where("not kept").select("_dropped").distinct(), docs[id_col] == F.col("_dropped"), "left_anti")
+    if found.where("_dropped is not null").groupBy("_dropped").count().where("count > 1").isEmpty():
+        return out
+    rank = Window.partitionBy(F.col(id_col)).orderBy(F.sha2(F.col(text_col), 256))
+    ranked = out.where(F.col(id_col).isNotNull()).withColumn("_rank_in_id", F.row_number().over(rank)).where("_rank_in_id = 1").drop("_rank_in_id")
+    return ranked.unionByName(out.where(F.col(id_col).isNull()))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, labelled_sample, text_bytes
+from .common import by_batch, filter_rows, labelled_sample, text_bytes
 
 #: Classes of bytes whose shares are statistics.
 CLASSES = {
@@ -168,3 +168,9 @@ def quality_scores(docs: DataFrame, model: Forest, id_col: str = "doc_id", text_
 
     kinds = ", ".join(f"`{n}` {picked.schema[n].dataType.simpleString()}" for n in wanted)
     return picked.mapInArrow(by_batch(work), f"{kinds}, score double")
+
+
+def keep_quality(docs: DataFrame, model: Forest, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text scores at least `least`; columns stay as they are. One pass, no shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_rows(docs, text_col, lambda texts: (held.value.score(document_statistics(text_bytes(texts))) >= least).tolist())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .common import id_bucket, read_table
+from .decontaminate import benchmark_hits
 from .html import extract_main_text
 from .media import media_columns
 from .neardup import near_duplicates
@@ -81,8 +82,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, PII_KEY)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages, with the passage and how near it is."""
+    return benchmark_hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
+    "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
     "op5_near_duplicates": op5_near_duplicates,

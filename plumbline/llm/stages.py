@@ -1,3 +1,45 @@
-"""The stages of the training-data pipeline."""
+"""The stages of the training-data pipeline: each takes (spark, docs, sf_dir)."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .bpe import bpe_round_trip
+from .common import read_table
+from .decontaminate import decontaminate
+from .neardup import drop_near_duplicates
+from .pii import pseudonymise
+from .quality import fit_quality, keep_quality
+from .queries import PII_KEY, TOKENIZERS
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels of documents, scores 0.3 or more."""
+    model = fit_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return keep_quality(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become pseudonyms; n_chars follows the text."""
+    out = pseudonymise(docs, PII_KEY, count_col=None)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the text that they decode to."""
+    coded = bpe_round_trip(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("bpe", bpe)]
