@@ -13,6 +13,7 @@ from .decontaminate import benchmark_hits
 from .html import extract_main_text
 from .media import media_columns
 from .neardup import near_duplicates
+from .ppm import score_texts
 from .pii import pseudonymise
 from .quality import fit_quality, quality_scores
 from .toxicity import fit_toxicity, toxicity_scores
@@ -87,12 +88,20 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document, by partial matching and by unigrams, learned from those not held out."""
+    held_out = id_bucket("doc_id", 5) == 1
+    scored = score_texts(read_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
     "op5_near_duplicates": op5_near_duplicates,
+    "op7_lm": op7_lm,
     "op8_media": op8_media,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
