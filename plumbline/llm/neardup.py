@@ -6,8 +6,8 @@
 3. In large buckets a representative stays only if shingles that another candidate shares make up enough of its
    set; otherwise nothing can be similar enough to it, which loses no link.
 4. Within a bucket candidates are a star around one member. Links are confirmed on full sets and merged into
-   components. Buckets that still hold several components get another star; pairs that then remain across
-   components of a bucket are all tried, so the star shape loses no link.
+   components. Buckets that still hold several components get another star; what can then remain between
+   components is found exactly, by the rarest shingles of each set, so the star shape loses no link.
 """
 
 from __future__ import annotations
@@ -134,6 +134,31 @@ def components(links: DataFrame, scratch: Scratch, known: DataFrame | None = Non
             return labels.select("node", "comp")
 
 
+def remaining_pairs(full: DataFrame, members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): all pairs of members (rep, comp) of different components that can reach the similarity.
+
+    A set's shingles are taken from the rarest to the commonest among the members. Two sets that reach it share
+    one of the first n - ceil(n * percent / 100) + 1, and from the first one they share enough are left in both
+    sets for the intersection that their sizes call for. Members that share a shingle and are of its commonest
+    component are not paired with each other, so a large component costs as many rows as it has members.
+    """
+    told = scratch.keep(full.join(members, "rep").select("rep", "n", "comp", F.explode("s").alias("h")))
+    common = told.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("c > 1")
+    shared = told.join(common, "h").groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("c", "h", (F.col("lo") <> F.col("hi")).alias("mixed")))).alias("x"))
+    # those of no other member come first; then the shared ones in order
+    place = shared.select("rep", "n", "comp", F.posexplode("x").alias("k", "t")).join(shared.select("rep", F.size("x").alias("m")), "rep")
+    place = place.withColumn("left", F.col("m") - F.col("k")).where(f"t.mixed and 100 * left >= {percent} * n")
+    place = scratch.keep(place.select(F.col("t.h").alias("h"), "rep", "n", "comp", "left"))
+    per_comp = place.groupBy("h", "comp").agg(F.count("*").alias("c"))
+    main = per_comp.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("x"), F.count("*").alias("comps")).where("comps > 1").select("h", F.col("x.comp").alias("c0"))
+    open_ = place.join(main, "h")
+    few = open_.where("comp <> c0").select("h", F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("comp").alias("c1"), F.col("left").alias("left1"))
+    all_ = open_.select("h", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("c2"), F.col("left").alias("left2"))
+    enough = F.expr(f"{100 + percent} * least(left1, left2) >= {percent} * (n1 + n2)")
+    both = (few["h"] == all_["h"]) & (F.col("c1") != F.col("c2")) & enough
+    return few.join(all_, both).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", large_bucket: int = 12, stars: int = 2) -> DataFrame:
     """Groups of documents linked by Jaccard similarity >= percent / 100 of their sets of `shingle` words.
 
@@ -175,41 +200,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         both = F.size(F.array_intersect("s1", "s2"))
         return pairs.select("a", "b").join(a, "a").join(b, "b").where(100 * both >= percent * (F.col("n1") + F.col("n2") - both)).select("a", "b")
 
+    def now_labelled(of: DataFrame) -> DataFrame:
+        if labels is None:
+            return of.withColumn("comp", F.col("rep"))
+        return of.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
     links, tried, labels = None, None, None
     for turn in range(stars + 1):
-        now = bucket
-        if labels is None:
-            now = now.withColumn("comp", F.col("rep"))
-        else:
-            now = now.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-            open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            now = now.join(open_keys, "key")
-        now = now.select("key", "rep", "n", "share", "comp")
-        left = now.select("key", F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("comp").alias("c1"), F.col("share").alias("share1"))
-        right = now.select("key", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
+        now = now_labelled(bucket)
+        spread = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("hi")).where("c0 <> hi").select("key", "c0")
+        now = scratch.keep(now.join(spread, "key").select("key", "rep", "n", "share", "comp", "c0"))
         if turn < stars:
-            # first the member that shares most; then that of the members not yet linked to the smallest component
-            rank = F.struct(-F.col("share1"), F.col("a"))
-            if turn:
-                first = now.groupBy("key").agg(F.min("comp").alias("c0"))
-                centre = left.join(first, "key").where("c1 <> c0").groupBy("key").agg(F.min(F.struct(rank.alias("r"), "a", "n1", "c1")).alias("x"))
-            else:
-                centre = left.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "a", "n1", "c1")).alias("x"))
-            pairs = centre.select("key", "x.a", "x.n1", "x.c1").join(right, "key")
+            # first the member that shares most; then that of the members not linked to the smallest component
+            rank = F.struct((-F.col("share")).alias("r"), F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("comp").alias("c1"))
+            centre = (now.where("comp <> c0") if turn else now).groupBy("key").agg(F.min(rank).alias("x"))
+            pairs = now.join(centre, "key").selectExpr("x.a as a", "x.n1 as n1", "x.c1 as c1", "rep as b", "n as n2", "comp as c2").where("c1 <> c2").where(fits)
         else:
-            pairs = left.join(right, "key").where("a < b")
-        pairs = pairs.where("c1 <> c2").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = remaining_pairs(full, now_labelled(now.select("rep").distinct()), percent, scratch)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs)
+        scratch.drop(now)
         if pairs.isEmpty():
-            break
+            continue
         found = scratch.keep(confirmed(pairs))
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
-            labels = labels if labels is not None else found.select(F.col("a").alias("node"), F.col("a").alias("comp"))
-            continue
         labels = scratch.keep(components(links, scratch))
 
     # labels name the smallest representative, which is the smallest id of its component
