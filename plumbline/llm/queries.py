@@ -16,6 +16,7 @@ from .neardup import near_duplicates
 from .ppm import score_texts
 from .pii import pseudonymise
 from .quality import fit_quality, quality_scores
+from .substrings import remove_repeats
 from .toxicity import fit_toxicity, toxicity_scores
 
 #: Where the public vocabulary files lie; a parameter of the queries below.
@@ -95,12 +96,19 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 35-word passages that occur more than once."""
+    done = remove_repeats(read_table(spark, sf_dir, "documents"), window=35)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_substrings": op6_substrings,
     "op7_lm": op7_lm,
     "op8_media": op8_media,
     "op9_bpe": op9_bpe,
