@@ -95,7 +95,7 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, ra
     rate_of_ones = float(y.mean()) if len(y) else 0.5
     base = float(np.log((rate_of_ones + 1e-3) / (1 - rate_of_ones + 1e-3)))
     feature, threshold, left, value, roots = [], [], [], [], []
-    if 0 < rate_of_ones < 1:
+    if len(y) and 0 < rate_of_ones < 1:
         cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
         binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
         raw = np.full(len(y), base)

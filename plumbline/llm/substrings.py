@@ -126,7 +126,9 @@ class FMIndex:
             length[live] = step
             if step == most or not len(live):
                 break
-            low, high = self.extend(text[at[live] - step], low, high)
+            symbol = np.where(at[live] >= step, text[at[live] - step], 0)
+            low, high = self.extend(symbol, low, high)
+            high = np.where(symbol > 0, high, low)  # no match goes past an end
         return length
 
 
