@@ -36,9 +36,9 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.cumsum(sizes) - sizes
     own = np.repeat(np.arange(len(words)), sizes)
     left = np.repeat(starts + sizes, sizes) - np.arange(len(raw))  # bytes from here to the word's end
-    slots, owner = [], []
+    slots, owner = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     rolled = np.zeros(len(raw), dtype=np.uint64)
-    for n in range(1, max(GRAMS) + 1):
+    for n in range(1, min(max(GRAMS), len(raw)) + 1):
         rolled[: len(raw) - n + 1] = rolled[: len(raw) - n + 1] * np.uint64(257) + raw[n - 1 :] + np.uint64(1)
         if n in GRAMS:
             good = np.flatnonzero(left >= n)
