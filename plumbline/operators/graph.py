@@ -9,7 +9,8 @@ from ..constants import MAX_DIAGRAM_NODES, MAX_FAN
 from ..functions.text import diagram_id, layer_rank
 
 
-def _settled(spark, df: DataFrame, name: str) -> DataFrame:
+def _settled(spark, df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder that all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         import tempfile
@@ -23,12 +24,12 @@ def reachable(edges: DataFrame) -> DataFrame:
     """(src, dst) for every path of one edge or more. Paths double in length each round, so rounds grow with the
     logarithm of the longest; each round is written before the next reads it."""
     spark = edges.sparkSession
-    known = _settled(spark, edges.select("src", "dst").distinct(), "reach")
+    known = _settled(spark, edges.select("src", "dst").distinct())
     n = known.count()
     while True:
         a, b = known.alias("a"), known.alias("b")
         further = a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        known = _settled(spark, known.union(further).distinct(), "reach")
+        known = _settled(spark, known.union(further).distinct())
         if (now := known.count()) == n:
             return known
         n = now
