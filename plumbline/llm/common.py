@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -56,11 +57,24 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"
         self.n += 1
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.__dict__["_scratch_path"] = path
         return out
 
+    def keep_bucketed(self, df: DataFrame, column: str, buckets: int) -> DataFrame:
+        """Like keep, dealt into buckets by a column: a later join on it by as many partitions needs no shuffle. Rows
+        aren't shuffled for it, so it suits tables of which each task writes few different values."""
+        path, name = f"{self.root}/{self.n}", f"plumbline_{uuid.uuid4().hex}"
+        self.n += 1
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name, format="parquet")
+        return self.spark.table(name)
+
+    def tidy(self) -> None:
+        """Lets Spark remove the shuffle files of finished steps."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for df in frames:

@@ -12,10 +12,9 @@ share the last two context bytes, and the answers go back to the chunks that ask
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,15 +149,19 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     kind = docs.select(id_col).schema[id_col].dataType.simpleString()
 
     def pack(batches):
+        at = TaskContext.get().partitionId() << 24
         for batch in batches:
             for part in slices(batch, chunk_bytes):
                 n = part.num_rows
                 lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), c) for c in (part.column(0), part.column(1), pa.array(text_bytes(part.column(2)), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 66], pa.int64()), *lists], names=["chunk", "ids", "train", "texts"])
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *lists], names=["chunk", "ids", "train", "texts"])
+                at += 1
 
     picked = docs.select(F.col(id_col).alias("_id"), F.coalesce(train, F.lit(False)).alias("_train"), F.col(text_col).alias("_text"))
-    # ids of chunks are drawn at random, so chunks are used only as they were written
-    chunks = scratch.keep(picked.mapInArrow(pack, f"chunk long, ids array<{kind}>, train array<boolean>, texts array<binary>"))
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # chunks are used only as they were written: a second reading of docs might cut them elsewhere
+    packed = picked.mapInArrow(pack, f"chunk long, ids array<{kind}>, train array<boolean>, texts array<binary>")
+    chunks = scratch.keep_bucketed(packed, "chunk", n_parts)
     state: dict = {}
 
     def ask(batches):
@@ -174,13 +177,13 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                 word, of = np.unique(words, return_inverse=True)
                 word_counts = np.bincount(of[np.repeat(learn, in_text)], minlength=len(word))
                 key = np.concatenate([runs.key, word, np.array([END_TOKEN])])
-                n = np.concatenate([counts, word_counts, np.array([learn.sum()])])
+                n = np.concatenate([counts, word_counts, np.array([learn.sum()])]).astype(np.int64)
                 chunk = batch.column(0)[k].as_py()
                 for a in range(0, len(key), 1 << 17):
-                    m = len(key[a : a + (1 << 17)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array(key[a : a + m]), pa.array(n[a : a + m].astype(np.int64))], names=["chunk", "key", "n"])
+                    b = min(len(key), a + (1 << 17))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, chunk)), pa.array(np.arange(a, b, dtype=np.int32)), pa.array(key[a:b]), pa.array(n[a:b])], names=["chunk", "place", "key", "n"])
 
-    asked = scratch.keep(chunks.select("chunk", "train", "texts").mapInArrow(ask, "chunk long, key long, n long"))
+    asked = scratch.keep(chunks.select("chunk", "train", "texts").mapInArrow(ask, "chunk long, place int, key long, n long"))
     totals = scratch.keep(asked.groupBy("key").agg(F.sum("n").alias("n")))
     base = totals.where("key < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("n") > 0, 1)), F.lit(0)).alias("v")).first()
     pairs = np.zeros(1 << 16)  # at most 65536 rows, whatever the corpus
@@ -196,11 +199,13 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             for a in range(0, len(key), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 17)]), pa.array(value[a : a + (1 << 17)])], names=["key", "value"])
 
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    scratch.tidy()
     shard = F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF)
     runs = totals.where("key >= 0").repartition(n_parts, shard).mapInArrow(answer, "key long, value double")
     values = runs.unionByName(totals.where("key < 0").select("key", F.col("n").cast("double").alias("value")))
-    per_chunk = asked.select("chunk", "key").join(values, "key").groupBy("chunk").agg(F.collect_list(F.struct("key", "value")).alias("told"))
+    # an answer goes back by its place among what the chunk asked for; both lists are gathered in the same order
+    answers = asked.select("chunk", "place", "key").join(values, "key").select("chunk", "place", "value")
+    per_chunk = answers.groupBy("chunk").agg(F.collect_list("place").alias("places"), F.collect_list("value").alias("values"))
     denominator = float(np.log10(base.n + 0.5 * (base.v + 1)))
     train_tokens = int(base.n)
 
@@ -209,18 +214,15 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             state["words"] = WordHashes()
         for batch in batches:
             for k in range(batch.num_rows):
-                told = batch.column(2)[k].values
-                key, value = told.field(0).to_numpy(), told.field(1).to_numpy()
-                order = np.argsort(key)
-                key, value = key[order], value[order]
+                told = np.empty(len(batch.column(2)[k]))
+                told[batch.column(2)[k].values.to_numpy()] = batch.column(3)[k].values.to_numpy()
                 texts = batch.column(1)[k].as_py()
                 coded, sizes = runs_of(texts)
-                by_run = value[np.searchsorted(key, coded.key)]
-                logs = np.add.reduceat(by_run[coded.at], np.cumsum(sizes) - sizes)
+                logs = np.add.reduceat(told[coded.at], np.cumsum(sizes) - sizes)
                 words, in_text = word_keys(state["words"], texts)
                 owner = np.repeat(np.arange(len(texts)), in_text)
-                count = value[np.searchsorted(key, words)]
-                end = value[0] if key[0] == END_TOKEN else 0.0
+                count = told[len(coded.key) + np.unique(words, return_inverse=True)[1]]
+                end = told[-1]
                 tokens = in_text + 1
                 known = np.bincount(owner, weights=count > 0, minlength=len(texts)) + (end > 0)
                 base_log = np.bincount(owner, weights=np.log10(count + 0.5), minlength=len(texts)) + np.log10(end + 0.5) - tokens * denominator
@@ -229,6 +231,5 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                     names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    n_chunks = max(1, chunks.count())
-    ready = chunks.select("chunk", "ids", "texts").repartition(n_chunks, "chunk").join(per_chunk.repartition(n_chunks, "chunk"), "chunk")
-    return ready.select("ids", "texts", "told").mapInArrow(score, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    ready = chunks.select("chunk", "ids", "texts").join(per_chunk, "chunk")
+    return ready.select("ids", "texts", "places", "values").mapInArrow(score, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
