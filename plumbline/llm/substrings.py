@@ -240,51 +240,64 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     kind = source.schema["_id"].dataType.simpleString()
     emitted = source.mapInArrow(by_batch(emit(True), 8 << 20), "m long, s1 long, s2 long, n long, content array<long>")
-    distinct = scratch.keep(emitted.groupBy("m", "s1", "s2").agg(F.sum("n").alias("n"), F.first("content").alias("content")))
-    crowd = scratch.keep(distinct.groupBy("m").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("total > 1"))
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    names = ["s1", "s2", "a", "b"]
-
-    def reported(s1, s2, flags: list[np.ndarray]) -> pa.RecordBatch:
-        rows = [(x, y, a, b) for x, y, f in zip(s1, s2, flags) for a, b in _covered(f, window)]
-        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], names=names)
+    names, kinds = ["s1", "s2", "a", "b", "w1", "w2", "n"], "s1 long, s2 long, a long, b long, w1 long, w2 long, n long"
 
     def search(batches):
-        held_rows, n_words, newest = [], 0, None
+        """Segments come sorted by minimiser and id. Those of a minimiser are gathered, equal ones as one; a shard is
+        searched when it is full. Once a minimiser has too many, its windows go on as rows of their own, with w1, w2."""
+        shard: list[tuple] = []
+        group: list[list] = []
+        n_words, at, crowded = 0, None, False
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(7)], names=names)
+
+        def flush() -> pa.RecordBatch:
+            flags = repeated_in_shard([r[3] for r in shard], np.array([r[2] for r in shard], dtype=np.int64), window)
+            return table([(r[0], r[1], a, b, None, None, None) for r, f in zip(shard, flags) for a, b in _covered(f, window)])
 
-        def flush():
-            s1, s2, n, contents = ([r[j] for r in held_rows] for j in range(4))
-            return reported(s1, s2, repeated_in_shard(contents, np.array(n, dtype=np.int64), window))
+        def windows(row: list) -> list[tuple]:
+            s1, s2, n, content = row
+            return [(s1, s2, a, a + window, *segment_id(content[a : a + window]), n) for a in range(len(content) - window + 1)]
 
         for batch in batches:
             flat = batch.column(4)
             values, offsets = flat.values.to_numpy().view(np.uint64), flat.offsets.to_numpy()
             plain = [batch.column(j).to_pylist() for j in range(4)]
             for k, (m, s1, s2, n) in enumerate(zip(*plain)):
-                if n_words >= shard_words and m != newest:  # sorted: a minimiser's segments stay together
-                    yield flush()
-                    held_rows, n_words = [], 0
-                held_rows.append((s1, s2, n, values[offsets[k] : offsets[k + 1]].copy()))
-                n_words += int(offsets[k + 1] - offsets[k])
-                newest = m
-        if held_rows:
+                if m != at:
+                    if crowded:
+                        yield table([w for r in group for w in windows(r)])
+                    elif len(group) > 1 or group and group[0][2] > 1:  # else nothing to be equal to
+                        shard += map(tuple, group)
+                        n_words += sum(len(r[3]) for r in group)
+                    group, at, crowded = [], m, False
+                    if n_words >= shard_words:
+                        yield flush()
+                        shard, n_words = [], 0
+                if group and group[-1][0] == s1 and group[-1][1] == s2:
+                    group[-1][2] += n
+                    continue
+                if len(group) >= most_segments:
+                    crowded = True
+                    yield table([w for r in group for w in windows(r)])
+                    group = []
+                group.append([s1, s2, n, values[offsets[k] : offsets[k + 1]].copy()])
+        if crowded:
+            yield table([w for r in group for w in windows(r)])
+        elif len(group) > 1 or group and group[0][2] > 1:
+            shard += map(tuple, group)
+        if shard:
             yield flush()
 
-    calm = distinct.join(crowd.where(f"k <= {most_segments}").select("m"), "m")
-    ordered = calm.select("m", "s1", "s2", "n", "content").repartition(n_parts, "m").sortWithinPartitions("m")
-    by_index = ordered.mapInArrow(search, "s1 long, s2 long, a long, b long")
-
-    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for s1, s2, n, content in zip(*[batch.column(j).to_pylist() for j in range(4)]):
-            content = np.array(content, dtype=np.int64)
-            rows += [(*segment_id(content[a : a + window]), s1, s2, a, n) for a in range(len(content) - window + 1)]
-        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(6)], names=["w1", "w2", "s1", "s2", "a", "n"])
-
-    hot = distinct.join(crowd.where(f"k > {most_segments}").select("m"), "m").select("s1", "s2", "n", "content")
-    each = hot.mapInArrow(by_batch(windows, 1 << 20), "w1 long, w2 long, s1 long, s2 long, a long, n long")
+    dealt = emitted.repartition(n_parts, "m").sortWithinPartitions("m", "s1", "s2")
+    found = scratch.keep(dealt.mapInArrow(search, kinds))
+    scratch.tidy()
+    by_index = found.where("w1 is null").select("s1", "s2", "a", "b")
+    each = found.where("w1 is not null")
     twice = each.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
-    by_window = each.join(twice, ["w1", "w2"]).select("s1", "s2", "a", (F.col("a") + window).alias("b"))
+    by_window = each.join(twice, ["w1", "w2"]).select("s1", "s2", "a", "b")
     intervals = by_index.unionByName(by_window).groupBy("s1", "s2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
     places = source.mapInArrow(by_batch(emit(False), 8 << 20), f"_id {kind}, _hash long, s1 long, s2 long, first long")
