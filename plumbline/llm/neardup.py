@@ -146,7 +146,7 @@ def remaining_pairs(full: DataFrame, members: DataFrame, percent: int, scratch:
     common = told.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("c > 1")
     shared = told.join(common, "h").groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("c", "h", F.expr("lo <> hi").alias("mixed")))).alias("x"))
     # those of no other member come first; then the shared ones in order
-    place = shared.select("rep", "n", "comp", F.posexplode("x").alias("k", "t")).join(shared.select("rep", F.size("x").alias("m")), "rep")
+    place = shared.select("rep", "n", "comp", F.size("x").alias("m"), F.posexplode("x").alias("k", "t"))
     place = place.withColumn("left", F.col("m") - F.col("k")).where(f"t.mixed and 100 * left >= {percent} * n")
     place = scratch.keep(place.select(F.col("t.h").alias("h"), "rep", "n", "comp", "left"))
     per_comp = place.groupBy("h", "comp").agg(F.count("*").alias("c"))
