@@ -191,6 +191,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     small = in_buckets.where(F.col("size") <= large_bucket).select("key", "rep", "n", F.lit(1.0).alias("share"))
     large = in_buckets.where(F.col("size") > large_bucket).join(central, "rep").select("key", "rep", "n", "share")
     bucket = scratch.keep(small.unionByName(large))
+    scratch.tidy()
 
     fits = F.expr(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
 
@@ -222,6 +223,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs)
         scratch.drop(now)
+        scratch.tidy()
         if pairs.isEmpty():
             continue
         found = scratch.keep(confirmed(pairs))
