@@ -26,6 +26,31 @@ START, END = b"\xfe" * ORDER, b"\xff"
 END_TOKEN = -(1 << 63)
 
 
+STEP = 1 << 19
+
+
+def _look(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """table[at], a step at a time: numpy widens whole index arrays to 64 bits."""
+    out = np.empty(len(at), dtype=table.dtype)
+    for a in range(0, len(at), STEP):
+        out[a : a + STEP] = table[at[a : a + STEP]]
+    return out
+
+
+def _seen(size: int, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(size, dtype=bool)
+    for a in range(0, len(at), STEP):
+        out[at[a : a + STEP]] = True
+    return out
+
+
+def _counts(size: int, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(size, dtype=np.int64)
+    for a in range(0, len(at), STEP):
+        out += np.bincount(at[a : a + STEP], minlength=size)
+    return out
+
+
 class Coder:
     """Dense numbers for the runs of ORDER + 1 bytes of one chunk, without sorting its positions: pairs of bytes
     are numbered, then pairs of pairs, then runs. Sorted keys stand in where those tables would grow large."""
@@ -34,35 +59,36 @@ class Coder:
 
     def __init__(self, data: np.ndarray, ends: np.ndarray):
         """data: the texts with START and END, one after the other; ends: which positions begin no run."""
-        pair = data[:-1].astype(np.int32) << 8 | data[1:]
-        kinds = np.bincount(pair, minlength=1 << 16) > 0
-        self.pair_id = np.cumsum(kinds) - 1
-        self.n_pairs = int(kinds.sum())
-        if self.n_pairs**2 > self.most:
-            self.dense = False
-            runs = self._keys(data)[~ends[: len(data) - ORDER]]
-            self.key, self.at = np.unique(runs, return_inverse=True)
-            return
-        self.dense = True
-        of = self.pair_id[pair].astype(np.int32)
-        quad = of[:-3] * np.int32(self.n_pairs) + of[2:-1]  # the four bytes of context at each start
-        quad = quad[~ends[: len(quad)]]
-        seen = np.bincount(quad, minlength=self.n_pairs**2) > 0
-        self.quad_id = (np.cumsum(seen) - 1).astype(np.int32)
-        following = data[ORDER:][~ends[: len(data) - ORDER]]
-        at = self.quad_id[quad].astype(np.int64) * 256 + following
-        if int(seen.sum()) * 256 > 4 * self.most:
-            self.dense = False
-            self.key, self.at = np.unique(self._keys(data)[~ends[: len(data) - ORDER]], return_inverse=True)
+        begins = ~ends[: len(data) - ORDER]
+        pair = data[:-1].astype(np.uint16) << 8 | data[1:]
+        kinds = _seen(1 << 16, pair)
+        n_pairs = int(kinds.sum())
+        self.dense = n_pairs**2 <= self.most
+        if self.dense:
+            of = _look((np.cumsum(kinds) - 1).astype(np.int32), pair)
+            del pair
+            quad = (of[:-3] * np.int32(n_pairs) + of[2:-1])[begins]  # the four bytes of context of each run
+            del of
+            seen = _seen(n_pairs**2, quad)
+            cells = int(seen.sum()) * 256
+            self.dense = cells <= 4 * self.most
+        if not self.dense:
+            self.key, self.at = np.unique(self._keys(data)[begins], return_inverse=True)
             return
-        self.cells = int(seen.sum()) * 256
-        used = np.flatnonzero(np.bincount(at, minlength=self.cells))
-        self.run_id = np.zeros(self.cells, dtype=np.int32)
-        self.run_id[used] = np.arange(len(used), dtype=np.int32)
+        rank = np.cumsum(seen, dtype=np.int32)
+        rank -= 1
+        at = _look(rank, quad)
+        del quad
+        at *= 256
+        at += data[ORDER:][begins]
+        mark = _seen(cells, at)
+        used = np.flatnonzero(mark)
+        rank = np.cumsum(mark, dtype=np.int32)
+        rank -= 1
+        self.at = _look(rank, at)
         pairs = np.flatnonzero(kinds)
         quads = np.flatnonzero(seen)[used >> 8]
-        self.key = pairs[quads // self.n_pairs].astype(np.int64) << 24 | pairs[quads % self.n_pairs].astype(np.int64) << 8 | used & 255
-        self.at = self.run_id[at]
+        self.key = pairs[quads // n_pairs].astype(np.int64) << 24 | pairs[quads % n_pairs].astype(np.int64) << 8 | used & 255
 
     @staticmethod
     def _keys(data: np.ndarray) -> np.ndarray:
@@ -85,9 +111,9 @@ def runs_of(texts: list[bytes]) -> tuple[Coder, np.ndarray]:
 
 def word_keys(words: WordHashes, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all words (negative numbers, from 63 bits of their hash), text after text, and the number in each."""
-    split = [t.lower().split() for t in texts]
-    hashes = words.of([w for ws in split for w in ws])
-    return -(hashes >> np.uint64(1)).astype(np.int64) - 1, np.array([len(ws) for ws in split], dtype=np.int64)
+    hashes = [words.of(t.lower().split()) for t in texts]
+    sizes = np.array([len(h) for h in hashes], dtype=np.int64)
+    return -(np.concatenate([np.empty(0, np.uint64), *hashes]) >> np.uint64(1)).astype(np.int64) - 1, sizes
 
 
 def log_probabilities(key: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -167,12 +193,13 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     def ask(batches):
         if not state:
             state["words"] = WordHashes()
+            state["words"].most = 1 << 17
         for batch in batches:
             for k in range(batch.num_rows):
                 learn = np.array(batch.column(1)[k].as_py(), dtype=bool)
                 texts = batch.column(2)[k].as_py()
                 runs, sizes = runs_of(texts)
-                counts = np.bincount(runs.at[np.repeat(learn, sizes)], minlength=len(runs.key))
+                counts = _counts(len(runs.key), runs.at[np.repeat(learn, sizes)])
                 words, in_text = word_keys(state["words"], texts)
                 word, of = np.unique(words, return_inverse=True)
                 word_counts = np.bincount(of[np.repeat(learn, in_text)], minlength=len(word))
@@ -212,13 +239,14 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     def score(batches):
         if not state:
             state["words"] = WordHashes()
+            state["words"].most = 1 << 17
         for batch in batches:
             for k in range(batch.num_rows):
                 told = np.empty(len(batch.column(2)[k]))
                 told[batch.column(2)[k].values.to_numpy()] = batch.column(3)[k].values.to_numpy()
                 texts = batch.column(1)[k].as_py()
                 coded, sizes = runs_of(texts)
-                logs = np.add.reduceat(told[coded.at], np.cumsum(sizes) - sizes)
+                logs = np.add.reduceat(_look(told, coded.at), np.cumsum(sizes) - sizes)
                 words, in_text = word_keys(state["words"], texts)
                 owner = np.repeat(np.arange(len(texts)), in_text)
                 count = told[len(coded.key) + np.unique(words, return_inverse=True)[1]]
