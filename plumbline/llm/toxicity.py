@@ -26,9 +26,15 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").split()
 
 
-def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(words: list[bytes], at_once: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slot of each word; slots of all its character n-grams (bytes, with an edge sign at both ends), and where
     each word's begin. A word without letters has the n-grams of its signs."""
+    parts = [_features(words[a : a + at_once]) for a in range(0, max(1, len(words)), at_once)]
+    shift = np.cumsum([0, *[len(gram) for _, gram, _ in parts]])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] + k for p, k in zip(parts, shift)])
+
+
+def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bare = [w.strip(_EDGE) or w for w in words]
     framed = [b"^" + w + b"$" for w in bare]
     sizes = np.array([len(w) for w in framed], dtype=np.int64)
@@ -49,7 +55,7 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     weights = np.uint64(0x9E3779B97F4A7C15) ** (np.arange(len(raw)) - np.repeat(starts, sizes)).astype(np.uint64)
     word = np.add.reduceat(mix64(raw + np.uint64(7)) * weights, starts) if len(raw) else np.empty(0, np.uint64)
     n_of = np.bincount(owner, minlength=len(words))
-    return (mix64(word) % np.uint64(WORD_SLOTS)).astype(np.int64), slots[order], np.cumsum(n_of) - n_of
+    return (mix64(word) % np.uint64(WORD_SLOTS)).astype(np.int32), slots[order].astype(np.int32), np.cumsum(n_of) - n_of
 
 
 def windows_of(n: int) -> list[tuple[int, int]]:
@@ -185,13 +191,13 @@ def fit_network(texts: list[str], labels: np.ndarray, rounds: int = 9, batch: in
     n_of = np.diff(np.r_[start, len(gram)])
     ones, zeros = int(labels.sum()), int((1 - labels).sum())
     known: dict[str, np.ndarray] = {}
-    for name, slots, of_word in (("word", word, np.arange(len(word))), ("gram", gram, np.repeat(np.arange(len(word)), n_of))):
-        order, seen = np.argsort(of_word, kind="stable"), np.zeros((2, len(net.p[name])))
-        begin = np.searchsorted(of_word[order], np.arange(len(word) + 1))
+    for name in ("word", "gram"):
+        seen = np.zeros((2, len(net.p[name])))
         for words, y in zip(coded, labels):
-            own = [slots[order[begin[w] : begin[w + 1]]] for w in set(words)]
+            own = sorted(set(words))
             if own:
-                seen[int(y)][np.unique(np.concatenate(own))] += 1
+                slots = word[own] if name == "word" else np.concatenate([gram[start[w] : start[w] + n_of[w]] for w in own])
+                seen[int(y)][np.unique(slots)] += 1
         odds = np.log((seen[1] + 2) / (ones + 4)) - np.log((seen[0] + 2) / (zeros + 4))
         net.p[name][:, 0] = (odds / 2).astype(np.float32)
         known[name] = (seen.sum(axis=0) >= LEAST_TEXTS).astype(np.float32)
