@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Scratch, WordHashes, by_batch, mix64, text_bytes
 
@@ -210,38 +211,32 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         x = xxhash.xxh3_128_intdigest(content.tobytes())
         return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
 
-    def emit(with_content: bool):
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            seen: dict[tuple[int, int], list] = {}
-            rows = []
-            for k, hashes, m, first, last in split(batch, 2):
-                for j in np.flatnonzero(passing(m)).tolist():
-                    content = hashes[first[j] : last[j] + window - 1]
-                    key = segment_id(content)
-                    if not with_content:
-                        rows.append((k, *key, int(first[j])))
-                    elif key in seen:
-                        seen[key][1] += 1
-                    else:
-                        seen[key] = [int(m[j].view(np.int64)), 1, content]
-            if with_content:
-                values = list(seen.values())
-                offsets = np.zeros(len(values) + 1, dtype=np.int32)
-                np.cumsum([len(v[2]) for v in values], out=offsets[1:])
-                flat = np.concatenate([v[2] for v in values]).view(np.int64) if values else np.empty(0, np.int64)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array([v[0] for v in values], pa.int64()), pa.array([x[0] for x in seen], pa.int64()), pa.array([x[1] for x in seen], pa.int64()), pa.array([v[1] for v in values], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                    names=["m", "s1", "s2", "n", "content"],
-                )
-            take = pa.array([r[0] for r in rows], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *[pa.array([r[j] for r in rows], pa.int64()) for j in (1, 2, 3)]], names=["_id", "_hash", "s1", "s2", "first"])
-
-        return work
-
-    kind = source.schema["_id"].dataType.simpleString()
-    emitted = source.mapInArrow(by_batch(emit(True), 8 << 20), "m long, s1 long, s2 long, n long, content array<long>")
+    def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The batch's different segments, each once, with the places where they begin."""
+        seen: dict[tuple[int, int], tuple] = {}
+        for k, hashes, m, first, last in split(batch, 2):
+            for j in np.flatnonzero(passing(m)).tolist():
+                content = hashes[first[j] : last[j] + window - 1]
+                seen.setdefault(segment_id(content), (int(m[j].view(np.int64)), content, []))[2].append((k, int(first[j])))
+        values = list(seen.values())
+        lists = lambda sizes, flat: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), flat)
+        places = [p for v in values for p in v[2]]
+        n = [len(v[2]) for v in values]
+        rows = pa.array([p[0] for p in places], pa.int64())
+        flat = np.concatenate([v[1] for v in values]).view(np.int64) if values else np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays(
+            [
+                *[pa.array(x, pa.int64()) for x in ([v[0] for v in values], [x[0] for x in seen], [x[1] for x in seen], n)],
+                lists([len(v[1]) for v in values], pa.array(flat)), lists(n, batch.column(0).take(rows)), lists(n, batch.column(1).take(rows)), lists(n, pa.array([p[1] for p in places], pa.int64())),
+            ],
+            names=["m", "s1", "s2", "n", "content", "ids", "hashes", "firsts"],
+        )
+
+    kind, id_type = source.schema["_id"].dataType.simpleString(), to_arrow_type(source.schema["_id"].dataType)
+    emitted = source.mapInArrow(by_batch(emit, 8 << 20), f"m long, s1 long, s2 long, n long, content array<long>, ids array<{kind}>, hashes array<long>, firsts array<long>")
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    names, kinds = ["s1", "s2", "a", "b", "w1", "w2", "n"], "s1 long, s2 long, a long, b long, w1 long, w2 long, n long"
+    names = ["s1", "s2", "a", "b", "w1", "w2", "n", "_id", "_hash", "first"]
+    kinds = f"s1 long, s2 long, a long, b long, w1 long, w2 long, n long, _id {kind}, _hash long, first long"
 
     def search(batches):
         """Segments come sorted by minimiser and id. Those of a minimiser are gathered, equal ones as one; a shard is
@@ -251,7 +246,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         n_words, at, crowded = 0, None, False
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(7)], names=names)
+            none = pa.nulls(len(rows), pa.int64())
+            return pa.RecordBatch.from_arrays([*[pa.array([r[j] for r in rows], pa.int64()) for j in range(7)], pa.nulls(len(rows), id_type), none, none], names=names)
+
+        def places(batch: pa.RecordBatch) -> pa.RecordBatch:
+            owner = np.repeat(np.arange(batch.num_rows), batch.column(3).to_numpy())
+            none = pa.nulls(len(owner), pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(owner)), batch.column(2).take(pa.array(owner)), *[none] * 5, batch.column(5).flatten().cast(id_type), batch.column(6).flatten(), batch.column(7).flatten()], names=names)
 
         def flush() -> pa.RecordBatch:
             flags = repeated_in_shard([r[3] for r in shard], np.array([r[2] for r in shard], dtype=np.int64), window)
@@ -262,6 +263,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             return [(s1, s2, a, a + window, *segment_id(content[a : a + window]), n) for a in range(len(content) - window + 1)]
 
         for batch in batches:
+            yield places(batch)
             flat = batch.column(4)
             values, offsets = flat.values.to_numpy().view(np.uint64), flat.offsets.to_numpy()
             plain = [batch.column(j).to_pylist() for j in range(4)]
@@ -294,13 +296,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     dealt = emitted.repartition(n_parts, "m").sortWithinPartitions("m", "s1", "s2")
     found = scratch.keep(dealt.mapInArrow(search, kinds))
     scratch.tidy()
-    by_index = found.where("w1 is null").select("s1", "s2", "a", "b")
+    by_index = found.where("w1 is null and first is null").select("s1", "s2", "a", "b")
     each = found.where("w1 is not null")
     twice = each.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
     by_window = each.join(twice, ["w1", "w2"]).select("s1", "s2", "a", "b")
     intervals = by_index.unionByName(by_window).groupBy("s1", "s2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
-    places = source.mapInArrow(by_batch(emit(False), 8 << 20), f"_id {kind}, _hash long, s1 long, s2 long, first long")
+    places = found.where("first is not null").select("_id", "_hash", "s1", "s2", "first")
     shifted = F.expr("transform(spans, x -> struct(x.a + first as a, x.b + first as b))")
     per_doc = places.join(intervals, ["s1", "s2"]).select("_id", "_hash", shifted.alias("spans"))
     per_doc = per_doc.groupBy(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2")).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
