@@ -378,3 +378,16 @@ def test_queries_against_duckdb(spark):
     for name in ("dup_block_findings", "hunk_range_map", "grace_batch", "dedup_claims", "sarif_render", "type_runs", "heading_slugs"):
         assert plain(queries.QUERIES[name](spark, folder).toPandas()) == plain(con.sql(oracles.ORACLES[name]).df()), name
     assert queries.QUERIES.keys() == oracles.ORACLES.keys()
+
+
+def test_sarif_queries_read_all_events(spark):
+    import duckdb
+
+    from plumbline.plans import oracles, queries
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{folder}/events.parquet'")
+    for name in ("sarif_level_counts", "sarif_render"):
+        rows = con.execute(oracles.ORACLES[name].replace(" WHERE user_id < 20", "")).fetchall()
+        assert len(rows) == 150 and sorted(map(tuple, queries.QUERIES[name](spark, folder).collect())) == sorted(rows), name
