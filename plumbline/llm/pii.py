@@ -2,6 +2,8 @@
 
 Candidates are found by one pattern, validated (check digits, ranges, calendars) and permuted by a keyed Feistel
 network over exactly the values of their format: a card stays a card with a right check digit, a date a date.
+IBANs and cards are validated before, at every extent they may have, and marked, so that a number or word beside
+them is neither taken along nor hidden from the other kinds.
 Equal values have equal pseudonyms wherever they stand, and different values of a format never collide.
 """
 
@@ -14,17 +16,34 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+
 #: Kinds in the order in which they are tried; each pattern has no capturing group of its own.
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
-    "iban": r"(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "iban": rf"(?<![\w])(?:(?:{_IBANS})(?!\w)|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?!\w)",
     "date": r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]|\.[0-9])",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|[.-][0-9])",
     "phone": r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?!\w|[.-][0-9])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+LIKELY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A row's mark is its text's MD5 in these characters, which are none: no text holds its own.
+_MARKS = "".join(map(chr, range(0xFDD0, 0xFDE0)))
+_EDGE = f"[{_MARKS[0]}-{_MARKS[-1]}]"
+#: Four numbers of four digits that are no card are no phone either.
+_FOURS = r"(?<![\w.-])[0-9]{4}(?:[ -][0-9]{4}){3}(?![\w]|[.-][0-9])"
+ANY = "|".join(f"(?<={_EDGE})(?:{p})(?={_EDGE})|{_FOURS}" if kind == "card" else f"(?:{p})" for kind, p in PATTERNS.items())
+#: Numbers with one blank or hyphen between them, 13 digits or more; none of them ends inside a word, a decimal or an address.
+_AFTER = r"(?![\w]|\.[0-9]|[\w.%+-]*@|-[0-9]+(?:[A-Za-z_]|\.[0-9]))"
+RUN = rf"(?<![\w.-])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++{_AFTER}(?:[ -][0-9]++{_AFTER})*+"
 #: First and last day that count as dates; their number, less one, is 2 * 36524, so days fit 2 x 36524 values.
 FIRST_DAY, N_DAYS = "1900-01-01", 2 * 36524
 
@@ -126,6 +145,11 @@ def mod97(text: Column) -> Column:
     return F.aggregate(_chars(text), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
 
 
+def _good_iban(flat: Column) -> Column:
+    rest = F.substring(flat, F.lit(5), F.length(flat))
+    return (mod97(F.concat(rest, F.substring(flat, 1, 4))) == 1) & (F.length(flat) >= 15) & rest.rlike("[0-9]")
+
+
 def _iban(x: Column, key: str) -> Column:
     def checked(flat: Column) -> Column:
         rest = F.substring(flat, F.lit(5), F.length(flat))
@@ -135,8 +159,7 @@ def _iban(x: Column, key: str) -> Column:
             check = F.lpad((F.lit(98) - mod97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
             return _pour(x, F.concat(country, check, moved), "[A-Z0-9]")
 
-        good = (mod97(F.concat(rest, F.substring(flat, 1, 4))) == 1) & (F.length(flat) >= 15) & rest.rlike("[0-9]")
-        return F.when(good, let(_pour(rest, permute_symbols(_digits(rest), 10, key, "iban"), "[0-9]"), with_check))
+        return F.when(_good_iban(flat), let(_pour(rest, permute_symbols(_digits(rest), 10, key, "iban"), "[0-9]"), with_check))
 
     return let(F.regexp_replace(x, " ", ""), checked)
 
@@ -211,6 +234,57 @@ def pseudonym(value: Column, key: str) -> Column:
     return F.coalesce(*[F.when(value.rlike(_whole(PATTERNS[kind])), make(value, key)) for kind, make in KINDS.items()], value)
 
 
+def _rebuilt(text: Column, pattern: str, make: Callable[[Column], Column]) -> Column:
+    """text with what the pattern finds replaced by make of it."""
+    found, parts = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern, -1)
+    return let(parts, lambda p: F.concat(F.element_at(p, 1), F.array_join(F.zip_with(found, F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.concat(make(a), b)), "")))
+
+
+def _mark_cards(run: Column, mark: Column) -> Column:
+    """run (see RUN) with the cards in it between marks: from the left, the longest extent with a right check digit.
+    An extent holds whole numbers, all but its last of four digits or more; the longest one at the run's start may
+    have any, unless it starts as a date or an SSN. None begins or ends at a hyphen."""
+
+    def marked(part: Column) -> Column:
+        def longest(i: Column) -> Column:
+            def chosen(extents: Column) -> Column:
+                def good(e: Column) -> Column:
+                    grouped = ~e["s"].rlike("(?:^|[ -])[0-9]{1,3}[ -]")
+                    loose = (i == 1) & (e["k"] == F.element_at(extents, 1)["k"]) & ~e["s"].rlike(rf"\A(?:{PATTERNS['date']}|{PATTERNS['ssn']})")
+                    return (grouped | loose) & let(_digits(e["s"]), lambda d: F.substring(d, -1, 1) == luhn_digit(F.substring(d, F.lit(1), F.length(d) - 1)))
+
+                return F.coalesce(F.get(F.filter(extents, good), F.lit(0))["k"], F.lit(0))
+
+            lengths = F.sequence(F.least(F.lit(19), F.size(part) - i + 1), F.lit(1), F.lit(-1))
+            extents = F.transform(lengths, lambda k: F.struct(k.alias("k"), F.array_join(F.slice(part, i, k), "").alias("s")))
+            extents = F.filter(extents, lambda e: ~e["s"].endswith("-") & F.length(_digits(e["s"])).between(13, 19))
+            begins = (i == 1) | F.element_at(part, F.greatest(i - 1, F.lit(1))).endswith(" ")
+            return F.when(begins, let(extents, chosen)).otherwise(0)
+
+        def step(a: Column, i: Column) -> Column:
+            def taken(k: Column) -> Column:
+                hit = F.struct((i + k).alias("next"), F.concat(a["first"], F.array(i)).alias("first"), F.concat(a["last"], F.array(i + k - 1)).alias("last"))
+                return F.when(k > 0, hit).otherwise(a)
+
+            return F.when(i < a["next"], a).otherwise(let(longest(i), taken))
+
+        none = F.array().cast("array<int>")
+        start = F.struct(F.lit(1).alias("next"), none.alias("first"), none.alias("last"))
+        hits = F.aggregate(F.sequence(F.lit(1), F.size(part)), start, step)
+        edge = lambda at, i: F.when(F.array_contains(at, i + 1), mark).otherwise("")
+        told = lambda h: F.array_join(F.transform(part, lambda t, i: F.concat(edge(h["first"], i), _digits(t), edge(h["last"], i), F.regexp_replace(t, "[0-9]", ""))), "")
+        return let(hits, told)
+
+    return let(F.regexp_extract_all(run, F.lit("[0-9]+[ -]?"), F.lit(0)), marked)
+
+
+def marked(text: Column, mark: Column) -> Column:
+    """text with valid IBANs and, outside them, valid cards between marks."""
+    ibans = F.when(text.rlike(PATTERNS["iban"]), _rebuilt(text, PATTERNS["iban"], lambda v: F.when(_good_iban(F.regexp_replace(v, " ", "")), F.concat(mark, v, mark)).otherwise(v))).otherwise(text)
+    outside = lambda x: F.when(x.rlike(RUN), _rebuilt(x, RUN, lambda v: _mark_cards(v, mark))).otherwise(x)
+    return F.call_function("array_join", F.transform(F.split(ibans, mark, -1), lambda x, i: F.when(i % 2 == 0, outside(x)).otherwise(x)), mark)
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_pseudonyms") -> DataFrame:
     """docs with the personal data in text_col replaced, and the number of replaced values in count_col.
 
@@ -219,19 +293,21 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     cut at the candidates, these are mapped one by one, and the parts are joined again. No shuffle.
     """
     text = F.col(f"`{text_col}`")
-    likely = text.rlike("[0-9@]") & text.rlike(ANY)
+    likely = text.rlike("[0-9@]") & text.rlike(LIKELY)
     taken = {c.lower() for c in docs.columns}
-    temp = [n for n in ("_found", "_found_", "_found__") if n not in taken][0]
+    temp, cut = [n for n in ("_found", "_found_", "_found__", "_found___") if n not in taken][:2]
+    mark = F.translate(F.md5(text), "0123456789abcdef", _MARKS)
     # values are mapped in a column of their own, so that each is worked out once
-    step = docs.withColumn(temp, F.when(likely, F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))))
+    step = docs.withColumn(cut, F.when(likely, let(mark, lambda m: marked(text, m))))
+    step = step.withColumn(temp, F.regexp_extract_all(F.col(cut), F.lit(f"({ANY})"), F.lit(1)))
     mapped = F.transform(F.col(temp), lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new")))
     step = step.withColumn(temp, mapped)
-    parts = F.split(text, ANY, -1)
+    parts = F.split(F.col(cut), ANY, -1)
     joined = F.concat(
         F.element_at(parts, 1),
         F.array_join(F.zip_with(F.col(temp)["new"], F.slice(parts, F.lit(2), F.size(parts)), lambda a, b: F.concat(a, b)), ""),
     )
-    out = step.withColumn(text_col, F.when(F.col(temp).isNull(), text).otherwise(joined))
+    out = step.withColumn(text_col, F.when(F.col(temp).isNull(), text).otherwise(F.replace(joined, mark, F.lit(""))))
     if count_col is not None:
         out = out.withColumn(count_col, F.coalesce(F.size(F.filter(F.col(temp), lambda x: x["old"] != x["new"])), F.lit(0)).cast("long"))
-    return out.drop(temp)
+    return out.drop(temp, cut)

@@ -382,6 +382,30 @@ def test_pseudonyms(spark):
     assert {r.doc_id: r.text for r in pii.pseudonymise(df, "other key").collect()}[2] != text[2]
 
 
+def test_cards_ibans_and_phones_beside_other_numbers_and_words(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    rows = [
+        (f"{card} 123", card), (f"{card} 12/27", card), ("4111111111111111 5 items", "4111111111111111"), (f"2 of {card} 12", card), (f"12 34 {card}", card),
+        (f"{iban} EUR", iban), ("ES9121000418450200051332 EUR", "ES9121000418450200051332"), (f"{iban} 12", iban), (f"AB12 {card} EUR", card),
+        (f"{card} 555 123 4567", "555 123 4567"), ("555 123 4567 8901 22", "555 123 4567"), (f"{iban} {card} 7", iban), (f"{iban} {card} 7", card),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id int, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(df, "key").collect()}
+    shape = lambda t: re.sub("[0-9]", "0", t)
+    for k, (text, value) in enumerate(rows):
+        at = text.index(value)
+        new = got[k][at : at + len(value)]
+        assert new != value and len(got[k]) == len(text) and shape(got[k]) == shape(text), text
+        assert new == pii_of(spark, value), text
+    kept = ["4041-8949-7460-8796", "4041 8949 7460 8796", "1990 1991 1992 1993", "4041894974608796 12", "BE69 5390 0754 7034 EUR", f"x{card.replace(' ', '')} 1", "1 2 3 4 5 6 7 8 9 10 11 12 13"]
+    df = spark.createDataFrame([(t,) for t in kept], "text string")
+    assert [r.text for r in pii.pseudonymise(df, "key").collect()] == kept
+
+
+def pii_of(spark, value):
+    return pii.pseudonymise(spark.createDataFrame([(value,)], "text string"), "key").first().text
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("x"))
     out = [r.y for r in df.select(pii.permute_symbols(F.col("x"), 10, "k", "t").alias("y")).collect()]
