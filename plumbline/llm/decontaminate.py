@@ -91,7 +91,7 @@ class HammingIndex:
 class Items:
     """Benchmark items, prepared on the driver and broadcast."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     shingles: list[np.ndarray]
     known: np.ndarray  # all their shingles, sorted
     sizes: np.ndarray  # shingles in each
@@ -99,11 +99,19 @@ class Items:
     index: HammingIndex
     filter: np.ndarray  # which low 20 bits any of their shingles has
     postings: tuple[np.ndarray, np.ndarray]  # per known shingle, where its items' sizes begin; item sizes
+    short: dict[int, dict[int, list[int | None]]]  # by number of words, fewer than a shingle's: ids by hash; not among the others
 
 
-def prepare_items(rows: list[tuple[int, str]], shingle: int, radius: int) -> Items:
+def prepare_items(rows: list[tuple[int | None, str]], shingle: int, radius: int) -> Items:
     words = WordHashes()
-    kept = [(i, s) for i, t in rows if len(s := shingles_of(words.of([w.encode() for w in words_of(t or "")]), shingle))]
+    kept, short = [], {}
+    for i, t in rows:
+        hashes = words.of([w.encode() for w in words_of(t or "")])
+        s = shingles_of(hashes, shingle)
+        if len(hashes) >= shingle:
+            kept.append((i, s))
+        elif len(s):
+            short.setdefault(len(hashes), {}).setdefault(int(s[0]), []).append(i)
     sizes = np.array([len(s) for _, s in kept], dtype=np.int64)
     all_of = np.concatenate([s for _, s in kept]) if kept else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(len(kept)), sizes)
@@ -113,7 +121,7 @@ def prepare_items(rows: list[tuple[int, str]], shingle: int, radius: int) -> Ite
     pair = np.unique(np.stack([np.searchsorted(known, all_of), sizes[owner]], axis=1), axis=0) if len(known) else np.empty((0, 2), np.int64)
     postings = (np.searchsorted(pair[:, 0], np.arange(len(known) + 1)), pair[:, 1])
     prints = np.array([fingerprints(bit_votes(s).sum(axis=0, keepdims=True))[0] for _, s in kept], dtype=np.uint64)
-    return Items(np.array([i for i, _ in kept], dtype=np.int64), [s for _, s in kept], known, sizes, np.arange(len(kept)), HammingIndex(prints, radius), low, postings)
+    return Items([i for i, _ in kept], [s for _, s in kept], known, sizes, np.arange(len(kept)), HammingIndex(prints, radius), low, postings, short)
 
 
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -124,8 +132,25 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
 
 
-def find_items(hashes: np.ndarray, items: Items, shingle: int, threshold: float) -> list[tuple[int, int, int, int, float]]:
+def find_short(hashes: np.ndarray, items: Items) -> list[tuple[int | None, int, int, int, float]]:
+    """As find_items, of items shorter than a shingle: a window of as many words is the item or shares nothing with it."""
+    out = []
+    for n, ids in items.short.items():
+        if len(hashes) >= n:
+            s = shingles_of(hashes, n)
+            kinds, first = np.unique(s, return_index=True)
+            at = np.flatnonzero(np.isin(kinds, np.fromiter(ids, dtype=np.uint64, count=len(ids))))
+            out += [(i, f, n, 0, 1.0) for x, f in zip(kinds[at].tolist(), first[at].tolist()) for i in ids[x]]
+    return out
+
+
+def find_items(hashes: np.ndarray, items: Items, shingle: int, threshold: float) -> list[tuple[int | None, int, int, int, float]]:
     """(item id, first word, number of words, Hamming distance, similarity): each item's best window in a text."""
+    return find_short(hashes, items) + find_long(hashes, items, shingle, threshold)
+
+
+def find_long(hashes: np.ndarray, items: Items, shingle: int, threshold: float) -> list[tuple[int | None, int, int, int, float]]:
+    """As find_items, of items of a shingle's words or more."""
     s = shingles_of(hashes, shingle)
     if not len(s) or not len(items.known):
         return []
@@ -184,7 +209,7 @@ def find_items(hashes: np.ndarray, items: Items, shingle: int, threshold: float)
                 found = (-similarity, distance, first, width)
                 if k not in best or found < best[k]:
                     best[k] = found
-    return [(int(items.ids[k]), f, w + min(shingle, len(hashes)) - 1, d, -x) for k, (x, d, f, w) in sorted(best.items())]
+    return [(items.ids[k], f, w + min(shingle, len(hashes)) - 1, d, -x) for k, (x, d, f, w) in sorted(best.items())]
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = 24, most_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -192,8 +217,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, thre
     hamming, similarity (of the best window; of equals the nearest, then the first).
 
     Words are runs of letters, digits and _, in small letters. Documents and items without words have no hits;
-    an item of fewer words than a shingle is one shingle; rows with null ids count like others; copies of rows
-    have copies of hits. The benchmark is collected only if its texts take at most most_bytes (checked first);
+    an item of fewer words than a shingle is one shingle of its own number of words, found in texts of any length;
+    rows with null ids count like others; copies of rows have copies of hits. The benchmark is collected only if its texts take at most most_bytes (checked first);
     a larger one is refused with an error. One pass over documents, no shuffle.
     """
     held = held_items(docs, benchmark, shingle, radius, most_bytes, item_col, item_text_col)
@@ -232,7 +257,7 @@ def held_items(docs: DataFrame, benchmark: DataFrame, shingle: int, radius: int,
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first().n
     if total > most_bytes:
         raise ValueError(f"the benchmark's texts take {total} bytes; at most {most_bytes} are broadcast")
-    known = sorted(((r.i, r.t) for r in rows.where("i is not null").distinct().collect()), key=lambda r: (r[0], r[1] or ""))
+    known = sorted(((r.i, r.t) for r in rows.distinct().collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     return docs.sparkSession.sparkContext.broadcast(prepare_items(known, shingle, radius))
 
 

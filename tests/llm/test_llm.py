@@ -334,6 +334,16 @@ def test_decontamination_against_all_windows(spark, no_docs):
         decontaminate.benchmark_hits(df, known, most_bytes=10)
 
 
+def test_decontamination_null_ids_and_short_items(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    items = spark.createDataFrame([(None, passage), (1, "short one"), (2, "solo"), (3, "short one"), (None, "a b c d")], "item_id long, text string")
+    rows = [(1, f"x y {passage} z"), (2, "it is a Short one, and one short"), (3, "a short one"), (4, "Solo"), (5, "w w w w solo w solo"), (6, "nothing at all in this text"), (7, "w a b c d"), (8, "a b c e d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id or 0, r.first_word, r.n_words, r.hamming, r.similarity) for r in decontaminate.benchmark_hits(df, items).collect())
+    assert got == [(1, 0, 2, 20, 0, 1.0), (2, 1, 3, 2, 0, 1.0), (2, 3, 3, 2, 0, 1.0), (3, 1, 1, 2, 0, 1.0), (3, 3, 1, 2, 0, 1.0), (4, 2, 0, 1, 0, 1.0), (5, 2, 4, 1, 0, 1.0), (7, 0, 1, 4, 0, 1.0)]
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(df, items).collect()) == [6, 8]
+
+
 def test_hamming_index_finds_all_within_radius():
     rng = np.random.default_rng(7)
     prints = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
