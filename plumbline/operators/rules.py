@@ -169,11 +169,11 @@ def import_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                 target = posixpath.normpath(posixpath.join(posixpath.dirname(path), t.text[1:-1]))
                 stem = posixpath.splitext(target)[0] if "." in posixpath.basename(target) else target
                 tries = [target, *[f"{stem}.{e}" for e in JS_EXTENSIONS], *[f"{target}/index.{e}" for e in JS_EXTENSIONS]]
-                out += [(t.row, n, x) for n, x in enumerate(tries)]
+                out += [(t.row, k, n, x) for n, x in enumerate(tries)]
         return out
 
-    tries = _facts(js, read, "path string, line int, rank int, target string")
-    hits = tries.join(js.select(F.col("path").alias("target")).distinct(), "target").groupBy("path", "line").agg(F.min_by("target", "rank").alias("target"))
+    tries = _facts(js, read, "path string, line int, position int, rank int, target string")
+    hits = tries.join(js.select(F.col("path").alias("target")).distinct(), "target").groupBy("path", "line", "position").agg(F.min_by("target", "rank").alias("target"))
     js_edges = hits.select(directory(F.col("path")).alias("src"), directory(F.col("target")).alias("dst"), F.col("path").alias("file"), "line").where("src <> dst")
     return nodes.unionByName(js.select(directory(F.col("path")).alias("node")).distinct()).distinct(), go_edges.unionByName(js_edges)
 

@@ -294,6 +294,11 @@ def test_import_graph(spark):
     assert graph.strong_components(found).count() == 4
 
 
+def test_imports_on_one_line(spark):
+    df = files(spark, w__x_dot_ts='import a from "../u/a"; import b from "../v/b"; import c from "../v/b.ts"\n', u__a_dot_ts="", v__b_dot_ts="")
+    assert sorted((r.dst, r.line) for r in rules.import_graph(df)[1].collect()) == [("u", 1), ("v", 1), ("v", 1)]
+
+
 # replay
 
 
