@@ -304,8 +304,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", train
 def toxicity_scores(docs: DataFrame, model: BiGRU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id_col and score (0 to 1, higher: toxic likelier) of the whole text.
 
-    Every overlapping window of the whole text is scored. Null and empty texts have the score of a window
-    without words; repeated and null ids stay, one row each. The model's size is fixed. One pass, no shuffle.
+    Windows of WINDOW words, one begun every STRIDE words, cover the whole text and are scored. Null and
+    empty texts have the score of a window without words; repeated and null ids stay, one row each. The model's size is fixed. One pass, no shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     state: dict = {}
