@@ -3,6 +3,9 @@
 A sequence of tokens is what the merges make of a word if and only if each token is made of its own bytes
 and each adjacent pair, merged by itself, stays that pair; this holds when every token comes of one merge.
 So a greedy proposal needs one look per adjacent pair, and an answer for a pair holds for the whole corpus.
+
+A batch of texts is one array of characters: words are cut by character classes, told apart by Arrow, and only
+those that aren't remembered are encoded; token ids and decoded bytes are gathered from tables.
 """
 
 from __future__ import annotations
@@ -10,8 +13,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterable
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -20,12 +21,24 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch
+from .common import by_batch, text_bytes
 
 #: White space as the tokenizer's pattern engine sees it (Unicode White_Space); fixed values.
-_SPACE = r"\t-\r \x85\xa0  -     　"
-#: The byte-level split pattern, a fixed value of the public vocabulary.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The byte-level split pattern, a fixed value of the public vocabulary. words_begin() cuts by it.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+#: Contractions that the pattern keeps in one word, after their apostrophe; fixed values.
+_ONE_LETTER, _TWO_LETTERS = "stmd", ("re", "ve", "ll")
+
+
+def character_classes() -> np.ndarray:
+    """Per code point: 0 white space, 1 letter, 2 number, 3 anything else."""
+    out = np.full(0x110000, 3, dtype=np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind, of in ((0, f"[{_SPACE}]+"), (1, r"\p{L}+"), (2, r"\p{N}+")):
+        for found in regex.finditer(of, every):
+            out[ord(found[0][0]) : ord(found[0][-1]) + 1] = kind
+    return out
 
 
 def _byte_letters() -> dict[str, int]:
@@ -47,35 +60,43 @@ def load_vocabulary(path: str) -> dict:
         "ids": ids,
         "merges": {(ids[raw(a)], ids[raw(b)]): (rank, ids[raw(a) + raw(b)]) for rank, (a, b) in enumerate(merges)},
         "special": {t["content"]: t["id"] for t in told.get("added_tokens", [])},
+        "classes": character_classes(),
     }
 
 
 _NEVER = 1 << 40
-_ODD_BLANK = re.compile(r" \s| \Z")
-_AT_BLANK = re.compile(rf"(?= [^{_SPACE}])")
-
 
 class SpeculativeBPE:
-    """Encodes and decodes. What is known of a piece is remembered up to most_pieces, then forgotten all at once."""
+    """Encodes and decodes. The tokens of a word are remembered; beyond most_words all words are forgotten at once."""
 
-    def __init__(self, vocabulary: dict, most_pieces: int = 1 << 19):
+    def __init__(self, vocabulary: dict, most_words: int = 1 << 18):
         self.ids, self.merges, self.special = vocabulary["ids"], vocabulary["merges"], vocabulary["special"]
+        self.classes, self.most_words = vocabulary["classes"], most_words
         self.bytes_of = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.split = regex.compile(PATTERN, regex.V1)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.most_pieces = most_pieces
+        longest_first = sorted((t.encode() for t in self.special), key=len, reverse=True)
+        self.find_special = re.compile(b"|".join(map(re.escape, longest_first))) if self.special else None
         self.finder = ahocorasick.Automaton()
         for token, i in self.ids.items():
-            self.finder.add_word(token.decode("latin-1"), (i, len(token)))
+            self.finder.add_word(token.decode("latin-1"), i)
         self.finder.make_automaton()
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
         self._spines()
         table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
-        self.token_bytes = np.frombuffer(b"".join(table), dtype=np.uint8)
-        self.token_size = np.array([len(t) for t in table], dtype=np.int64)
-        self.token_start = np.cumsum(self.token_size) - self.token_size
-        self.sound = np.zeros(max(self.bytes_of) + 1, dtype=np.int8)  # 1: made of its own bytes, -1: not, 0: not looked at
+        self.table = pa.array(table, pa.binary())
+        self.sound = np.zeros(len(table), dtype=np.int8)  # 1: made of its own bytes, -1: not, 0: not looked at
+        self._forget()
+
+    def _forget(self) -> None:
+        """What is remembered: words by number, and of each number its tokens, as a range of one array."""
+        self.number: dict[bytes, int] = {}
+        self.start, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        if self.special:
+            self._remember([t.encode() for t in self.special], np.array([*self.special.values()], dtype=np.int32), np.ones(len(self.special), dtype=np.int64))
+
+    def _remember(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, flat])
 
     def _spines(self) -> None:
         """Per token, what stands at its right and at its left edge while the merges make it, each with the
@@ -128,21 +149,21 @@ class SpeculativeBPE:
         at = np.minimum(np.searchsorted(self.merge_keys, key), len(self.merge_keys) - 1)
         return np.where(self.merge_keys[at] == key, self.merge_ranks[at], _NEVER)
 
-    def merge_all(self, words: list[bytes]) -> list[bytes]:
-        """merge() of many words side by side: each round makes the next merge of every word that has one."""
-        out: list[bytes] = [b""] * len(words)
-        short = [k for k, w in enumerate(words) if len(w) <= 48]
-        for k, w in enumerate(words):
-            if len(w) > 48:
-                out[k] = np.array(self.merge(w), dtype="<i4").tobytes()
-        if not short:
-            return out
-        token = self.byte_id[np.frombuffer(b"".join([words[k] for k in short]), dtype=np.uint8)]
-        word = np.repeat(np.arange(len(short)), [len(words[k]) for k in short])
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of many words side by side: each round makes the next merge of every word that has one. Returns
+        the tokens, word after word, and the number of each word's."""
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        long = np.flatnonzero(lengths > 48)
+        done_word, done_token = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k in long.tolist():
+            done_token.append(np.array(self.merge(words[k]), dtype=np.int64))
+            done_word.append(np.full(len(done_token[-1]), k))
+        short = np.flatnonzero(lengths <= 48)
+        token = self.byte_id[np.frombuffer(b"".join([words[k] for k in short.tolist()]), dtype=np.uint8)]
+        word = np.repeat(short, lengths[short])
         rank = np.full(len(token), _NEVER)  # of the pair that begins here
         inner = np.flatnonzero(word[1:] == word[:-1])
         rank[inner] = self._ranks(token[inner], token[inner + 1])
-        done_word, done_token = [], []
         while len(token):
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             least = np.minimum.reduceat(rank, first)
@@ -171,13 +192,7 @@ class SpeculativeBPE:
                 spot = spot[same]
                 rank[spot] = self._ranks(token[spot], token[spot + 1])
         word, token = np.concatenate(done_word), np.concatenate(done_token)
-        order = np.argsort(word, kind="stable")
-        sizes = np.bincount(word, minlength=len(short))
-        flat, at = token[order].astype("<i4").tobytes(), 0
-        for k, size in zip(short, (sizes * 4).tolist()):
-            out[k] = flat[at : at + size]
-            at += size
-        return out
+        return token[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
     def pairs_hold(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each adjacent pair of tokens stays a pair when its bytes are merged alone.
@@ -207,81 +222,101 @@ class SpeculativeBPE:
         return self.sound[tokens] < 0
 
     def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Greedy longest matches of all words, and to which word each belongs."""
-        found = [(end, *value) for end, value in self.finder.iter_long("\u0100".join([w.decode("latin-1") for w in words]))]
-        table = np.array(found, dtype=np.int64).reshape(-1, 3)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        return table[:, 1], np.searchsorted(ends, table[:, 0], side="right")
+        """Greedy longest matches of all words, and to which word each belongs. Words don't hold the byte 255."""
+        told = np.array([i for _, i in self.finder.iter_long(b"\xff".join(words).decode("latin-1"))], dtype=np.int64)
+        between = told == self.byte_id[255]
+        return told[~between], np.cumsum(between)[~between]
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Encodes words that aren't remembered yet, all at once."""
-        raw = [w.encode() for w in words]
-        flat, word_of = self.propose(raw)
+        flat, word_of = self.propose(words)
         sizes = np.bincount(word_of, minlength=len(words))
-        lengths = np.array([len(self.bytes_of[t]) for t in flat.tolist()], dtype=np.int64)
-        fails = np.bincount(word_of, weights=lengths, minlength=len(words)) != np.array([len(w) for w in raw])
+        fails = np.zeros(len(words), dtype=bool)
         same = word_of[1:] == word_of[:-1]
         key, back = np.unique(flat[:-1][same] << 32 | flat[1:][same], return_inverse=True)
         fails[word_of[1:][same][~self.pairs_hold(key >> 32, key & 0xFFFFFFFF)[back]]] = True
         fails[word_of[self._unsound(flat)]] = True
-        as_bytes, ends = flat.astype("<i4").tobytes(), (np.cumsum(sizes) * 4).tolist()
-        self.words.update(zip(words, [as_bytes[a:b] for a, b in zip([0, *ends], ends)]))
-        redo = np.flatnonzero(fails).tolist()
-        self.words.update(zip([words[k] for k in redo], self.merge_all([raw[k] for k in redo])))
-
-    def pieces(self, text: str) -> list[str]:
-        """Words of the split pattern; special tokens stand alone."""
-        for special in self.special:
-            if special in text:
-                break
+        redo = np.flatnonzero(fails)
+        if len(redo):
+            stays = ~np.repeat(fails, sizes)
+            merged, merged_sizes = self.merge_all([words[k] for k in redo.tolist()])
+            self._remember([words[k] for k in np.flatnonzero(~fails).tolist()], flat[stays].astype(np.int32), sizes[~fails])
+            self._remember([words[k] for k in redo.tolist()], merged.astype(np.int32), merged_sizes)
         else:
-            return self.split.findall(text)
-        out: list[str] = []
-        for part in self.cut.split(text):
-            if part in self.special:
-                self.words.setdefault(part, np.array([self.special[part]], dtype="<i4").tobytes())
-                out.append(part)
-            elif part:
-                out += self.split.findall(part)
+            self._remember(words, flat.astype(np.int32), sizes)
+
+    def words_begin(self, data: bytes, starts: np.ndarray) -> np.ndarray:
+        """For each byte of the texts in data, which begin at starts, whether a word of PATTERN begins there."""
+        raw = np.frombuffer(data, dtype=np.uint8)
+        lead = (raw & 0xC0) != 0x80
+        code = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+        cut = np.zeros(len(raw) + 1, dtype=bool)  # where texts and special tokens begin and end
+        cut[starts] = True
+        inside = []
+        for found in self.find_special.finditer(data) if self.find_special else ():
+            if not cut[found.start() + 1 : found.end()].any():
+                inside.append(found.span())
+        for a, b in inside:
+            cut[[a, b]] = True
+        first = cut[:-1][lead]
+        kind = self.classes[code]
+        begins = first.copy()
+        begins[1:] |= kind[1:] != kind[:-1]
+        # white space before a word: its last character stands alone, or goes to the word if it is a blank
+        after = np.flatnonzero((kind[1:] != 0) & (kind[:-1] == 0) & ~first[1:]) + 1
+        begins[after - 1] = True
+        begins[after[code[after - 1] == 0x20]] = False
+        quote = np.flatnonzero((code[:-1] == 0x27) & begins[:-1] & (kind[1:] == 1) & ~first[1:])
+        if len(quote):
+            one = np.isin(code[quote + 1], [ord(c) for c in _ONE_LETTER])
+            third = np.minimum(quote + 2, len(code) - 1)
+            pair = code[quote + 1].astype(np.int64) << 32 | code[third]
+            two = np.isin(pair, [ord(a) << 32 | ord(b) for a, b in _TWO_LETTERS]) & (quote + 2 < len(code)) & ~first[third]
+            begins[quote[one | two] + 1] = False
+            rest = np.concatenate([quote[one] + 2, quote[two] + 3])
+            begins[rest[rest < len(code)]] = True
+        out = np.zeros(len(raw), dtype=bool)
+        out[lead] = begins
+        for a, b in inside:
+            out[a + 1 : b] = False
         return out
 
-    def chunked(self, text: str) -> list[str]:
-        """The text cut before each blank that something other than white space follows: the split pattern
-        always cuts there, so chunks can be encoded one by one."""
-        if " " not in text or any(s in text for s in self.special):
-            return [text] if text else []
-        if _ODD_BLANK.search(text):
-            return [x for x in _AT_BLANK.split(text) if x]
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
-
-    def encode(self, texts: list[str]) -> list[list[bytes]]:
-        """For each text its chunks' token ids, each chunk's as little-endian 32-bit integers."""
-        if len(self.words) + len(self.chunks) > self.most_pieces:
-            self.words.clear()
-            self.chunks.clear()
-        chunks = [self.chunked(t) for t in texts]
-        get = self.chunks.get
-        out = [list(map(get, c)) for c in chunks]
-        missing = {c for known, cs in zip(out, chunks) if None in known for x, c in zip(known, cs) if x is None}
-        if not missing:
-            return out
-        fresh = {c: self.pieces(c) for c in missing}
-        words = [w for w in dict.fromkeys(chain.from_iterable(fresh.values())) if w not in self.words]
-        if words:
-            self.learn(words)
-        of = self.words
-        self.chunks.update((c, of[p[0]] if len(p) == 1 else b"".join([of[x] for x in p])) for c, p in fresh.items())
-        get = self.chunks.__getitem__
-        return [[get(c) if x is None else x for x, c in zip(known, cs)] if None in known else known for known, cs in zip(out, chunks)]
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of token ids; special tokens are kept."""
-        sizes = self.token_size[ids]
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The token ids of all texts, one after the other, and the number of each text's."""
+        data = b"".join(texts)
+        if not data:
+            return np.empty(0, np.int32), np.zeros(len(texts), dtype=np.int64)
+        if len(self.number) > self.most_words:
+            self._forget()
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        starts = np.cumsum(lengths) - lengths
+        at = np.flatnonzero(self.words_begin(data, starts)).astype(np.int32)
+        offsets = pa.py_buffer(np.append(at, np.int32(len(data))))
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        kinds = words.dictionary.to_pylist()
+        known = list(map(self.number.get, kinds))
+        if None in known:
+            self.learn([w for w, k in zip(kinds, known) if k is None])
+            known = list(map(self.number.__getitem__, kinds))
+        number = np.array(known, dtype=np.int64)[words.indices.to_numpy()]
+        sizes = self.size[number]
         ends = np.cumsum(sizes)
-        at = np.repeat(self.token_start[ids] - (ends - sizes), sizes)
-        at += np.arange(len(at))
-        return self.token_bytes[at].tobytes()
+        place = np.repeat(self.start[number] - (ends - sizes), sizes)
+        place += np.arange(len(place))
+        before = np.append(0, ends)[np.searchsorted(at, np.append(starts, len(data)))]
+        return self.flat[place], np.diff(before)
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """The texts of token ids, given one after the other with the number of each text's; special tokens are kept."""
+        told = self.table.take(pa.array(ids, pa.int32()))
+        if not len(ids):
+            return pa.array([""] * len(sizes), pa.string())
+        ends = np.frombuffer(told.buffers()[1], dtype=np.int32)[np.append(0, np.cumsum(sizes))]
+        raw = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), told.buffers()[2]])
+        try:
+            return raw.cast(pa.string())
+        except pa.ArrowInvalid:  # ids that don't come of a text
+            return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,15 +333,9 @@ def bpe_round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if "bpe" not in state:
             state["bpe"] = SpeculativeBPE(held.value)
-        bpe = state["bpe"]
-        coded = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
-        flat = [b"".join(parts) for parts in coded]
-        offsets = np.zeros(len(flat) + 1, dtype=np.int32)
-        np.cumsum([len(x) // 4 for x in flat], out=offsets[1:])
-        raw = pa.py_buffer(b"".join(flat))
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, raw]))
-        back = [bpe.decode(np.frombuffer(x, dtype="<i4")).decode("utf-8", "replace") for x in flat]
-        return pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(back, pa.string())], names=[id_col, "ids", "decoded"])
+        ids, sizes = state["bpe"].encode(text_bytes(batch.column(1)))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids))
+        return pa.RecordBatch.from_arrays([batch.column(0), lists, state["bpe"].decode(ids, sizes)], names=[id_col, "ids", "decoded"])
 
     picked = docs.select(F.col(id_col), F.col(text_col))
     kind = picked.schema[id_col].dataType.simpleString()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -106,10 +107,19 @@ def by_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], most_bytes
                 out = work(part)
                 if out is not None and out.num_rows:
                     yield out
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers outlive their tasks, and those of later stages stand beside them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
     if not batch.num_rows:
         return

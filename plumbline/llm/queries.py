@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +20,13 @@ from .quality import fit_quality, quality_scores
 from .substrings import remove_repeats
 from .toxicity import fit_toxicity, toxicity_scores
 
-#: Where the public vocabulary files lie; a parameter of the queries below.
-TOKENIZERS = "/opt/tokenizers"
+#: Name of the public vocabulary file of the queries below; operators take any path.
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text they decode to, as digests."""
-    coded = bpe_round_trip(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    coded = bpe_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from .decontaminate import decontaminate
 from .neardup import drop_near_duplicates
 from .pii import pseudonymise
 from .quality import fit_quality, keep_quality
-from .queries import PII_KEY, TOKENIZERS
+from .queries import PII_KEY, VOCABULARY
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the text that they decode to."""
-    coded = bpe_round_trip(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    coded = bpe_round_trip(docs, public_tokenizers.path(VOCABULARY))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 

@@ -6,12 +6,13 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, decontaminate, html, media, neardup, pii, ppm, quality, substrings, toxicity
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def words(rng, n, kinds=400):
@@ -67,8 +68,20 @@ def test_bpe_on_odd_strings():
     rng = random.Random(2)
     parts = [" ", "  ", "\n", "\t", "\x1c", "\x85", "​", "﻿", "a", "B", "'s", "'LL", "é", "ß", "中", "😀", "1", "Ⅷ", "!", "<|endoftext|>", "́", "　", "\x00", " the", "|"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(3000)] + ["a" * 5000, "中" * 3000]
-    for t, chunks in zip(texts, own.encode(texts)):
-        assert np.frombuffer(b"".join(chunks), "<i4").tolist() == library.encode(t, add_special_tokens=False).ids
+    texts += ["the <|endof", "text|> the", "'sun 's ''s it's'll x'rest\t's", "a  <|endoftext|>  b", ""]
+    ids, sizes = own.encode([t.encode() for t in texts])
+    for t, part, back in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), own.decode(ids, sizes).to_pylist()):
+        assert part.tolist() == library.encode(t, add_special_tokens=False).ids and back == t
+    assert own.encode([b"", b""])[1].tolist() == [0, 0] and own.decode(np.empty(0, np.int32), np.zeros(2, int)).to_pylist() == ["", ""]
+
+
+def test_bpe_forgets_and_learns_again():
+    vocabulary, rng = bpe.load_vocabulary(VOCABULARY), random.Random(4)
+    texts = [words(rng, 50, 10**6).encode() for _ in range(40)]
+    small, large = bpe.SpeculativeBPE(vocabulary, most_words=10), bpe.SpeculativeBPE(vocabulary)
+    for t in texts:
+        assert small.encode([t])[0].tolist() == large.encode([t])[0].tolist()
+    assert len(small.number) < len(large.number)
 
 
 def test_bpe_pairs_and_merges():
@@ -78,7 +91,8 @@ def test_bpe_pairs_and_merges():
     alone = [own.merge(own.bytes_of[a] + own.bytes_of[b]) == [a, b] for a, b in zip(left.tolist(), right.tolist())]
     assert own.pairs_hold(left, right).tolist() == alone
     many = [bytes(rng.integers(97, 101, int(rng.integers(1, 60))).astype(np.uint8)) for _ in range(500)]
-    assert [np.frombuffer(m, "<i4").tolist() for m in own.merge_all(many)] == [own.merge(w) for w in many]
+    flat, sizes = own.merge_all(many)
+    assert [part.tolist() for part in np.split(flat, np.cumsum(sizes)[:-1])] == [own.merge(w) for w in many]
 
 
 def test_bpe_empty_table(no_docs):
@@ -420,7 +434,7 @@ def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("x"))
     out = [r.y for r in df.select(pii.permute_symbols(F.col("x"), 10, "k", "t").alias("y")).collect()]
     assert len(set(out)) == 1000 and all(len(y) == 3 for y in out)
-    days = spark.range(pii.N_DAYS).select(F.date_format(F.date_add(F.to_date(F.lit(pii.FIRST_DAY)), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
+    days = spark.range(pii.DAYS_SIDE**2).select(F.date_format(F.date_add(F.to_date(F.lit(pii.FIRST_DAY)), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
     assert days.where("d < '1910-01-01'").select(pii._date(F.col("d"), "k").alias("y")).distinct().count() == 3652
 
 
