@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 8
+ROUNDS = 10
 
 #: Countries by the length of their IBANs.
 IBAN_LENGTHS = {
@@ -24,9 +24,12 @@ IBAN_LENGTHS = {
 }
 _IBANS = "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
 
-#: Kinds in the order in which they are tried; each pattern has no capturing group of its own.
+#: A label of a host name. A match may end inside a host of very many labels: hosts stay as they are.
+_LABEL = "[A-Za-z0-9][A-Za-z0-9-]*+(?<!-)"
+#: Kinds in the order in which they are tried; each pattern has no capturing group of its own. Repetitions of groups
+#: are bounded or possessive: the matcher recurses for others, and a long text would exhaust its stack.
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
+    "email": rf"(?<![\w.+%-])(?=[._%+-]*+[A-Za-z0-9])[A-Za-z0-9._%+-]{{1,64}}+@{_LABEL}(?:\.{_LABEL}){{0,20}}\.[A-Za-z]{{2,}}+",
     "iban": rf"(?<![\w])(?:(?:{_IBANS})(?!\w)|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?!\w)",
     "date": r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]|\.[0-9])",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])",
@@ -42,10 +45,16 @@ _EDGE = f"[{_MARKS[0]}-{_MARKS[-1]}]"
 _FOURS = r"(?<![\w.-])[0-9]{4}(?:[ -][0-9]{4}){3}(?![\w]|[.-][0-9])"
 ANY = "|".join(f"(?<={_EDGE})(?:{p})(?={_EDGE})|{_FOURS}" if kind == "card" else f"(?:{p})" for kind, p in PATTERNS.items())
 #: Numbers with one blank or hyphen between them, 13 digits or more; none of them ends inside a word, a decimal or an address.
-_AFTER = r"(?![\w]|\.[0-9]|[\w.%+-]*@|-[0-9]+(?:[A-Za-z_]|\.[0-9]))"
+_AFTER = r"(?![\w]|\.[0-9]|[\w.%+-]{0,64}+@|-[0-9]+(?:[A-Za-z_]|\.[0-9]))"
 RUN = rf"(?<![\w.-])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++{_AFTER}(?:[ -][0-9]++{_AFTER})*+"
-#: First and last day that count as dates; their number, less one, is 2 * 36524, so days fit 2 x 36524 values.
-FIRST_DAY, N_DAYS = "1900-01-01", 2 * 36524
+#: Dates from FIRST_DAY to 2101-01-27 count: as many days as the square of DAYS_SIDE, so both halves weigh the same.
+FIRST_DAY, DAYS_SIDE = "1900-01-01", 271
+#: How the values of one symbol are cut in two halves, by base.
+_ONE = {10: (2, 5), 36: (6, 6)}
+
+
+#: Numbers of a run that are gone through at a time.
+_BLOCK = 512
 
 
 def _whole(pattern: str) -> str:
@@ -86,8 +95,9 @@ def _symbols(value: Column, n: Column, base: int) -> Column:
 
 
 def permute_symbols(text: Column, base: int, key: str, kind: str) -> Column:
-    """Permutes strings of digits (base 10) or of digits and small letters (base 36) of the same length: blocks of up
-    to 20 symbols, each by a Feistel network over its two halves."""
+    """Permutes strings of digits (base 10) or of digits and small letters (base 36) of the same length: blocks of
+    2 to 20 symbols, as equal in length as can be, each by a Feistel network over its two halves; a string of one
+    symbol by one over two factors of the base."""
 
     def one(block: Column) -> Column:
         def cut(u: Column) -> Column:
@@ -97,9 +107,16 @@ def permute_symbols(text: Column, base: int, key: str, kind: str) -> Column:
 
         return let(F.floor(F.length(block) / 2).cast("int"), cut)
 
+    def alone(symbol: Column) -> Column:
+        left, right = _ONE[base]
+        out = let(_number(symbol, base), lambda n: feistel(F.floor(n / right), n % right, F.lit(left), F.lit(right), key, kind))
+        return let(out, lambda x: _symbols(x["l"] * right + x["r"], F.lit(1), base))
+
     def all_blocks(t: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.floor((F.length(t) - 1) / 20), F.lit(0)).cast("int"))
-        return F.array_join(F.transform(starts, lambda k: let(F.substring(t, k * 20 + 1, F.lit(20)), one)), "")
+        n, blocks = F.length(t), F.ceil(F.length(t) / 20).cast("int")
+        begin = lambda k: F.floor(n * k / blocks).cast("int")
+        each = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: let(F.substring(t, begin(k) + 1, begin(k + 1) - begin(k)), one))
+        return F.when(n <= 0, t).when(n == 1, alone(t)).otherwise(F.array_join(each, ""))
 
     return let(text, all_blocks)
 
@@ -177,10 +194,10 @@ def _date(x: Column, key: str) -> Column:
 
     def moved(found: Column) -> Column:
         def permuted(n: Column) -> Column:
-            out = feistel(n % 2, F.floor(n / 2), F.lit(2), F.lit(N_DAYS // 2), key, "date")
-            day = F.date_add(F.to_date(F.lit(FIRST_DAY)), let(out, lambda o: (o["l"] + 2 * o["r"]).cast("int")))
+            out = feistel(n % DAYS_SIDE, F.floor(n / DAYS_SIDE), F.lit(DAYS_SIDE), F.lit(DAYS_SIDE), key, "date")
+            day = F.date_add(F.to_date(F.lit(FIRST_DAY)), let(out, lambda o: (o["l"] + DAYS_SIDE * o["r"]).cast("int")))
             text = let(day, lambda d: F.coalesce(*[F.when(found["form"] == form, F.date_format(d, form)) for form in ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "dd/MM/yyyy", "MM/dd/yyyy")]))
-            return F.when((n >= 0) & (n < N_DAYS), text)
+            return F.when((n >= 0) & (n < DAYS_SIDE**2), text)
 
         return let(F.datediff(found["day"], F.to_date(F.lit(FIRST_DAY))), permuted)
 
@@ -261,18 +278,25 @@ def _mark_cards(run: Column, mark: Column) -> Column:
             begins = (i == 1) | F.element_at(part, F.greatest(i - 1, F.lit(1))).endswith(" ")
             return F.when(begins, let(extents, chosen)).otherwise(0)
 
+        # per number: 1 if a card begins there, 2 if one ends, 3 both. Codes are gathered block by block: arrays are
+        # copied whenever they grow, and a run may have as many numbers as the text has room for
         def step(a: Column, i: Column) -> Column:
             def taken(k: Column) -> Column:
-                hit = F.struct((i + k).alias("next"), F.concat(a["first"], F.array(i)).alias("first"), F.concat(a["last"], F.array(i + k - 1)).alias("last"))
-                return F.when(k > 0, hit).otherwise(a)
+                return F.struct((F.when(k > 0, i + k).otherwise(a["next"])).alias("next"), F.concat(a["codes"], F.array(F.when(k == 1, 3).when(k > 1, 1).otherwise(0))).alias("codes"))
 
-            return F.when(i < a["next"], a).otherwise(let(longest(i), taken))
+            inside = F.struct(a["next"].alias("next"), F.concat(a["codes"], F.array(F.when(i + 1 == a["next"], 2).otherwise(0))).alias("codes"))
+            return F.when(i < a["next"], inside).otherwise(let(longest(i), taken))
 
         none = F.array().cast("array<int>")
-        start = F.struct(F.lit(1).alias("next"), none.alias("first"), none.alias("last"))
-        hits = F.aggregate(F.sequence(F.lit(1), F.size(part)), start, step)
-        edge = lambda at, i: F.when(F.array_contains(at, i + 1), mark).otherwise("")
-        told = lambda h: F.array_join(F.transform(part, lambda t, i: F.concat(edge(h["first"], i), _digits(t), edge(h["last"], i), F.regexp_replace(t, "[0-9]", ""))), "")
+
+        def block(a: Column, k: Column) -> Column:
+            numbers = F.sequence(k * _BLOCK + 1, F.least((k + 1) * _BLOCK, F.size(part)))
+            done = F.aggregate(numbers, F.struct(a["next"].alias("next"), none.alias("codes")), step)
+            return let(done, lambda d: F.struct(d["next"].alias("next"), F.concat(a["codes"], d["codes"]).alias("codes")))
+
+        hits = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(part) - 1) / _BLOCK).cast("int")), F.struct(F.lit(1).alias("next"), none.alias("codes")), block, lambda a: a["codes"])
+        edge = lambda code, bit: F.when(code.bitwiseAND(bit) > 0, mark).otherwise("")
+        told = lambda codes: F.array_join(F.zip_with(part, codes, lambda t, c: F.concat(edge(c, 1), _digits(t), edge(c, 2), F.regexp_replace(t, "[0-9]", ""))), "")
         return let(hits, told)
 
     return let(F.regexp_extract_all(run, F.lit("[0-9]+[ -]?"), F.lit(0)), marked)
@@ -289,13 +313,22 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """docs with the personal data in text_col replaced, and the number of replaced values in count_col.
 
     All other columns stay as they are, so does a null text (count 0); texts without personal data come back
-    unchanged. Repeated values, in one text or in many, get the same pseudonym. Only SQL functions run: texts are
-    cut at the candidates, these are mapped one by one, and the parts are joined again. No shuffle.
+    unchanged. If docs has a column named count_col already, that stays too, and the count's name gets as many
+    underscores behind it as make it new. Repeated values, in one text or in many, get the same pseudonym. Mail names
+    have 64 characters at most. Only SQL functions run: texts are cut at the candidates, these are mapped one by
+    one, and the parts are joined again. No shuffle.
     """
     text = F.col(f"`{text_col}`")
     likely = text.rlike("[0-9@]") & text.rlike(LIKELY)
     taken = {c.lower() for c in docs.columns}
-    temp, cut = [n for n in ("_found", "_found_", "_found__", "_found___") if n not in taken][:2]
+
+    def fresh(name: str) -> str:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        return name
+
+    temp, cut = fresh("_found"), fresh("_cut")
     mark = F.translate(F.md5(text), "0123456789abcdef", _MARKS)
     # values are mapped in a column of their own, so that each is worked out once
     step = docs.withColumn(cut, F.when(likely, let(mark, lambda m: marked(text, m))))
@@ -309,5 +342,5 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     )
     out = step.withColumn(text_col, F.when(F.col(temp).isNull(), text).otherwise(F.replace(joined, mark, F.lit(""))))
     if count_col is not None:
-        out = out.withColumn(count_col, F.coalesce(F.size(F.filter(F.col(temp), lambda x: x["old"] != x["new"])), F.lit(0)).cast("long"))
+        out = out.withColumn(fresh(count_col), F.coalesce(F.size(F.filter(F.col(temp), lambda x: x["old"] != x["new"])), F.lit(0)).cast("long"))
     return out.drop(temp, cut)
