@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, text_bytes
+from .common import mapped, ship, text_bytes
 
 #: White space as the tokenizer's pattern engine sees it (Unicode White_Space); fixed values.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -327,6 +327,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
     (fixed size) is read on the driver and broadcast. One pass, no shuffle.
     """
     spark = docs.sparkSession
+    ship(spark)
     held = spark.sparkContext.broadcast(load_vocabulary(vocabulary_path))
     state: dict = {}
 
@@ -339,4 +340,4 @@ def bpe_round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
 
     picked = docs.select(F.col(id_col), F.col(text_col))
     kind = picked.schema[id_col].dataType.simpleString()
-    return picked.mapInArrow(by_batch(work, 4 << 20), f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return mapped(picked, work, f"`{id_col}` {kind}, ids array<int>, decoded string", 4 << 20)

@@ -17,8 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch that goes to a Python worker, where the session sets none: 10,000 long texts at once would not fit.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Hands this package to the Python workers, once per Spark context, so that they need not have it installed."""
+    """Hands this package to the Python workers, once per Spark context, so that they need not have it installed, and
+    bounds the bytes of a batch of rows in this session, unless it has a bound of its own."""
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_plumbline_shipped", False):
         return
@@ -47,6 +54,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what all queries have written to the shared folder; their results can't be read after that, unless
+    they have been written elsewhere."""
+    _delete(spark, f"{shared_dir(spark)}/plumbline")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Scratch:
     """Tables written to the shared folder while one query is planned; they cut lineage, and a lost
     executor costs only a re-read. drop() removes those that no later step reads."""
@@ -69,7 +87,9 @@ class Scratch:
         path, name = f"{self.root}/{self.n}", f"plumbline_{uuid.uuid4().hex}"
         self.n += 1
         df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name, format="parquet")
-        return self.spark.table(name)
+        out = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the plan knows the files by now; those stay, as the folder was given
+        return out
 
     def tidy(self) -> None:
         """Lets Spark remove the shuffle files of finished steps."""
@@ -77,10 +97,8 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df.__dict__["_scratch_path"])
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, df.__dict__["_scratch_path"])
 
 
 def id_bucket(column: str, modulus: int) -> Column:
@@ -112,6 +130,12 @@ def by_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], most_bytes
     return run
 
 
+def mapped(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: object, most_bytes: int = 16 << 20) -> DataFrame:
+    """df with work done on slices of its batches; this package goes along."""
+    ship(df.sparkSession)
+    return df.mapInArrow(by_batch(work, most_bytes), schema)
+
+
 def give_back() -> None:
     """Returns freed memory to the system: Python workers outlive their tasks, and those of later stages stand beside them."""
     gc.collect()
@@ -143,7 +167,7 @@ def filter_rows(docs: DataFrame, text_col: str, stays: Callable[[pa.Array], list
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(stays(batch.column(at)), pa.bool_()))
 
-    return docs.mapInArrow(by_batch(work, 8 << 20), docs.schema)
+    return mapped(docs, work, docs.schema, 8 << 20)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -153,6 +177,54 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def split_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of bytes that aren't ASCII white space begin and end."""
+    space = (data == 32) | (data - np.uint8(9) < 5)
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(data) and not space[0]:
+        edge = np.append(0, edge)
+    if len(edge) % 2:
+        edge = np.append(edge, len(data))
+    return edge[::2], edge[1::2]
+
+
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, eight bytes of all of them at a time; very long words one by one."""
+    import xxhash
+
+    size = ends - starts
+    whole = np.zeros(len(data) // 8 + 2, dtype=np.uint64)
+    whole.view(np.uint8)[: len(data)] = data
+
+    def eight(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        place, bits = at >> 3, (at & 7).astype(np.uint64) << np.uint64(3)
+        return (whole[place] >> bits | whole[place + 1] << np.uint64(1) << (np.uint64(63) - bits)) & _KEEP[np.minimum(left, 8)]
+
+    out = mix64(eight(starts, size) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    done, more = 8, np.flatnonzero(size > 8)
+    while len(more) and done < 64:
+        out[more] = mix64(out[more] ^ eight(starts[more] + done, size[more] - done)) + np.uint64(done)
+        done += 8
+        more = more[size[more] > done]
+    for k in more.tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return out
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs of anything but ASCII white space) of all texts, one after the other, and the number
+    of each text's. lower: with A-Z as small letters."""
+    data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+    if lower:
+        data = np.where(data - np.uint8(65) < 26, data | 32, data)
+    starts, ends = split_words(data)
+    past = np.cumsum([len(t) + 1 for t in texts])
+    return hash_words(data, starts, ends), np.diff(np.searchsorted(starts, past), prepend=0)
+
+
 class WordHashes(dict):
     """64-bit hash of each word, remembered; emptied at a bound, so memory doesn't follow the vocabulary."""
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_batch, filter_rows, mix64
+from .common import WordHashes, filter_rows, mapped, mix64
 
 BITS, BLOCKS = 64, 8
 BLOCK_BITS = BITS // BLOCKS
@@ -236,7 +236,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, thre
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *columns], names=[id_col, "item_id", "first_word", "n_words", "hamming", "similarity"])
 
     picked = docs.select(F.col(id_col), F.col(text_col))
-    return picked.mapInArrow(by_batch(work, 8 << 20), f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, item_id long, first_word long, n_words long, hamming long, similarity double")
+    return mapped(picked, work, f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, item_id long, first_word long, n_words long, hamming long, similarity double", 8 << 20)
 
 
 class TextWordHashes(WordHashes):

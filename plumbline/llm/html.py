@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch
+from .common import mapped
 
 #: Tags by kind; fixed values of the HTML standard.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td template textarea tfoot th thead title tr ul".split())
@@ -183,4 +183,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str =
 
     picked = pages.select(*[F.col(f"`{n}`") for n in names])
     kinds = ", ".join(f"`{n}` {picked.schema[n].dataType.simpleString()}" for n in names[:-1])
-    return picked.mapInArrow(by_batch(work, 8 << 20), f"{kinds}, text string")
+    return mapped(picked, work, f"{kinds}, text string", 8 << 20)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, text_bytes
+from .common import mapped, text_bytes
 
 BLOCK, PAD = 576, b"\xff"
 FRAME, HOP, RATE = 288, 144, 8000
@@ -93,4 +93,4 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in raw], pa.int64()), pa.array(stored, pa.binary()), pa.array(back, pa.binary()), prints], names=[id_col, "n_bytes", "media", "payload", "fingerprint"])
 
     picked = docs.select(F.col(id_col), F.col(text_col))
-    return picked.mapInArrow(by_batch(work, 2 << 20), f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, n_bytes long, media binary, payload binary, fingerprint array<long>")
+    return mapped(picked, work, f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, n_bytes long, media binary, payload binary, fingerprint array<long>", 2 << 20)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, by_batch, mix64, text_bytes
+from .common import Scratch, WordHashes, mapped, mix64, text_bytes
 
 BINS = 256
 
@@ -97,7 +97,7 @@ def sketches(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), _longs(keys)], names=["_id", "n", "a", "b", "keys"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return picked.mapInArrow(by_batch(work, 8 << 20), "_id long, n long, a long, b long, keys array<long>")
+    return mapped(picked, work, "_id long, n long, a long, b long, keys array<long>", 8 << 20)
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -110,7 +110,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
         sets = [shingle_hashes(state["words"].of(t.lower().split()), shingle) for t in text_bytes(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _longs(sets)], names=["rep", "n", "s"])
 
-    return docs.select("rep", "_text").mapInArrow(by_batch(work, 8 << 20), "rep long, n long, s array<long>")
+    return mapped(docs.select("rep", "_text"), work, "rep long, n long, s array<long>", 8 << 20)
 
 
 def components(links: DataFrame, scratch: Scratch, known: DataFrame | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, filter_rows, labelled_sample, text_bytes
+from .common import filter_rows, labelled_sample, mapped, text_bytes
 
 #: Classes of bytes whose shares are statistics.
 CLASSES = {
@@ -144,7 +144,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", trai
         x = document_statistics(text_bytes(batch.column(0)))
         return pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
-    rows = sample.mapInArrow(by_batch(work), "x array<double>, label int").collect()
+    rows = mapped(sample, work, "x array<double>, label int").collect()
     rows.sort()  # the order in which tasks end doesn't matter
     x = np.array([r.x for r in rows]).reshape(len(rows), len(STATISTICS))
     return fit_forest(x, np.array([r.label for r in rows], dtype=np.float64))
@@ -167,7 +167,7 @@ def quality_scores(docs: DataFrame, model: Forest, id_col: str = "doc_id", text_
         return pa.RecordBatch.from_arrays([*[batch.column(names.index(n)) for n in wanted], pa.array(score)], names=[*wanted, "score"])
 
     kinds = ", ".join(f"`{n}` {picked.schema[n].dataType.simpleString()}" for n in wanted)
-    return picked.mapInArrow(by_batch(work), f"{kinds}, score double")
+    return mapped(picked, work, f"{kinds}, score double")
 
 
 def keep_quality(docs: DataFrame, model: Forest, least: float = 0.3, text_col: str = "text") -> DataFrame:

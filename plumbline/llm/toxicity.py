@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, labelled_sample, mix64
+from .common import labelled_sample, mapped, mix64
 
 WORD_SLOTS, GRAM_SLOTS, GRAMS = 1 << 16, 1 << 18, (3, 4, 5)
 WORD_DIMS, GRAM_DIMS, HIDDEN = 4, 4, 8
@@ -317,4 +317,4 @@ def toxicity_scores(docs: DataFrame, model: BiGRU, id_col: str = "doc_id", text_
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score.astype(np.float64))], names=[id_col, "score"])
 
     picked = docs.select(F.col(id_col), F.col(text_col))
-    return picked.mapInArrow(by_batch(work, 4 << 20), f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, score double")
+    return mapped(picked, work, f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, score double", 4 << 20)

@@ -153,7 +153,7 @@ def test_bands_miss_less_than_once_in_a_hundred_million():
 # repeated passages
 
 
-def test_substrings_against_counting(docs):
+def test_substrings_against_counting(spark, docs):
     rows, window = corpus(), 35
     split = [(i, (t or "").encode().split()) for i, t in rows]
     seen = collections.Counter(tuple(w[a : a + window]) for _, w in split for a in range(len(w) - window + 1))
@@ -164,9 +164,29 @@ def test_substrings_against_counting(docs):
             if seen[tuple(w[a : a + window])] > 1:
                 gone |= set(range(a, a + window))
         expected[i, len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()] += 1
-    for limits in ({}, {"most_segments": 2}, {"shard_words": 200}):
-        got = substrings.remove_repeats(docs.select("doc_id", "text"), window, **limits).collect()
-        assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == expected
+    for limits in ({}, {"often": 2}, {"often": 4}, {"shard_words": 200}):
+        for rows_a_batch in ("10000", "3"):  # the few rows of a batch know less of each other
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+            try:
+                got = substrings.remove_repeats(docs.select("doc_id", "text"), window, **limits).collect()
+            finally:
+                spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == expected
+
+
+def test_word_hashes():
+    from plumbline.llm.common import word_hashes
+
+    rng = random.Random(5)
+    parts = [" ", "\t", "\x0b", "\r\n", "a", "Bc", "abcdefgh", "é" * 5, "x" * 63, "y" * 64, "z" * 65, "w" * 200, "\x1f", "\x85", "　"]
+    texts = [b"", b" ", *("".join(rng.choice(parts) for _ in range(rng.randrange(30))).encode() for _ in range(500))]
+    for lower in (False, True):
+        hashes, sizes = word_hashes(texts, lower)
+        split = [(t.lower() if lower else t).split() for t in texts]
+        assert sizes.tolist() == [len(w) for w in split]
+        told = list(zip((w for ws in split for w in ws), hashes.tolist()))
+        assert len(set(told)) == len({w for w, _ in told}) == len({h for _, h in told})
+    assert word_hashes([])[1].tolist() == [] and word_hashes([b""])[0].tolist() == []
 
 
 def test_substrings_empty_and_null_ids(spark, no_docs):
