@@ -96,15 +96,32 @@ def edited(before: Column, old: Column, new: Column) -> Column:
     return F.when(F.contains(before, old), F.when(old == "", F.concat(new, before)).otherwise(F.concat(head, new, tail)))
 
 
+def running_sums(numbers: Column, block: int = 512) -> Column:
+    """The sum of the numbers up to each place, that one included. Sums are gathered block by block: an array that
+    grows number by number is copied each time."""
+    none = F.array().cast("array<long>")
+    start = F.struct(F.lit(0).cast("long").alias("sum"), none.alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        return F.struct((a["sum"] + x).alias("sum"), F.concat(a["out"], F.array(a["sum"] + x)).alias("out"))
+
+    def whole(a: Column, k: Column) -> Column:
+        inner = F.aggregate(F.slice(numbers, k * block + 1, F.lit(block)), F.struct(a["sum"].alias("sum"), none.alias("out")), step)
+        return F.element_at(F.transform(F.array(inner), lambda d: F.struct(d["sum"].alias("sum"), F.concat(a["out"], d["out"]).alias("out"))), 1)
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / block).cast("int"))
+    return F.when(F.size(numbers) == 0, none).otherwise(F.aggregate(blocks, start, whole, lambda a: a["out"]))
+
+
 def occurrence_lines(text: Column, needle: Column) -> Column:
     """First and last line, from 1, of each occurrence of the needle; occurrences don't overlap."""
-    mark = "\u0001"
-    parts = F.split(F.replace(text, needle, F.lit(mark)), mark, -1)
-    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    inner = breaks(needle)
-    start = lambda k: F.aggregate(F.slice(parts, F.lit(1), k + 1), F.lit(1), lambda a, x: a + breaks(x)) + k * inner
-    spans = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda k: F.struct(start(k).cast("int").alias("start"), (start(k) + inner).cast("int").alias("end")))
-    return F.when((needle == "") | (F.size(parts) < 2), F.array().cast("array<struct<start:int,end:int>>")).otherwise(spans)
+    literal = F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    parts = F.split(text, literal, -1)
+    breaks = lambda x: (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).cast("long")
+    before = running_sums(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: breaks(x)))
+    start = lambda x, k: x + 1 + k * breaks(needle)
+    spans = F.transform(before, lambda x, k: F.struct(start(x, k).cast("int").alias("start"), (start(x, k) + breaks(needle)).cast("int").alias("end")))
+    return F.when((needle == "") | ~F.contains(text, needle), F.array().cast("array<struct<start:int,end:int>>")).otherwise(spans)
 
 
 def diagram_id(name: Column) -> Column:

@@ -16,10 +16,24 @@ def numbered_lines(files: DataFrame, key: str, text: str) -> DataFrame:
 
 def repeated_windows(files: DataFrame, key: str, text: str) -> DataFrame:
     """(key, starts): windows of lines that stand at least BLOCK_REPEATS times in a file, without empty lines and
-    with enough bytes. Windows are cut inside each row; the only shuffle is that of (key, window), pre-aggregated."""
+    with enough bytes. A row is a file. Windows are told apart by a hash inside each row, so only those whose hash
+    is repeated leave it; these are grouped by their text."""
+    ls = F.col("ls")
+    window = lambda start: F.slice(ls, start + 1, F.lit(BLOCK_LINES))
     own = files.select(key, F.transform(lines(F.col(text)), trimmed).alias("ls")).where(F.size("ls") >= BLOCK_LINES + BLOCK_REPEATS - 1)
-    starts = F.sequence(F.lit(0), F.size("ls") - BLOCK_LINES)
-    each = own.select(key, "ls", F.explode(starts).alias("start")).select(key, "start", F.slice("ls", F.col("start") + 1, BLOCK_LINES).alias("w"))
+    told = F.transform(F.sequence(F.lit(0), F.size(ls) - BLOCK_LINES), lambda k: F.struct(F.xxhash64(window(k)).alias("h"), k.alias("start")))
+    # in the order of their hashes, equal windows stand side by side
+    beside = [(k, k + BLOCK_REPEATS - 1) for k in range(1 - BLOCK_REPEATS, 1)]
+
+    def repeated(x, k):
+        at = lambda j: F.get("sorted", k + j)["h"]
+        out = F.lit(False)
+        for a, b in beside:
+            out = out | ((k + a >= 0) & F.coalesce((at(a) == x["h"]) & (at(b) == x["h"]), F.lit(False)))
+        return out
+
+    each = own.withColumn("sorted", F.array_sort(told)).select(key, "ls", F.explode(F.filter("sorted", repeated)["start"]).alias("start"))
+    each = each.select(key, "start", window(F.col("start")).alias("w"))
     size = F.aggregate("w", F.lit(0), lambda a, x: a + F.octet_length(x))
     good = each.where(~F.array_contains("w", "") & (size >= BLOCK_BYTES))
     found = good.groupBy(key, F.array_join("w", "\n").alias("w")).agg(F.sort_array(F.collect_list("start")).alias("starts"))

@@ -21,26 +21,65 @@ def _settled(spark, df: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame) -> DataFrame:
-    """(src, dst) for every path of one edge or more. Paths double in length each round, so rounds grow with the
-    logarithm of the longest; each round is written before the next reads it."""
+    """(src, dst) for every path of one edge or more. Paths found in a round are joined with all paths, so lengths
+    double and rounds grow with the logarithm of the longest; each round is written before the next reads it."""
     spark = edges.sparkSession
-    known = _settled(spark, edges.select("src", "dst").distinct())
-    n = known.count()
-    while True:
-        a, b = known.alias("a"), known.alias("b")
+    known = fresh = _settled(spark, edges.select("src", "dst").distinct())
+    while not fresh.isEmpty():
+        a, b, c = known.alias("a"), fresh.alias("b"), known.alias("c")
         further = a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        known = _settled(spark, known.union(further).distinct())
-        if (now := known.count()) == n:
-            return known
-        n = now
+        further = further.union(b.join(c, F.col("b.dst") == F.col("c.src")).select(F.col("b.src").alias("src"), F.col("c.dst").alias("dst")))
+        fresh = _settled(spark, further.subtract(known))
+        known = _settled(spark, known.union(fresh))
+    return known
+
+
+def _least_labels(spark, labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, label) after each label has gone along the edges wherever it is less than what stands there."""
+    changed = labels
+    while True:
+        moved = changed.join(edges, changed.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("new"))
+        better = labels.join(moved, "node", "left").select("node", F.least("label", F.coalesce("new", "label")).alias("label"), F.coalesce(F.col("new") < F.col("label"), F.lit(False)).alias("changed"))
+        settled = _settled(spark, better)
+        labels, changed = settled.select("node", "label"), settled.where("changed").select("node", "label")
+        if changed.isEmpty():
+            return labels
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component, size) of nodes on a cycle (also one of a single edge); component is its smallest node."""
-    paths = reachable(edges)
-    back = paths.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = paths.intersect(back)
-    return both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("component"), F.count("*").alias("size"))
+    """(node, component, size) of nodes on a cycle (also one of a single edge); component is its smallest node.
+
+    Nodes without an edge in or out are trimmed. Every node takes the smallest node that reaches it; of the nodes
+    with one such label those that reach it in turn are its component, found backwards along edges within the
+    label. What is left goes through the same again. Rows stay in proportion to the edges; rounds grow with the
+    longest path on which labels travel."""
+    spark = edges.sparkSession
+    left = _settled(spark, edges.select("src", "dst").distinct())
+    found = None
+    while True:
+        while True:  # trim
+            inner = _settled(spark, left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            if inner.count() == left.count():
+                break
+            left = inner
+        if left.isEmpty():
+            break
+        nodes = left.select(F.col("src").alias("node")).distinct()
+        label = _least_labels(spark, nodes.withColumn("label", F.col("node")), left)
+        to, of = label.select(F.col("node").alias("dst"), F.col("label").alias("to")), label.select(F.col("node").alias("src"), F.col("label").alias("of"))
+        within = _settled(spark, left.join(of, "src").join(to, "dst").where(F.col("of") == F.col("to")).select("src", "dst"))
+        # backwards from each label's own node: the others begin above every label
+        back = within.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        flags = _least_labels(spark, label.select("node", F.when(F.col("node") == F.col("label"), 0).otherwise(1).alias("label")), back)
+        done = _settled(spark, label.join(flags.where("label = 0").select("node"), "node").select("node", F.col("label").alias("component")))
+        found = done if found is None else found.union(done)
+        gone = done.select("node")
+        left = _settled(spark, left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    if found is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(1).cast("long").alias("size")).where("false")
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    own = edges.where("src = dst").select(F.col("src").alias("node")).distinct().withColumn("loop", F.lit(True))
+    return found.join(sizes, "component").join(own, "node", "left").where("size > 1 or loop").select("node", "component", "size")
 
 
 def cycle_findings(edges: DataFrame) -> DataFrame:

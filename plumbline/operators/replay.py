@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,12 +16,12 @@ SNAPSHOT = "transcript string, seq int, path string, before string, after string
 
 
 def _numbered(text: str) -> str | None:
-    lines = text.splitlines()
+    lines = re.split(r"\r?\n", re.sub(r"\r?\n\Z", "", text)) if text else []
     return "\n".join(x.split("\t", 1)[1] for x in lines) if all("\t" in x for x in lines) else None
 
 
 def replay(records: Iterator[dict]) -> tuple[list[tuple], int]:
-    """(seq, path, before, after) of each edit that can be followed, and how many can't."""
+    """(seq from 1, path, before, after) of each edit that can be followed, and how many can't."""
     records = [r for r in records if isinstance(r, dict)]
     blocks = [(r.get("type"), b) for r in records for b in ((r.get("message") or {}).get("content") or []) if isinstance(b, dict)]
     results = {}
@@ -45,21 +46,23 @@ def replay(records: Iterator[dict]) -> tuple[list[tuple], int]:
                 known[path] = text
         elif name == "Write" and isinstance(given.get("content"), str):
             known[path] = given["content"]
-            out.append((len(out), path, None, given["content"]))
+            out.append((len(out) + 1, path, None, given["content"]))
         elif name in ("Edit", "MultiEdit"):
-            edits = [given] if name == "Edit" else given.get("edits") or []
+            edits = [given] if name == "Edit" else given.get("edits")
+            told = isinstance(edits, list) and all(isinstance(e, dict) and isinstance(e.get(k), str) for e in edits for k in ("old_string", "new_string"))
+            if not told and (name == "Edit" or not isinstance(edits, list)):
+                continue  # nothing to follow
             before = now = known.get(path)
             if before is None:
                 lost += max(len(edits), 1)
                 continue
-            for e in edits:
-                old, new = e.get("old_string") or "", e.get("new_string") or ""
-                now = now.replace(old, new, 1) if now is not None and old in now else None
-            if now is None:
+            for e in edits if told else ():
+                now = now.replace(e["old_string"], e["new_string"], 1) if now is not None and e["old_string"] in now else None
+            if now is None or not told:
                 lost += 1
             else:
                 known[path] = now
-                out.append((len(out), path, before, now))
+                out.append((len(out) + 1, path, before, now))
     return out, lost
 
 
@@ -86,11 +89,13 @@ def backtest(snaps: DataFrame, check, only_new: bool = False) -> DataFrame:
     """Findings of check (files -> findings) on each snapshot's after, with pre_existing where its before is known
     and has a finding of the same message."""
     real = snaps.where("path is not null")
-    # a snapshot is a file of its own: its place in the log goes in front of its name
-    at = F.concat_ws("\u0001", "transcript", F.col("seq").cast("string"), "path")
+    # a snapshot is a file of its own: its place in the log goes in front of its name, lengths first
+    at = F.concat(F.length("transcript").cast("string"), F.lit("/"), "transcript", F.lit("/"), F.col("seq").cast("string"), F.lit("/"), "path")
     after = check(real.select(at.alias("path"), F.col("after").alias("source")))
     before = check(real.where("before is not null").select(at.alias("path"), F.col("before").alias("source")))
     out = pre_existing(after, before, ["path", "rule"])
-    part = F.split("path", "\u0001")
-    out = out.select(part[0].alias("transcript"), part[1].cast("int").alias("seq"), part[2].alias("path"), "line", "rule", "message", "pre_existing")
+    size = F.split_part("path", F.lit("/"), F.lit(1))
+    rest = F.substring("path", F.length(size) + size.cast("int") + 3, F.length("path"))
+    seq = F.split_part(rest, F.lit("/"), F.lit(1))
+    out = out.select(F.substring("path", F.length(size) + 2, size.cast("int")).alias("transcript"), seq.cast("int").alias("seq"), F.substring(rest, F.length(seq) + 2, F.length(rest)).alias("path"), "line", "rule", "message", "pre_existing")
     return out.where("not pre_existing") if only_new else out

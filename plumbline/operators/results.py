@@ -10,11 +10,20 @@ from ..functions.text import described
 SARIF = "runs array<struct<results: array<struct<level: string, ruleId: string, message: struct<text: string>, locations: array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: bigint>>>>>>>>"
 
 
+def _sarif_array(log: Column) -> Column:
+    """All results of a log in order, as an array; null for what isn't a log. A missing level is a warning."""
+    every = F.flatten(F.filter(F.transform(F.from_json(log, SARIF)["runs"], lambda r: r["results"]), lambda x: x.isNotNull()))
+
+    def told(r: Column) -> Column:
+        at = F.get(r["locations"], F.lit(0))["physicalLocation"]
+        return F.struct(F.coalesce(r["level"], F.lit("warning")).alias("level"), r["ruleId"].alias("rule"), r["message"]["text"].alias("text"), at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].alias("line"))
+
+    return F.transform(every, told)
+
+
 def sarif_results(logs: DataFrame, keys: list[str], log: str = "log") -> DataFrame:
     """(keys, ord, level, rule, text, uri, line) of every result in order; a missing level is a warning."""
-    runs = logs.select(*keys, F.from_json(log, SARIF).alias("j")).select(*keys, F.posexplode(F.flatten(F.filter(F.transform("j.runs", lambda r: r["results"]), lambda x: x.isNotNull()))).alias("ord", "r"))
-    at = F.get("r.locations", F.lit(0))["physicalLocation"]
-    return runs.select(*keys, "ord", F.coalesce("r.level", F.lit("warning")).alias("level"), F.col("r.ruleId").alias("rule"), F.col("r.message.text").alias("text"), at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].alias("line"))
+    return logs.select(*keys, F.posexplode(_sarif_array(F.col(log))).alias("ord", "r")).select(*keys, "ord", "r.level", "r.rule", "r.text", "r.uri", "r.line")
 
 
 def sarif_line(uri: Column, line: Column, level: Column, text: Column, rule: Column) -> Column:
@@ -30,12 +39,14 @@ def sarif_counts(results: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sarif_report(logs: DataFrame, keys: list[str], log: str = "log") -> DataFrame:
-    """(keys, output): the header and a line per result; `0 findings` without results, null for what isn't a log."""
-    found = sarif_results(logs, keys, log)
-    body = found.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", sarif_line(F.col("uri"), F.col("line"), F.col("level"), F.col("text"), F.col("rule")).alias("x")))), lambda r: r["x"]), "\n").alias("body"))
-    read = logs.select(*keys, F.from_json(log, SARIF)["runs"].isNotNull().alias("good"))
-    out = read.join(sarif_counts(found, keys), keys, "left").join(body, keys, "left")
-    return out.select(*keys, F.when(F.col("good"), F.concat_ws("\n", F.coalesce("header", F.lit("0 findings")), "body")).alias("output"))
+    """(keys, output): the header and a line per result; `0 findings` without results, null for what isn't a log.
+    A log is one row, so nothing is shuffled."""
+    of = F.col("_r")
+    levels = F.array_sort(F.array_distinct(of["level"]))
+    header = F.array_join(F.transform(levels, lambda x: F.concat(F.size(F.filter(of, lambda r: r["level"] == x)).cast("string"), F.lit(" "), x, F.lit("(s)"))), ", ")
+    body = F.transform(of, lambda r: sarif_line(r["uri"], r["line"], r["level"], r["text"], r["rule"]))
+    told = F.when(F.size(of) == 0, F.lit("0 findings")).otherwise(F.array_join(F.concat(F.array(header), body), "\n"))
+    return logs.withColumn("_r", _sarif_array(F.col(log))).select(*keys, F.when(of.isNotNull(), told).alias("output"))
 
 
 def console_lines(results: DataFrame, path: str = "path") -> DataFrame:
@@ -68,14 +79,16 @@ def hook_responses(results: DataFrame, keys: list[str], note: str) -> DataFrame:
 
 
 def diagnostics(results: DataFrame, path: str = "path") -> DataFrame:
-    """(path, line from 0, severity, message): one per output line that names a line of the file; else one at line 0."""
+    """(path, line from 0, severity, code, message): one per output line that names a line of the file; else one at
+    line 0. A number that is no line counts as line 0."""
     prefix = F.concat(F.col(path), F.lit(":"))
     failed = results.where("not passed").withColumn("_lines", F.split("output", r"\r?\n", -1))
     own = F.transform(F.filter("_lines", lambda x: F.startswith(x, prefix) & F.split_part(F.substring(x, F.length(prefix) + 1, F.length(x)), F.lit(":"), F.lit(1)).rlike(r"\A[0-9]+\z")), lambda x: F.substring(x, F.length(prefix) + 1, F.length(x)))
-    spots = F.transform(own, lambda x: F.struct(F.greatest(F.split_part(x, F.lit(":"), F.lit(1)).cast("int") - 1, F.lit(0)).alias("line"), F.trim(F.regexp_replace(x, r"\A[0-9]+:?", "")).alias("text")))
+    number = lambda x: F.coalesce(F.split_part(x, F.lit(":"), F.lit(1)).try_cast("int"), F.lit(0))
+    spots = F.transform(own, lambda x: F.struct(F.greatest(number(x) - 1, F.lit(0)).alias("line"), F.trim(F.regexp_replace(x, r"\A[0-9]+:?", "")).alias("text")))
     whole = F.array(F.struct(F.lit(0).alias("line"), described(F.col("message"), F.col("output"), F.col("command")).alias("text")))
     each = failed.withColumn("_d", F.explode(F.when(F.size(spots) > 0, spots).otherwise(whole)))
-    return each.select(path, F.col("_d.line").alias("line"), F.when(F.col("severity") == "blocking", "ERROR").otherwise("WARNING").alias("severity"), F.concat("check_name", F.lit(": "), F.col("_d.text")).alias("message"))
+    return each.select(path, F.col("_d.line").alias("line"), F.when(F.col("severity") == "blocking", "ERROR").otherwise("WARNING").alias("severity"), F.col("check_name").alias("code"), F.col("_d.text").alias("message"))
 
 
 def joined_output(findings: DataFrame, keys: list[str], path: str = "path") -> DataFrame:

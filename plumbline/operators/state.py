@@ -24,19 +24,19 @@ def claims(events: DataFrame, key: str, ts: str, order: str, seconds: int = CLAI
     """events with claimed: whether the event was the first of its key, or came over `seconds` after the last claim.
 
     The lifetime counts from the claim, so events are folded in order. Rows stream through sorted partitions with
-    one number of state per key, so a key of any size needs no memory."""
+    one number of state per key, so a key of any size needs no memory. Events without a key share one."""
     columns = [key, order, "_us"]
     picked = events.select(F.col(key), F.col(order), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
     kinds = ", ".join(f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in (key, order))
 
     def fold(batches):
-        now, since = None, 0
+        now, since, begun = None, 0, False
         for batch in batches:
             keys, times = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             out = np.zeros(len(keys), dtype=bool)
             for k, (x, t) in enumerate(zip(keys, times)):
-                if x != now or k == 0 and now is None or t - since > seconds * 1_000_000:
-                    now, since, out[k] = x, t, True
+                if not begun or x != now or t - since > seconds * 1_000_000:
+                    now, since, begun, out[k] = x, t, True, True
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=[key, order, "claimed"])
 
     n = max(1, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))

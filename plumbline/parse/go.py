@@ -69,7 +69,7 @@ def imports(source: str) -> tuple[list[tuple[int, str, str]], list[int]]:
 
 
 def bare_errors(source: str) -> list[int]:
-    """Rows of `if x != nil { return ..., x }` whose only returned name is x, in files that wrap errors elsewhere."""
+    """Rows of `if x != nil { return ..., x }`, the name on the left, whose only returned name is x, in files that wrap errors elsewhere."""
     ts, out = tokens(source), []
     wraps = any(t.text == "Errorf" and k >= 2 and ts[k - 2].text == "fmt" and k + 2 < len(ts) and any("%w" in x.text for x in ts[k + 1 : closing(ts, k + 1) + 1] if x.kind == "string") for k, t in enumerate(ts) if k + 1 < len(ts) and ts[k + 1].text == "(")
     if not wraps:
@@ -84,9 +84,9 @@ def bare_errors(source: str) -> list[int]:
         if any(x.text == ";" for x in condition):
             condition = condition[max(i for i, x in enumerate(condition) if x.text == ";") + 1 :]
         condition = [x for x in condition if x.text not in "()"]
-        if len(condition) != 3 or condition[1].text != "!=" or "nil" not in (condition[0].text, condition[2].text) or j >= len(ts):
+        if len(condition) != 3 or condition[1].text != "!=" or condition[2].text != "nil" or condition[0].kind != "word" or j >= len(ts):
             continue
-        name = condition[0].text if condition[2].text == "nil" else condition[2].text
+        name = condition[0].text
         end = closing(ts, j)
         body = ts[j + 1 : end]
         if not body or body[0].text != "return" or any(x.text in ("{", ";") for x in body) or len({x.row for x in body}) != 1:

@@ -15,14 +15,14 @@ _TOKEN = re.compile(
     r"|(?P<word>[^\W\d]\w*|\$\w*)|(?P<number>\d[\w.]*)|(?P<sign>=>|->|:=|\.\.\.|==|!=|<=|>=|&&|\|\||::|[^\s\w])|(?P<line>\n)",
     re.S | re.M,
 )
-#: Statements that nest, by language; fixed values.
-NESTING = {
-    "go": {"if", "for", "switch", "select", "func"},
-    "typescript": {"if", "for", "while", "do", "switch", "function", "=>"},
-    "java": {"if", "for", "while", "do", "switch", "->"},
-    "kotlin": {"if", "for", "while", "do", "when", "fun", "else"},
+#: Statements that nest, by language, beside if; fixed values.
+LOOPS = {
+    "go": {"for", "switch", "select"},
+    "typescript": {"for", "while", "do", "switch"},
+    "java": {"for", "while", "do", "switch"},
+    "kotlin": {"for", "while", "do", "when"},
 }
-NESTING["tsx"] = NESTING["javascript"] = NESTING["typescript"]
+LOOPS["tsx"] = LOOPS["javascript"] = LOOPS["typescript"]
 _NO_METHOD = {"if", "for", "while", "switch", "catch", "with", "function", "return", "new", "await", "typeof", "super", "synchronized", "try", "throw", "else", "do", "when"}
 
 
@@ -122,43 +122,158 @@ def _body_start(language: str, ts: list[Token], at: int) -> int | None:
 
 
 def depth_of(language: str, ts: list[Token], start: int, end: int) -> int:
-    """1 for a body, and one more for each nested statement around the deepest block."""
-    kinds, depth, most, stack, header, brackets = NESTING[language], 1, 1, [], [], 0
-    for k in range(start + 1, end):
-        t = ts[k]
-        if t.kind != "sign":
-            if language == "go" and ts[k - 1].row < t.row and not brackets:
-                header = []
-            header.append(t.text if t.kind == "word" else "")
-            continue
-        if t.text in "([":
-            brackets += 1
-            stack.append((t.text, depth, header, brackets))
-            header = []
-            brackets = 1
-        elif t.text in ")]" and stack and stack[-1][0] in "([":
-            _, depth, header, brackets = stack.pop()
-            brackets -= 1
-        elif t.text == "{":
-            last = ts[k - 1]
-            nests = bool(kinds & set(header)) or last.text in kinds
-            if language == "kotlin" and not nests:
-                nests = (last.kind == "word" or last.text in ("(", ")", "=", ",", ">")) and not {"class", "object", "try", "finally", "catch", "init", "interface", "companion"} & set(header)
-            stack.append(("{", depth, [], brackets))
-            depth += nests
-            most = max(most, depth)
-            header, brackets = [], 0
-        elif t.text == "}" and stack:
-            while stack and stack[-1][0] != "{":
-                stack.pop()
-            if stack:
-                _, depth, _, brackets = stack.pop()
-            header = []
-        elif t.text == ";" and not brackets and language != "go":
-            header = []
-        else:
-            header.append(t.text if t.text in ("=>", "->") else "")
-    return most
+    """1 for a body (between the braces at start and end), and one more for each nested statement or function literal
+    around the deepest place, braces or not. An else if stays on the level of its if."""
+    return _Nesting(language, ts).inside(start + 1, end, 1)
+
+
+class _Nesting:
+    """Reads tokens as statements, as far as their nesting calls for it. Methods return the deepest level found;
+    those that read one statement also return the place behind it."""
+
+    def __init__(self, language: str, ts: list[Token]):
+        self.ts, self.language, self.loops = ts, language, LOOPS[language]
+        self.script = language in ("typescript", "tsx", "javascript")
+
+    def text(self, k: int) -> str:
+        return self.ts[k].text if 0 <= k < len(self.ts) else ""
+
+    def inside(self, k: int, end: int, depth: int) -> int:
+        most = depth
+        while k < end:
+            k, deep = self.step(k, end, depth)
+            most = max(most, deep)
+        return most
+
+    def brackets(self, k: int, end: int, depth: int) -> tuple[int, int]:
+        close = min(closing(self.ts, k), end)
+        return close + 1, self.inside(k + 1, close, depth)
+
+    def step(self, k: int, end: int, depth: int) -> tuple[int, int]:
+        """One token, or the construct that begins with it."""
+        t = self.ts[k]
+        if t.kind == "word" and self.text(k - 1) not in (".", "::"):
+            if t.text == "if":
+                return self.chain(k, end, depth + 1)
+            if t.text in self.loops:
+                return self.loop(k, end, depth + 1)
+            if t.text == "func" or t.text == "fun" and self.text(k + 1) == "(":
+                return self.literal(k + 1, end, depth + 1)
+            if self.script and t.text == "function" and not self.begins(k):
+                return self.literal(k + 1, end, depth + 1)
+        if t.kind == "sign":
+            if t.text == "=>" or t.text == "->" and self.language == "java" and not self.in_case(k):
+                return self.arrow(k + 1, end, depth + 1)
+            if t.text in ("(", "["):
+                return self.brackets(k, end, depth)
+            if t.text == "{":
+                return self.brackets(k, end, depth + (self.language == "kotlin" and self.is_lambda(k)))
+        return k + 1, depth
+
+    def begins(self, k: int) -> bool:
+        """Whether a statement begins here."""
+        before = self.text(k - 1)
+        return before in ("{", "}", ";", "async", "export", "default") or self.ts[k - 1].row < self.ts[k].row and before not in ("(", ",", "=", "=>", ":", "return", "&&", "||", "?")
+
+    def in_case(self, k: int) -> bool:
+        """Whether an arrow ends the label of a switch."""
+        k -= 1
+        while k >= 0 and self.text(k) not in ("{", "}", ";", "->", "(", ")") or self.text(k) == ")" and self.text(k + 1) == "->":
+            if self.text(k) in ("case", "default"):
+                return True
+            k -= 1
+        return False
+
+    def is_lambda(self, k: int) -> bool:
+        before, j = self.ts[k - 1], k - 1
+        if before.text in ("else", "try", "finally", "do", "init", "object") or before.text in ("{", "}", ";", "->") and before.text != "->":
+            return before.text in ("{",)
+        row = before.row
+        while j >= 0 and self.ts[j].row == row and self.text(j) not in ("{", "}", ";", "="):
+            if self.text(j) in ("class", "object", "interface", "fun", "catch", "companion", "when", "for", "while", "if"):
+                return False
+            j -= 1
+        return before.kind == "word" or before.text in ("(", ")", "=", ",", ">", "->")
+
+    def statement(self, k: int, end: int, depth: int) -> tuple[int, int]:
+        """A block, or what goes up to the end of one statement."""
+        if self.text(k) == "{":
+            return self.brackets(k, end, depth)
+        if k < end and self.ts[k].kind == "word" and (self.text(k) == "if" or self.text(k) in self.loops):
+            return self.step(k, end, depth)
+        most, first = depth, True
+        while k < end:
+            if self.text(k) in (";", "}"):
+                return k + (self.text(k) == ";"), most
+            if self.text(k) == "else" or not first and self.language != "java" and self.ts[k].row > self.ts[k - 1].row and self.ends_line(k):
+                break
+            k, deep = self.step(k, end, depth)
+            most, first = max(most, deep), False
+        return k, most
+
+    def ends_line(self, k: int) -> bool:
+        """Whether a line break before k ends a statement: neither side calls for more."""
+        before, t = self.ts[k - 1], self.ts[k]
+        return (before.kind != "sign" or before.text in (")", "]", "}")) and (t.kind != "sign" or t.text in ("{", "(", "[") and self.language == "kotlin")
+
+    def header(self, k: int, end: int, depth: int) -> tuple[int, int]:
+        """What stands between a keyword and its body."""
+        if self.language != "go":
+            while k < end and self.text(k) == "await":
+                k += 1
+            return self.brackets(k, end, depth) if self.text(k) == "(" else (k, depth)
+        most = depth
+        while k < end and self.text(k) != "{":
+            k, deep = self.step(k, end, depth)
+            most = max(most, deep)
+        return k, most
+
+    def chain(self, k: int, end: int, depth: int) -> tuple[int, int]:
+        most = depth
+        while True:
+            k, a = self.header(k + 1, end, depth)
+            k, b = self.statement(k, end, depth)
+            most = max(most, a, b)
+            if self.text(k) == ";" and self.text(k + 1) == "else":
+                k += 1
+            if k >= end or self.text(k) != "else" or self.text(k + 1) == "->":
+                return k, most
+            k += 1
+            if self.text(k) != "if":
+                k, deep = self.statement(k, end, depth)
+                return k, max(most, deep)
+
+    def loop(self, k: int, end: int, depth: int) -> tuple[int, int]:
+        if self.text(k) == "do" and self.language != "go":
+            k, most = self.statement(k + 1, end, depth)
+            if self.text(k) == "while":
+                k, deep = self.header(k + 1, end, depth)
+                most = max(most, deep)
+            return k, most
+        k, most = self.header(k + 1, end, depth)
+        k, deep = self.statement(k, end, depth)
+        return k, max(most, deep)
+
+    def literal(self, k: int, end: int, depth: int) -> tuple[int, int]:
+        """A function literal, from behind its keyword."""
+        while k < end and self.text(k) != "(":
+            k += 1
+        body = _body_start(self.language, self.ts, min(closing(self.ts, k), end) + 1) if k < end else None
+        if body is None or body >= end:
+            return k + 1, depth
+        most = self.inside(k + 1, body, depth)
+        k, deep = self.brackets(body, end, depth)
+        return k, max(most, deep)
+
+    def arrow(self, k: int, end: int, depth: int) -> tuple[int, int]:
+        """The body behind an arrow: a block, or an expression up to the end of what holds it."""
+        if self.text(k) == "{":
+            return self.brackets(k, end, depth)
+        most, first = depth, True
+        while k < end and self.text(k) not in (",", ";", ")", "]", "}") and (first or self.ts[k].row == self.ts[k - 1].row or not self.ends_line(k)):
+            k, deep = self.step(k, end, depth)
+            most, first = max(most, deep), False
+        return k, most
 
 
 def functions(language: str, source: str) -> list[Function]:

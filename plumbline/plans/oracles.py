@@ -41,7 +41,7 @@ r AS (SELECT user_id, event_id, event_type AS text,
              CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'note' ELSE 'warning' END AS level,
              'f' || (event_id % 9) || '.go' || CASE WHEN event_id % 2 = 0 THEN ':' || (event_id % 50) ELSE '' END || ': ' AS place,
              CASE WHEN event_id % 3 = 0 THEN ' (R1)' ELSE '' END AS rule
-      FROM events WHERE user_id < 20),
+      FROM events),
 c AS (SELECT user_id, level, count(*) AS n FROM r GROUP BY ALL),
 h AS (SELECT user_id, string_agg(n || ' ' || level || '(s)', ', ' ORDER BY level) AS header FROM c GROUP BY user_id)
 """
@@ -50,7 +50,7 @@ _EDGES = """
 e AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS n
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey
       WHERE s_nationkey <> c_nationkey GROUP BY ALL),
-strong AS (SELECT * FROM e WHERE n > 1.25 * (SELECT sum(n) / count(*) FROM e))
+strong AS (SELECT * FROM e WHERE n > (SELECT median(n) FROM e))
 """
 _REACH = f"{_EDGES}, reach AS (SELECT src, dst FROM strong UNION SELECT reach.src, strong.dst FROM reach JOIN strong ON reach.dst = strong.src)"
 _REGIONS = "rp AS (SELECT n_nationkey, r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey)"
@@ -88,11 +88,10 @@ ORACLES: dict[str, str] = {
     + ") WHERE files > 0",
     "findings_in_ranges": f"WITH {_LONG} SELECT doc_id, line FROM long_lines f WHERE EXISTS (SELECT 1 FROM labels b WHERE b.quality = 1 AND b.doc_id = f.doc_id AND f.line BETWEEN b.doc_id % 7 + 1 AND b.doc_id % 7 + 4)",
     "needle_line_ranges": """
-WITH p AS (SELECT doc_id, substr(text, 1, 3) AS needle, string_split(text, substr(text, 1, 3)) AS parts FROM documents WHERE text <> ''),
-x AS (SELECT doc_id, needle, parts, unnest(range(1, len(parts))) AS k FROM p),
-s AS (SELECT doc_id, len(needle) - len(replace(needle, chr(10), '')) AS own, k, list_sum(list_transform(parts[1:k], lambda x: len(x) - len(replace(x, chr(10), '')))) AS breaks FROM x),
-t AS (SELECT doc_id, 1 + breaks + (k - 1) * own AS a, own FROM s)
-SELECT doc_id, count(*) AS n, CAST(sum(a) AS BIGINT) AS starts, CAST(sum(a + own) AS BIGINT) AS ends FROM t GROUP BY doc_id""",
+WITH p AS (SELECT doc_id, item_id, b.text AS needle, string_split(d.text, b.text) AS parts FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''),
+x AS (SELECT doc_id, item_id, needle, parts, unnest(range(1, len(parts))) AS k FROM p),
+s AS (SELECT doc_id, item_id, len(needle) - len(replace(needle, chr(10), '')) AS own, k, list_sum(list_transform(parts[1:k], lambda x: len(x) - len(replace(x, chr(10), '')))) AS breaks FROM x)
+SELECT doc_id, item_id, CAST(1 + breaks + (k - 1) * own AS BIGINT) AS "start", CAST(1 + breaks + k * own AS BIGINT) AS "end" FROM s""",
     "first_edit": "SELECT doc_id, CASE WHEN strpos(text, 'the') > 0 THEN md5(substr(text, 1, strpos(text, 'the') - 1) || '[the]' || substr(text, strpos(text, 'the') + 3)) END AS after_md5 FROM documents",
     "hunk_range_map": """
 WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS ord FROM lineitem),
@@ -139,9 +138,16 @@ SELECT src, dst, CAST(f AS BIGINT) AS from_layer, CAST(t AS BIGINT) AS to_layer
     "coupling_edges": _coupling(""),
     "coupling_distinct": _coupling("DISTINCT"),
     "mermaid_lines": f"""
-WITH {_EDGES}, {_REGIONS}, x AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM strong JOIN rp a ON a.n_nationkey = src JOIN rp b ON b.n_nationkey = dst)
-SELECT CAST(1 AS BIGINT) AS part, row_number() OVER (ORDER BY path) - 1 AS ord, '    ' || regexp_replace(path, '[^A-Za-z0-9]', '_', 'g') || '["' || path || '"]' AS text FROM rp
-UNION ALL SELECT 2, row_number() OVER (ORDER BY src, dst) - 1, '    ' || regexp_replace(src, '[^A-Za-z0-9]', '_', 'g') || ' --> ' || regexp_replace(dst, '[^A-Za-z0-9]', '_', 'g') FROM x""",
+WITH RECURSIVE {_REACH}, {_REGIONS}, x AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM strong JOIN rp a ON a.n_nationkey = src JOIN rp b ON b.n_nationkey = dst),
+arrows AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS ord FROM x),
+cyclic AS (SELECT path FROM rp WHERE n_nationkey IN (SELECT src FROM reach WHERE src = dst)),
+ids AS (SELECT string_agg(regexp_replace(path, '[^A-Za-z0-9]', '_', 'g'), ',' ORDER BY path) AS ids FROM cyclic HAVING count(*) > 0)
+SELECT CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS ord, 'graph TD' AS text
+UNION ALL SELECT 1, row_number() OVER (ORDER BY path) - 1 AS ord, '    ' || regexp_replace(path, '[^A-Za-z0-9]', '_', 'g') || '["' || path || '"]' AS text FROM rp
+UNION ALL SELECT 2, ord, '    ' || regexp_replace(src, '[^A-Za-z0-9]', '_', 'g') || ' --> ' || regexp_replace(dst, '[^A-Za-z0-9]', '_', 'g') FROM arrows
+UNION ALL SELECT 3, 0, '    classDef cycle fill:#fee2e2,stroke:#dc2626,stroke-width:2px;' FROM ids
+UNION ALL SELECT 4, 0, '    class ' || ids || ' cycle;' FROM ids
+UNION ALL SELECT 5, ord, '    linkStyle ' || ord || ' stroke:#dc2626,stroke-width:2px;' FROM arrows WHERE src IN (SELECT path FROM cyclic) AND dst IN (SELECT path FROM cyclic)""",
     "heading_slugs": f"""
 WITH t AS (SELECT 'pages' AS path, regexp_extract(html, '<title>([^<]*)</title>', 1) AS heading, page_id AS ord FROM pages UNION ALL SELECT p_brand, p_name, p_partkey FROM part),
 s AS (SELECT path, ord, {_SLUG.format('heading')} AS slug FROM t),

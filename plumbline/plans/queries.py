@@ -64,11 +64,25 @@ def findings_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.findings_in_ranges(_long_lines(spark, sf_dir), ranges, "doc_id")
 
 
+#: Words of a needle that an index holds: those after its first, which may stand inside a longer word.
+INDEXED_WORDS = 4
+
+
 def needle_line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    needle = F.substring("text", 1, 3)
-    spans = docs.select("doc_id", F.explode(occurrence_lines(F.col("text"), needle)).alias("s"))
-    return spans.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("s.start").cast("long").alias("starts"), F.sum("s.end").cast("long").alias("ends"))
+    """Lines of benchmark passages in documents. An index of some words of each passage finds the documents that may
+    hold it; passages too short for it are looked for in all."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
+    words = lambda c: F.split(c, r"\s+", -1)
+    indexed = items.withColumn("w", words(F.col("needle"))).withColumn("long", F.size("w") >= INDEXED_WORDS + 2)
+    keys = indexed.where("long").select("item_id", F.xxhash64(F.slice("w", 2, INDEXED_WORDS)).alias("k"))
+    runs = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= INDEXED_WORDS)
+    runs = runs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - INDEXED_WORDS + 1), lambda k: F.xxhash64(F.slice("w", k, INDEXED_WORDS))))).alias("k"))
+    maybe = runs.join(keys, "k").select("doc_id", "item_id").distinct()
+    pairs = maybe.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "needle")
+    short = indexed.where("not long").select("item_id", "needle")
+    pairs = pairs.unionByName(docs.join(short, F.contains("text", "needle")).select("doc_id", "item_id", "text", "needle"))
+    spans = pairs.select("doc_id", "item_id", F.explode(occurrence_lines(F.col("text"), F.col("needle"))).alias("s"))
+    return spans.select("doc_id", "item_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
 def first_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,11 +156,13 @@ def sarif_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier's nation to customer's nation, with the number of line items; two-phase counts before small joins."""
+    """Supplier's nation to customer's nation, with the number of line items: nations are joined to narrow rows
+    first, so the counts that are shuffled are those of pairs of nations."""
     li, o = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    pairs = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("l_suppkey", "o_custkey").agg(F.count("*").alias("c"))
-    s, c = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    return pairs.join(s, pairs.l_suppkey == s.s_suppkey).join(c, pairs.o_custkey == c.c_custkey).groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.sum("c").cast("long").alias("n"))
+    s, c = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("src")), table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
+    into = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "dst")
+    out_of = li.join(s, li.l_suppkey == s.s_suppkey).select("l_orderkey", "src")
+    return out_of.join(into, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,10 +170,10 @@ def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _strong_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges with more line items than the mean."""
+    """Edges with more line items than the median edge: the same share of them at every size."""
     e = import_edges(spark, sf_dir)
-    mean = e.agg((F.sum("n") / F.count("*")).alias("mean"))
-    return e.join(F.broadcast(mean), F.col("n") > 1.25 * F.col("mean")).select("src", "dst", "n")
+    middle = e.agg(F.median("n").alias("middle"))
+    return e.join(F.broadcast(middle), F.col("n") > F.col("middle")).select("src", "dst", "n")
 
 
 def graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +216,7 @@ def mermaid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = e.join(p.withColumnsRenamed({"n_nationkey": "src", "path": "a"}), "src").join(p.withColumnsRenamed({"n_nationkey": "dst", "path": "b"}), "dst")
     named = named.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     out = graph.diagram_lines(p.select(F.col("path").alias("node")), named)
-    return out.where("part in (1, 2)").select(F.col("part").cast("long").alias("part"), "ord", "text")
+    return out.select(F.col("part").cast("long").alias("part"), "ord", "text")
 
 
 def heading_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:

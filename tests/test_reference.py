@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.operators import blocks, graph, links, replay, results, rules, scope, state
 from plumbline.parse import go, markdown, scan
+from plumbline.plans import oracles, queries
 from plumbline.sources import files as sources
 from plumbline.streaming import state as streams
 
@@ -310,6 +311,41 @@ def answer(id_, text):
     return json.dumps({"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": id_, "content": [{"type": "text", "text": text}]}]}})
 
 
+def test_replay_takes_only_whole_edits(spark):
+    edits = [
+        use("Write", {"file_path": "a", "content": "x"}), use("Edit", {"file_path": "a", "new_string": "y"}), use("Edit", {"file_path": "a", "old_string": "x"}),
+        use("MultiEdit", {"file_path": "a"}), use("MultiEdit", {"file_path": "a", "edits": [{"old_string": "x"}]}), use("MultiEdit", {"file_path": "b", "edits": []}),
+        use("Read", {"file_path": "c"}, "r"), answer("r", "1\tp\u2028q\f\r\n2\tr\n"), use("Edit", {"file_path": "c", "old_string": "r", "new_string": "s"}),
+    ]
+    df = spark.createDataFrame([("t", k, raw) for k, raw in enumerate(edits)], "transcript string, line_no int, raw string")
+    rows = replay.snapshots(df).collect()
+    assert [(r.seq, r.path, r.before, r.after) for r in rows if r.path] == [(1, "a", None, "x"), (2, "c", "p\u2028q\f\nr", "p\u2028q\f\ns")]
+    assert [r.lost for r in rows if not r.path] == [2]
+
+
+@pytest.mark.parametrize(
+    ("language", "body", "depth"),
+    [
+        ("javascript", "if (a) { if (b) { if (c) if (d) e() } }", 5),
+        ("javascript", "if (a) b(); else if (c) d(); else if (e) f(); else g()", 2),
+        ("javascript", "for (const x of y) while (z) do { q() } while (r)", 4),
+        ("javascript", "const f = () => { if (a) b() }; function g() { if (c) d() }", 3),
+        ("javascript", "x.if(1); if (a)\n  b()\nif (c) { d() }", 2),
+        ("javascript", "return a.map(x => x.map(y => y + 1))", 3),
+        ("java", "for (int i = 0; i < n; i++) if (a) while (b) c();", 4),
+        ("java", "switch (x) { case 1 -> { if (a) b(); } default -> c(); }", 3),
+        ("java", "list.forEach(x -> { if (x) y(); });", 3),
+        ("kotlin", "if (a) b() else if (c) d() else { when (x) { 1 -> e() } }", 3),
+        ("kotlin", "items.forEach { x -> if (x) y() }", 3),
+        ("go", "if a {\nif b {\nfor {\nswitch {\ncase c:\nd()\n}\n}\n}\n}", 5),
+        ("go", "if a {\n} else if b {\n} else {\nselect {}\n}\ngo func() { if c {} }()", 3),
+    ],
+)
+def test_nesting(language, body, depth):
+    ts = scan.tokens("{" + body + "}")
+    assert scan.depth_of(language, ts, 0, len(ts) - 1) == depth
+
+
 def test_replay_and_backtest(spark):
     go_source = "package p\nfunc f() {\n\tv, _ := g()\n}\n"
     logs = {
@@ -322,7 +358,7 @@ def test_replay_and_backtest(spark):
     df = spark.createDataFrame([(t, k, raw) for t, rows in logs.items() for k, raw in enumerate(rows)], "transcript string, line_no int, raw string")
     snaps = replay.snapshots(df).cache()
     assert {r.transcript: r.lost for r in snaps.where("path is null").collect()} == {"write": 0, "unseeded": 1, "seeded": 0, "windowed": 1, "multi": 1}
-    assert sorted((r.transcript, r.seq, r.after) for r in snaps.where("transcript = 'multi' and path is not null").collect()) == [("multi", 0, "one two"), ("multi", 1, "3")]
+    assert sorted((r.transcript, r.seq, r.after) for r in snaps.where("transcript = 'multi' and path is not null").collect()) == [("multi", 1, "one two"), ("multi", 2, "3")]
     found = replay.backtest(snaps, rules.go_findings).collect()
     assert sorted((r.transcript, r.line, r.pre_existing) for r in found) == [("seeded", 3, True), ("write", 3, False)]
     assert [r.transcript for r in replay.backtest(snaps, rules.go_findings, only_new=True).collect()] == ["write"]
@@ -366,33 +402,29 @@ def test_config_errors():
 # registered queries against their SQL
 
 
-def test_queries_against_duckdb(spark):
-    import duckdb
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-    from plumbline.plans import oracles, queries
 
-    folder = "/root/testdata/sf0.001"
+@pytest.fixture(scope="module")
+def tables():
+    import duckdb
+
     con = duckdb.connect()
-    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations"):
-        con.sql(f"create view {name} as select * from '{folder}/{name}.parquet'")
+    for name in TABLES:
+        con.sql(f"create view {name} as select * from '/root/testdata/sf0.001/{name}.parquet'")
+    return con
 
-    def plain(df):
-        df = df[sorted(df.columns)]
-        return sorted(map(repr, df.astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
 
-    for name in ("dup_block_findings", "hunk_range_map", "grace_batch", "dedup_claims", "sarif_render", "type_runs", "heading_slugs"):
-        assert plain(queries.QUERIES[name](spark, folder).toPandas()) == plain(con.sql(oracles.ORACLES[name]).df()), name
-    assert queries.QUERIES.keys() == oracles.ORACLES.keys()
+def plain(df):
+    df = df[sorted(df.columns)]
+    return sorted(map(repr, df.astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
 
 
-def test_sarif_queries_read_all_events(spark):
-    import duckdb
+@pytest.mark.parametrize("name", queries.QUERIES)
+def test_query_against_duckdb(spark, tables, name):
+    got, expected = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), tables.sql(oracles.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(expected.columns) and plain(got) == plain(expected)
 
-    from plumbline.plans import oracles, queries
 
-    folder = "/root/testdata/sf0.01"
-    con = duckdb.connect()
-    con.sql(f"create view events as select * from '{folder}/events.parquet'")
-    for name in ("sarif_level_counts", "sarif_render"):
-        rows = con.execute(oracles.ORACLES[name].replace(" WHERE user_id < 20", "")).fetchall()
-        assert len(rows) == 150 and sorted(map(tuple, queries.QUERIES[name](spark, folder).collect())) == sorted(rows), name
+def test_every_query_has_its_sql():
+    assert queries.QUERIES.keys() == oracles.ORACLES.keys()
