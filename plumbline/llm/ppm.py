@@ -6,8 +6,9 @@ byte the model escapes to the next shorter one (escape method C: as likely as th
 where the bytes that the longer one had seen are excluded.
 
 No task holds the model. Documents are cut into chunks of bounded size; each chunk asks for its distinct contexts
-(and words, for the unigram base). Counts are summed by context, probabilities are worked out by shards that
-share the last two context bytes, and the answers go back to the chunks that asked, once per chunk.
+(and words, for the unigram base) in sorted blocks, one per bucket of keys. Counts are summed bucket by bucket,
+probabilities are worked out by shards that share the last two context bytes, and the answers go back bucket by
+bucket, in the order in which the chunks asked.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, slices, text_bytes
+from .common import Scratch, give_back, ship, slices, text_bytes, word_hashes
 
 ORDER = 4
 #: Bytes that no UTF-8 text has: before a text, and after it.
@@ -51,6 +52,23 @@ def _counts(size: int, at: np.ndarray) -> np.ndarray:
     return out
 
 
+class Ranks:
+    """Dense numbers for the marked ones of many cells, in order; a bit a cell, and a count before every 64th."""
+
+    def __init__(self, mark: np.ndarray):
+        self.bits = np.packbits(np.pad(mark, (0, -len(mark) % 64 + 64)), bitorder="little").view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.bits))[:-1]]).astype(np.int32)
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at), dtype=np.int32)
+        for a in range(0, len(at), STEP):
+            part = at[a : a + STEP]
+            word = part >> 6
+            below = (np.uint64(1) << (part & 63).astype(np.uint64)) - np.uint64(1)
+            out[a : a + STEP] = self.before[word] + np.bitwise_count(self.bits[word] & below)
+        return out
+
+
 class Coder:
     """Dense numbers for the runs of ORDER + 1 bytes of one chunk, without sorting its positions: pairs of bytes
     are numbered, then pairs of pairs, then runs. Sorted keys stand in where those tables would grow large."""
@@ -75,17 +93,13 @@ class Coder:
         if not self.dense:
             self.key, self.at = np.unique(self._keys(data)[begins], return_inverse=True)
             return
-        rank = np.cumsum(seen, dtype=np.int32)
-        rank -= 1
-        at = _look(rank, quad)
+        at = Ranks(seen).of(quad)
         del quad
         at *= 256
         at += data[ORDER:][begins]
         mark = _seen(cells, at)
         used = np.flatnonzero(mark)
-        rank = np.cumsum(mark, dtype=np.int32)
-        rank -= 1
-        self.at = _look(rank, at)
+        self.at = Ranks(mark).of(at)
         pairs = np.flatnonzero(kinds)
         quads = np.flatnonzero(seen)[used >> 8]
         self.key = pairs[quads // n_pairs].astype(np.int64) << 24 | pairs[quads % n_pairs].astype(np.int64) << 8 | used & 255
@@ -109,11 +123,20 @@ def runs_of(texts: list[bytes]) -> tuple[Coder, np.ndarray]:
     return Coder(data, none), sizes
 
 
-def word_keys(words: WordHashes, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all words (negative numbers, from 63 bits of their hash), text after text, and the number in each."""
-    hashes = [words.of(t.lower().split()) for t in texts]
-    sizes = np.array([len(h) for h in hashes], dtype=np.int64)
-    return -(np.concatenate([np.empty(0, np.uint64), *hashes]) >> np.uint64(1)).astype(np.int64) - 1, sizes
+    hashes, sizes = word_hashes(texts, lower=True)
+    return -(hashes >> np.uint64(1)).astype(np.int64) - 1, sizes
+
+
+def buckets_of(keys: np.ndarray, n: int) -> np.ndarray:
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(34)).astype(np.int64) % n
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its counts."""
+    kinds, of = np.unique(np.concatenate(keys), return_inverse=True)
+    return kinds, np.bincount(of, weights=np.concatenate(counts), minlength=len(kinds)).astype(np.int64)
 
 
 def log_probabilities(key: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -161,96 +184,189 @@ def log_probabilities(key: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.n
     return out
 
 
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, most_buckets: int = 4096, shard_keys: int = 1 << 20) -> DataFrame:
     """Per row of docs: id_col, n_tokens, n_known, train_tokens, base_score, score.
 
     train: a condition on id_col; the rows for which it holds are learned from. score is the model's log10
     probability of the text's bytes and its end; base_score that of its words (runs of anything but ASCII white
     space, A-Z lower-cased) and its end under add-half unigrams of the training rows. Words are told apart by 63
     bits of their hash. A null text is empty: only its end is scored. Without training rows all bytes are equally
-    likely. Repeated and null ids stay, one row each. Steps are written to the session's shared folder.
+    likely. Repeated and null ids stay, one row each. Steps are written to the session's shared folder. A task holds
+    a chunk, a bucket's different keys, or shards of shard_keys runs (one shard, if that has more).
     """
     spark = docs.sparkSession
+    ship(spark)
     scratch = Scratch(spark, "ppm")
     kind = docs.select(id_col).schema[id_col].dataType.simpleString()
 
     def pack(batches):
-        at = TaskContext.get().partitionId() << 24
+        """Chunks of about chunk_bytes, and of one text at least; batches may be smaller."""
+        at, parts, held = TaskContext.get().partitionId() << 24, [], 0
+
+        def chunk():
+            columns = [pa.chunked_array([p.column(k) for p in parts]).combine_chunks() for k in range(3)]
+            columns[2] = pa.array(text_bytes(columns[2]), pa.binary())
+            offsets = pa.array([0, len(columns[0])], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *(pa.ListArray.from_arrays(offsets, c) for c in columns)], names=["chunk", "ids", "train", "texts"])
+
         for batch in batches:
-            for part in slices(batch, chunk_bytes):
-                n = part.num_rows
-                lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), c) for c in (part.column(0), part.column(1), pa.array(text_bytes(part.column(2)), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *lists], names=["chunk", "ids", "train", "texts"])
-                at += 1
+            for part in slices(batch, chunk_bytes // 2):
+                parts.append(part)
+                held += part.nbytes
+                if held >= chunk_bytes:
+                    yield chunk()
+                    at, parts, held = at + 1, [], 0
+        if parts:
+            yield chunk()
+        give_back()
 
     picked = docs.select(F.col(id_col).alias("_id"), F.coalesce(train, F.lit(False)).alias("_train"), F.col(text_col).alias("_text"))
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n_buckets = min(n_parts, most_buckets)  # rows of blocks are chunks times buckets
     # chunks are used only as they were written: a second reading of docs might cut them elsewhere
     packed = picked.mapInArrow(pack, f"chunk long, ids array<{kind}>, train array<boolean>, texts array<binary>")
     chunks = scratch.keep_bucketed(packed, "chunk", n_parts)
-    state: dict = {}
+
+    def blocks(chunk: int | None, keys: np.ndarray, *others: np.ndarray) -> list[pa.Array]:
+        """A row per bucket: its number, the chunk, and its part of each array, in the order of the keys."""
+        bucket = buckets_of(keys, n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        kinds, first = np.unique(bucket[order], return_index=True)
+        offsets = pa.array(np.append(first, len(order)), pa.int32())
+        return [pa.array(kinds, pa.int32()), pa.array([chunk] * len(kinds), pa.int64()), *(pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (keys, *others))]
 
     def ask(batches):
-        if not state:
-            state["words"] = WordHashes()
-            state["words"].most = 1 << 17
         for batch in batches:
             for k in range(batch.num_rows):
                 learn = np.array(batch.column(1)[k].as_py(), dtype=bool)
                 texts = batch.column(2)[k].as_py()
                 runs, sizes = runs_of(texts)
                 counts = _counts(len(runs.key), runs.at[np.repeat(learn, sizes)])
-                words, in_text = word_keys(state["words"], texts)
+                words, in_text = word_keys(texts)
                 word, of = np.unique(words, return_inverse=True)
                 word_counts = np.bincount(of[np.repeat(learn, in_text)], minlength=len(word))
                 key = np.concatenate([runs.key, word, np.array([END_TOKEN])])
-                n = np.concatenate([counts, word_counts, np.array([learn.sum()])]).astype(np.int64)
-                chunk = batch.column(0)[k].as_py()
-                for a in range(0, len(key), 1 << 17):
-                    b = min(len(key), a + (1 << 17))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, chunk)), pa.array(np.arange(a, b, dtype=np.int32)), pa.array(key[a:b]), pa.array(n[a:b])], names=["chunk", "place", "key", "n"])
-
-    asked = scratch.keep(chunks.select("chunk", "train", "texts").mapInArrow(ask, "chunk long, place int, key long, n long"))
-    totals = scratch.keep(asked.groupBy("key").agg(F.sum("n").alias("n")))
+                n = np.concatenate([counts, word_counts, np.array([learn.sum()])]).astype(np.int32)
+                del runs, texts
+                yield pa.RecordBatch.from_arrays(blocks(batch.column(0)[k].as_py(), key, n), names=["bucket", "chunk", "keys", "n"])
+        give_back()
+
+    def total(batches):
+        """Sums each bucket's counts by key; the rows of a bucket come together."""
+        keys, counts, held, at = [], [], 0, None
+
+        def out():
+            kinds, n = summed(keys, counts)
+            for a in range(0, len(kinds), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(kinds[a : a + (1 << 17)]), pa.array(n[a : a + (1 << 17)])], names=["key", "n"])
+
+        for batch in batches:
+            for k, bucket in enumerate(batch.column(0).to_pylist()):
+                if bucket != at and keys:
+                    yield from out()
+                    keys, counts, held = [], [], 0
+                at = bucket
+                keys.append(batch.column(1)[k].values.to_numpy())
+                counts.append(batch.column(2)[k].values.to_numpy())
+                held += len(keys[-1])
+                if held > 1 << 22 and held > 2 * len(keys[0]):
+                    (keys[:], counts[:]) = ([x] for x in summed(keys, counts))
+                    held = len(keys[0])
+        if keys:
+            yield from out()
+        give_back()
+
+    asked = scratch.keep(chunks.select("chunk", "train", "texts").mapInArrow(ask, "bucket int, chunk long, keys array<long>, n array<int>"))
+    totals = scratch.keep(asked.select("bucket", "keys", "n").repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(total, "key long, n long"))
+    scratch.tidy()
     base = totals.where("key < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("n") > 0, 1)), F.lit(0)).alias("v")).first()
     pairs = np.zeros(1 << 16)  # at most 65536 rows, whatever the corpus
     for row in totals.where("key >= 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect():
         pairs[row.pair] = row.n
     held = spark.sparkContext.broadcast(pairs)
+    value_kind = "bucket int, chunk long, keys array<long>, value array<double>"
 
     def answer(batches):
-        told = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if told:
-            key, n = (np.concatenate(x) for x in zip(*told))
+        """Probabilities of the runs, which come sorted by shard; whole shards are worked out together."""
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        n_held = 0
+
+        def out(some):
+            key, n = (np.concatenate(x) for x in zip(*some))
             value = log_probabilities(key, n.astype(np.float64), held.value)
-            for a in range(0, len(key), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 17)]), pa.array(value[a : a + (1 << 17)])], names=["key", "value"])
+            for a in range(0, len(key), 1 << 20):
+                yield pa.RecordBatch.from_arrays(blocks(None, key[a : a + (1 << 20)], value[a : a + (1 << 20)]), names=["bucket", "chunk", "keys", "value"])
+
+        for batch in batches:
+            key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if n_held >= shard_keys:  # up to the last shard that is sure to be whole
+                shard = key >> 8 & 0xFFFF
+                last = parts[-1][0][-1] >> 8 & 0xFFFF
+                cut = len(key) if (shard == last).all() else int(np.argmax(shard != last))
+                if cut < len(key):
+                    yield from out([*parts, (key[:cut], n[:cut])])
+                    parts, n_held, key, n = [], 0, key[cut:], n[cut:]
+            parts.append((key.copy(), n.copy()))
+            n_held += len(key)
+        if n_held:
+            yield from out(parts)
+        give_back()
+
+    def word_values(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays(blocks(None, batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float64)), names=["bucket", "chunk", "keys", "value"])
+
+    def reply(batches):
+        """Per bucket, first the values of its keys, then the chunks' blocks: each gets its values."""
+        keys, values, at, known = [], [], None, None
+        for batch in batches:
+            for k, (bucket, chunk) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if bucket != at:
+                    keys, values, at, known = [], [], bucket, None
+                wanted = batch.column(2)[k].values.to_numpy()
+                if chunk is None:
+                    keys.append(wanted.copy())
+                    values.append(batch.column(3)[k].values.to_numpy().copy())
+                    continue
+                if known is None:
+                    order = np.argsort(flat := np.concatenate(keys))
+                    known, value = flat[order], np.concatenate(values)[order]
+                    keys, values = [], []
+                found = pa.array(value[np.searchsorted(known, wanted)])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(wanted)], pa.int32()), found)], names=["chunk", "bucket", "value"])
+        give_back()
 
-    scratch.tidy()
     shard = F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF)
-    runs = totals.where("key >= 0").repartition(n_parts, shard).mapInArrow(answer, "key long, value double")
-    values = runs.unionByName(totals.where("key < 0").select("key", F.col("n").cast("double").alias("value")))
-    # an answer goes back by its place among what the chunk asked for; both lists are gathered in the same order
-    answers = asked.select("chunk", "place", "key").join(values, "key").select("chunk", "place", "value")
-    per_chunk = answers.groupBy("chunk").agg(F.collect_list("place").alias("places"), F.collect_list("value").alias("values"))
+    runs = totals.where("key >= 0").repartition(n_parts, shard).sortWithinPartitions(shard).mapInArrow(answer, value_kind)
+    values = runs.unionByName(totals.where("key < 0").mapInArrow(word_values, value_kind))
+    both = values.unionByName(asked.select("bucket", "chunk", "keys", F.lit(None).cast("array<double>").alias("value")))
+    answers = both.repartition(n_parts, "bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first()).mapInArrow(reply, "chunk long, bucket int, value array<double>")
+    per_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "value")).alias("told"))
     denominator = float(np.log10(base.n + 0.5 * (base.v + 1)))
     train_tokens = int(base.n)
 
     def score(batches):
-        if not state:
-            state["words"] = WordHashes()
-            state["words"].most = 1 << 17
         for batch in batches:
             for k in range(batch.num_rows):
-                told = np.empty(len(batch.column(2)[k]))
-                told[batch.column(2)[k].values.to_numpy()] = batch.column(3)[k].values.to_numpy()
                 texts = batch.column(1)[k].as_py()
                 coded, sizes = runs_of(texts)
-                logs = np.add.reduceat(_look(told, coded.at), np.cumsum(sizes) - sizes)
-                words, in_text = word_keys(state["words"], texts)
+                words, in_text = word_keys(texts)
+                word, of = np.unique(words, return_inverse=True)
+                key = np.concatenate([coded.key, word, np.array([END_TOKEN])])
+                told = batch.column(2)[k].values
+                parts, order = told.field(1), np.argsort(buckets_of(key, n_buckets), kind="stable")
+                value = np.empty(len(key))
+                value[order] = np.concatenate([parts[j].values.to_numpy() for j in np.argsort(told.field(0).to_numpy()).tolist()])
+                past = np.cumsum(sizes)
+                logs, a = np.empty(len(texts)), 0
+                while a < len(texts):  # some texts at a time
+                    b = max(a + 1, int(np.searchsorted(past, (past[a - 1] if a else 0) + STEP, side="right")))
+                    begin = past[a] - sizes[a]
+                    logs[a:b] = np.add.reduceat(value[coded.at[begin : past[b - 1]]], past[a:b] - sizes[a:b] - begin)
+                    a = b
                 owner = np.repeat(np.arange(len(texts)), in_text)
-                count = told[len(coded.key) + np.unique(words, return_inverse=True)[1]]
-                end = told[-1]
+                count, end = value[len(coded.key) + of], value[-1]
                 tokens = in_text + 1
                 known = np.bincount(owner, weights=count > 0, minlength=len(texts)) + (end > 0)
                 base_log = np.bincount(owner, weights=np.log10(count + 0.5), minlength=len(texts)) + np.log10(end + 0.5) - tokens * denominator
@@ -258,6 +374,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                     [batch.column(0)[k].values, pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(np.full(len(texts), train_tokens)), pa.array(base_log), pa.array(logs)],
                     names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+        give_back()
 
     ready = chunks.select("chunk", "ids", "texts").join(per_chunk, "chunk")
-    return ready.select("ids", "texts", "places", "values").mapInArrow(score, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return ready.select("ids", "texts", "told").mapInArrow(score, f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
