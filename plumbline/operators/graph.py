@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MAX_DIAGRAM_NODES, MAX_FAN
+from ..constants import CYCLE_EDGE, CYCLE_NODE, MAX_DIAGRAM_NODES, MAX_FAN
 from ..functions.text import diagram_id, layer_rank
 
 
@@ -98,6 +98,25 @@ def layering_violations(edges: DataFrame, layers: list[str]) -> DataFrame:
     return ranked.where("to_layer < from_layer")
 
 
+def architecture_findings(name: str, nodes: DataFrame, edges: DataFrame, layers: list[str] = ()) -> DataFrame:
+    """(checker, file, line, message) of one architecture checker over an import graph (node; src, dst, file, line).
+    Findings that belong to no one import have neither file nor line."""
+    told = lambda df, file, line, *message: df.select(F.lit(name).alias("checker"), file.alias("file"), line.cast("int").alias("line"), F.concat(*message).alias("message"))
+    none = F.lit(None)
+    if name == "import-cycles":
+        return told(cycle_findings(edges), F.col("file"), F.col("line"), F.lit("import cycle: "), "members")
+    if name == "layering":
+        at = lambda c: F.get(F.array(*[F.lit(x) for x in layers]), F.col(c))
+        found = layering_violations(edges, list(layers)) if layers else edges.withColumn("from_layer", F.lit(0)).withColumn("to_layer", F.lit(0)).where("false")
+        names = (at("from_layer"), at("to_layer")) if layers else (F.lit(""), F.lit(""))
+        return told(found, F.col("file"), F.col("line"), F.lit("layering: "), "src", F.lit(" ("), names[0], F.lit(") imports "), "dst", F.lit(" ("), names[1], F.lit("), a layer above its own"))
+    if name == "coupling":
+        fans = coupling(nodes, edges)
+        out = told(fans.where(F.col("fan_out") > MAX_FAN), none.cast("string"), none, F.lit("[coupling] "), "node", F.lit(" imports "), F.col("fan_out").cast("string"), F.lit(f" packages, limit {MAX_FAN}"))
+        return out.unionByName(told(fans.where(F.col("fan_in") > MAX_FAN), none.cast("string"), none, F.lit("[coupling] "), "node", F.lit(" is imported "), F.col("fan_in").cast("string"), F.lit(f" times, limit {MAX_FAN}")))
+    raise ValueError(f"unknown architecture checker: {name}")
+
+
 def coupling(nodes: DataFrame, edges: DataFrame, distinct: bool = False, limit: int = MAX_FAN) -> DataFrame:
     """(node, fan_out, fan_in, high): edges, or distinct neighbours, out of and into each node; nodes without any too."""
     e = edges.select("src", "dst")
@@ -126,9 +145,9 @@ def diagram_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     links = edges.select("src", "dst").distinct().withColumn("ord", order("src", "dst"))
     arrows = links.select(F.lit(2).alias("part"), "ord", F.concat(F.lit("    "), diagram_id(F.col("src")), F.lit(" --> "), diagram_id(F.col("dst"))).alias("text"))
     ids = cyclic.select(F.lit(1).alias("g"), "node").groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list("node")), diagram_id), ",").alias("ids"))
-    style = ids.select(F.lit(3).alias("part"), F.lit(0).cast("long").alias("ord"), F.lit("    classDef cycle fill:#fee2e2,stroke:#dc2626,stroke-width:2px;").alias("text")).unionByName(
+    style = ids.select(F.lit(3).alias("part"), F.lit(0).cast("long").alias("ord"), F.lit(f"    classDef cycle {CYCLE_NODE};").alias("text")).unionByName(
         ids.select(F.lit(4).alias("part"), F.lit(0).cast("long").alias("ord"), F.concat(F.lit("    class "), "ids", F.lit(" cycle;")).alias("text"))
     )
     red = links.join(cyclic.withColumnRenamed("node", "src"), "src", "left_semi").join(cyclic.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    marks = red.select(F.lit(5).alias("part"), "ord", F.concat(F.lit("    linkStyle "), F.col("ord").cast("string"), F.lit(" stroke:#dc2626,stroke-width:2px;")).alias("text"))
+    marks = red.select(F.lit(5).alias("part"), "ord", F.concat(F.lit("    linkStyle "), F.col("ord").cast("string"), F.lit(f" {CYCLE_EDGE};")).alias("text"))
     return head.unionByName(boxes).unionByName(arrows).unionByName(style).unionByName(marks)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import in_scope
 from .state import pre_existing
 
 SNAPSHOT = "transcript string, seq int, path string, before string, after string, lost int"
@@ -99,3 +100,16 @@ def backtest(snaps: DataFrame, check, only_new: bool = False) -> DataFrame:
     seq = F.split_part(rest, F.lit("/"), F.lit(1))
     out = out.select(F.substring("path", F.length(size) + 2, size.cast("int")).alias("transcript"), seq.cast("int").alias("seq"), F.substring(rest, F.length(seq) + 2, F.length(rest)).alias("path"), "line", "rule", "message", "pre_existing")
     return out.where("not pre_existing") if only_new else out
+
+
+def backtest_lines(findings: DataFrame) -> DataFrame:
+    """findings of backtest with text: one line each."""
+    old = F.when(F.col("pre_existing"), " (pre-existing)").otherwise("")
+    return findings.withColumn("text", F.concat("transcript", F.lit("#"), F.col("seq").cast("string"), F.lit(" "), "path", F.lit(":"), F.col("line").cast("string"), F.lit(": ["), "rule", F.lit("]"), old, F.lit(" "), "message"))
+
+
+def backtest_counts(snaps: DataFrame, globs: dict[str, tuple[str, ...]]) -> DataFrame:
+    """One row: transcripts, snapshots (each as often as checkers look at its file) and edits that were lost. globs:
+    by checker, the paths that it looks at."""
+    seen = sum((in_scope(F.col("path"), list(g)).cast("long") for g in globs.values()), F.lit(0).cast("long"))
+    return snaps.agg(F.countDistinct("transcript").alias("transcripts"), F.coalesce(F.sum(F.when(F.col("path").isNotNull(), seen)), F.lit(0)).alias("snapshots"), F.coalesce(F.sum("lost"), F.lit(0)).cast("long").alias("lost"))

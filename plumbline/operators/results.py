@@ -79,21 +79,22 @@ def hook_responses(results: DataFrame, keys: list[str], note: str) -> DataFrame:
 
 
 def diagnostics(results: DataFrame, path: str = "path") -> DataFrame:
-    """(path, line from 0, severity, code, message): one per output line that names a line of the file; else one at
-    line 0. A number that is no line counts as line 0."""
+    """(path, line from 0, severity, source, message): one per output line `path:line: text` about the file; else one
+    at line 0. What isn't a number of 32 bits names no line."""
     prefix = F.concat(F.col(path), F.lit(":"))
     failed = results.where("not passed").withColumn("_lines", F.split("output", r"\r?\n", -1))
-    own = F.transform(F.filter("_lines", lambda x: F.startswith(x, prefix) & F.split_part(F.substring(x, F.length(prefix) + 1, F.length(x)), F.lit(":"), F.lit(1)).rlike(r"\A[0-9]+\z")), lambda x: F.substring(x, F.length(prefix) + 1, F.length(x)))
-    number = lambda x: F.coalesce(F.split_part(x, F.lit(":"), F.lit(1)).try_cast("int"), F.lit(0))
-    spots = F.transform(own, lambda x: F.struct(F.greatest(number(x) - 1, F.lit(0)).alias("line"), F.trim(F.regexp_replace(x, r"\A[0-9]+:?", "")).alias("text")))
-    whole = F.array(F.struct(F.lit(0).alias("line"), described(F.col("message"), F.col("output"), F.col("command")).alias("text")))
+    rest = F.transform(F.filter("_lines", lambda x: F.startswith(x, prefix) & (F.instr(F.substring(x, F.length(prefix) + 1, F.length(x)), ":") > 0)), lambda x: F.substring(x, F.length(prefix) + 1, F.length(x)))
+    number = lambda x: F.when(F.trim(F.split_part(x, F.lit(":"), F.lit(1))).rlike(r"\A\+?[0-9]+\z"), F.trim(F.split_part(x, F.lit(":"), F.lit(1))).try_cast("bigint"))
+    own = F.filter(rest, lambda x: F.coalesce(number(x) < 1 << 32, F.lit(False)))
+    spots = F.transform(own, lambda x: F.struct(F.greatest(number(x) - 1, F.lit(0)).alias("line"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("text")))
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("line"), described(F.col("message"), F.col("output"), F.col("command")).alias("text")))
     each = failed.withColumn("_d", F.explode(F.when(F.size(spots) > 0, spots).otherwise(whole)))
-    return each.select(path, F.col("_d.line").alias("line"), F.when(F.col("severity") == "blocking", "ERROR").otherwise("WARNING").alias("severity"), F.col("check_name").alias("code"), F.col("_d.text").alias("message"))
+    return each.select(path, F.col("_d.line").alias("line"), F.when(F.col("severity") == "blocking", "ERROR").otherwise("WARNING").alias("severity"), F.col("check_name").alias("source"), F.col("_d.text").alias("message"))
 
 
 def joined_output(findings: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
     """(keys, path, output): findings as lines `path:line: message`, by line."""
-    told = F.array_sort(F.collect_list(F.struct("line", "message")))
+    told = F.array_sort(F.collect_list(F.struct("line", "message")))  # in the order of lines
     return findings.groupBy(*keys, path).agg(F.array_join(F.transform(told, lambda x: F.concat_ws("", F.col(path), F.lit(":"), x["line"].cast("string"), F.lit(": "), x["message"])), "\n").alias("output"))
 
 

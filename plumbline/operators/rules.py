@@ -13,17 +13,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import JS_EXTENSIONS, MAX_BODY_LINES, MAX_NESTING, MAX_PARAMETERS
-from ..functions.text import directory
+from ..functions.text import directory, in_scope
 from ..parse import go, markdown, scan
 from . import blocks, links
 
 LANGUAGES = {"go": "go", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "java": "java", "kt": "kotlin", "kts": "kotlin"}
 FINDING = ["path", "line", "rule", "message"]
-#: Rules by name, with the file extensions that they look at.
-CATALOG = {
-    "syntax-rules": tuple(LANGUAGES), "primitive-obsession": ("go",), "go-ignored-error": ("go",), "go-blank-imports": ("go",),
-    "go-error-context": ("go",), "duplicate-code": ("go", "ts", "tsx", "js", "jsx", "py", "java", "kt"), "markdown-link-integrity": ("md",),
+#: Checkers by name: the paths that they look at, their language (None: any) and what they tell; fixed names and globs.
+CHECKERS = {
+    "primitive-obsession": (("**/*.go",), "go", "several parameters of one primitive type"),
+    "markdown-link-integrity": (("**/*.md",), None, "references, anchors and files that links lead to"),
+    "duplicate-code": (tuple(f"**/*.{e}" for e in ("go", "ts", "tsx", "js", "jsx", "py", "java", "kt")), None, "blocks of lines repeated within a file"),
+    "go-blank-imports": (("**/*.go",), "go", "blank imports without a reason"),
+    "go-ignored-error": (("**/*.go",), "go", "errors assigned to _"),
+    "go-error-context": (("**/*.go",), "go", "errors passed on without context"),
+    "syntax-rules": (("**/*.go",), "go", "long functions, deep nesting, long parameter lists"),
+    "syntax-rules-typescript": (("**/*.ts",), "typescript", "long functions, deep nesting, long parameter lists"),
+    "syntax-rules-tsx": (("**/*.tsx",), "tsx", "long functions, deep nesting, long parameter lists"),
+    "syntax-rules-javascript": (("**/*.js", "**/*.jsx", "**/*.mjs", "**/*.cjs"), "javascript", "long functions, deep nesting, long parameter lists"),
+    "syntax-rules-python": (("**/*.py",), "python", "long functions, deep nesting, long parameter lists"),
+    "syntax-rules-java": (("**/*.java",), "java", "long functions, deep nesting, long parameter lists"),
+    "syntax-rules-kotlin": (("**/*.kt", "**/*.kts"), "kotlin", "long functions, deep nesting, long parameter lists"),
 }
+ARCHITECTURE_CHECKERS = ("import-cycles", "layering", "coupling")
+
+
+def checkers(spark) -> DataFrame:
+    """(name, language, globs, description) of all checkers."""
+    return spark.createDataFrame([(n, language, list(globs), told) for n, (globs, language, told) in CHECKERS.items()], "name string, language string, globs array<string>, description string")
+
+
+def findings_of(files: DataFrame, names: list[str]) -> DataFrame:
+    """(checker, path, line, message) of the named checkers, each over the files that its globs take in. A name that
+    is no checker is an error. Languages are scanned together, in one pass per family of rules."""
+    if unknown := sorted(set(names) - CHECKERS.keys()):
+        raise ValueError(f"unknown checkers: {', '.join(unknown)}")
+    parts = []
+    syntax = [n for n in names if n.startswith("syntax-rules")]
+    go_rules = [n for n in names if CHECKERS[n][1] == "go" and n != "syntax-rules"]
+    told = lambda df, name: df.select(name.alias("checker"), "path", F.col("line").cast("int").alias("line"), "message")
+    if syntax:
+        named = F.coalesce(*[F.when(in_scope(F.col("path"), CHECKERS[n][0]), F.lit(n)) for n in syntax])
+        parts.append(told(syntax_findings(files.where(named.isNotNull())), named))
+    if go_rules:
+        parts.append(told(go_findings(files).where(F.col("rule").isin(*go_rules)), F.col("rule")))
+    if "duplicate-code" in names:
+        parts.append(told(duplicate_findings(files), F.lit("duplicate-code")))
+    if "markdown-link-integrity" in names:
+        parts.append(told(markdown_findings(files), F.lit("markdown-link-integrity")))
+    if not parts:
+        return files.select(F.lit("").alias("checker"), "path", F.lit(0).alias("line"), F.lit("").alias("message")).where("false")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def extension(path: str = "path"):
@@ -96,7 +139,7 @@ def go_findings(files: DataFrame) -> DataFrame:
 
 
 def duplicate_findings(files: DataFrame) -> DataFrame:
-    found = blocks.duplicate_blocks(files.where(extension().isin(*CATALOG["duplicate-code"])), "path", "source")
+    found = blocks.duplicate_blocks(files.where(in_scope(F.col("path"), CHECKERS["duplicate-code"][0])), "path", "source")
     return found.select("path", F.col("line").cast("int").alias("line"), F.lit("duplicate-code").alias("rule"), F.concat(F.lit("block of lines repeated "), F.col("repeats").cast("string"), F.lit(" times, at lines "), "lines").alias("message"))
 
 

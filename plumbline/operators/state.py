@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..constants import CLAIM_SECONDS
 
@@ -52,10 +57,55 @@ def cache_lookup(asked: DataFrame, cached: DataFrame, key: str, stamps: list[str
 
 
 def cache_merge(cached: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """The cache after a run: one entry per key, the fresh one if there is one."""
+    """The cache after a run: one entry per key, the fresh one if there is one. A key has one entry whatever its
+    trigger, so runs by different triggers put each other's entries out."""
     return cached.join(fresh.select(key), key, "left_anti").unionByName(fresh)
 
 
+def load_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The entries kept at path; none where there is nothing, or nothing that can be read."""
+    try:
+        found = spark.read.parquet(path)
+        names = StructType.fromDDL(schema).fieldNames()
+        found.select(*names).limit(1).count()  # reads a footer and a row: damage shows here
+        return found.select(*names)
+    except (AnalysisException, Py4JJavaError):
+        return spark.createDataFrame([], schema)
+
+
+def save_cache(entries: DataFrame, path: str) -> None:
+    """Writes entries beside path and puts them in its place, so they may be read from there while they are written."""
+    spark = entries.sparkSession
+    new = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    entries.write.parquet(new)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at, to = files.Path(new), files.Path(path.rstrip("/"))
+    system = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(to, True)
+    system.rename(at, to)
+
+
+CACHE = "path string, trigger string, modified timestamp, length long, config_modified timestamp, config_length long, results array<struct<check_name:string,severity:string,passed:boolean,output:string,message:string,command:string>>"
+
+
+def cached_run(files: DataFrame, cached: DataFrame, trigger: str, config_stamp: tuple, check, scoped: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(results, cache after the run) of check (files -> results) over files (path, source, modified, length).
+
+    Files whose entry has the same trigger and stamps, and was made under the same configuration, aren't checked
+    again. A run scoped to changed lines neither reads the cache nor adds to it."""
+    if scoped:
+        return check(files.select("path", "source")), cached
+    stamped = files.withColumn("trigger", F.lit(trigger)).withColumn("config_modified", F.lit(config_stamp[0]).cast("timestamp")).withColumn("config_length", F.lit(config_stamp[1]).cast("long"))
+    stamps = ["modified", "length", "config_modified", "config_length"]
+    asked = cache_lookup(stamped, cached, "path", stamps)
+    old = asked.where("hit").select("path").join(cached, "path").select("path", F.explode("results").alias("r")).select("path", "r.*")
+    missed = asked.where("not hit")
+    new = check(missed.select("path", "source"))
+    kept = new.groupBy("path").agg(F.collect_list(F.struct("check_name", "severity", "passed", "output", "message", "command")).alias("results"))
+    fresh = missed.select("path", "trigger", *stamps).join(kept, "path", "left").withColumn("results", F.coalesce("results", F.array().cast(StructType.fromDDL(CACHE)["results"].dataType)))
+    return old.unionByName(new.select(*old.columns)), cache_merge(cached, fresh, "path")
+
+
 def with_baseline(current: DataFrame, head: DataFrame, keys: list[str]) -> DataFrame:
     """current (passed, severity) against the same checks at the base revision: a blocking failure that was there
     already is advisory; an unknown base changes nothing."""

@@ -100,7 +100,8 @@ def diffs(spark: SparkSession, repo: str) -> DataFrame:
 
 
 def command_results(commands: DataFrame, allow: bool = False) -> DataFrame:
-    """(check_name, path, command, cwd) run by a shell -> output, passed. Off unless allowed: commands are code."""
+    """(check_name, path, command, cwd) run by a shell -> output (with what went to stderr), stdout, passed. Off unless
+    allowed: commands are code."""
     if not allow:
         raise PermissionError("commands run only with allow=True")
 
@@ -109,6 +110,7 @@ def command_results(commands: DataFrame, allow: bool = False) -> DataFrame:
             rows = batch.to_pylist()
             done = [subprocess.run(["sh", "-c", r["command"]], cwd=r["cwd"], capture_output=True) for r in rows]
             out = [(d.stdout + d.stderr).decode("utf-8", "replace") for d in done]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], pa.array(out, pa.string()), pa.array([d.returncode == 0 for d in done])], names=["check_name", "path", "command", "output", "passed"])
+            alone = [d.stdout.decode("utf-8", "replace") for d in done]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], pa.array(out, pa.string()), pa.array(alone, pa.string()), pa.array([d.returncode == 0 for d in done])], names=["check_name", "path", "command", "output", "stdout", "passed"])
 
-    return commands.select("check_name", "path", "command", "cwd").mapInArrow(work, "check_name string, path string, command string, output string, passed boolean")
+    return commands.select("check_name", "path", "command", "cwd").mapInArrow(work, "check_name string, path string, command string, output string, stdout string, passed boolean")
