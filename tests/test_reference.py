@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.operators import blocks, graph, links, replay, results, rules, scope, state
 from plumbline.parse import go, markdown, scan
-from plumbline.plans import oracles, queries
+from plumbline.plans import oracles, queries, source_oracles, source_queries
 from plumbline.sources import files as sources
 from plumbline.streaming import state as streams
 
@@ -420,11 +420,14 @@ def plain(df):
     return sorted(map(repr, df.astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", queries.QUERIES)
+QUERIES, ORACLES = queries.QUERIES | source_queries.QUERIES, oracles.ORACLES | source_oracles.ORACLES
+
+
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_against_duckdb(spark, tables, name):
-    got, expected = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), tables.sql(oracles.ORACLES[name]).df()
+    got, expected = QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), tables.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(expected.columns) and plain(got) == plain(expected)
 
 
 def test_every_query_has_its_sql():
-    assert queries.QUERIES.keys() == oracles.ORACLES.keys()
+    assert QUERIES.keys() == ORACLES.keys()
