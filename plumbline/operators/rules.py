@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import JS_EXTENSIONS, MAX_BODY_LINES, MAX_NESTING, MAX_PARAMETERS
 from ..functions.text import directory, in_scope
 from ..parse import go, markdown, scan
-from . import blocks, links
+from . import blocks, graph, links
 
 LANGUAGES = {"go": "go", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "java": "java", "kt": "kotlin", "kts": "kotlin"}
 FINDING = ["path", "line", "rule", "message"]
@@ -104,38 +104,33 @@ def syntax_findings(files: DataFrame) -> DataFrame:
 
 
 def go_facts(files: DataFrame) -> DataFrame:
-    """(path, kind, line, text, n): repeated parameter types, ignored errors, imports, comments, bare errors."""
+    """(path, kind, line, text, n): repeated parameter types, ignored errors, imports, blank imports without a comment
+    (open), bare errors. One pass over the sources."""
 
     def read(path, source):
         found, comments = go.imports(source)
+        # a comment justifies the import on its row, or on the next row if it shares its own with no import
+        rows = {r for r, _, _ in found}
+        near = set(comments) | {r + 1 for r in comments if r not in rows}
         out = [("parameters", r, kind, n) for r, n, kind in go.same_typed_parameters(source)]
         out += [("ignored", r, "", 0) for r in go.ignored_errors(source)]
-        out += [("blank" if alias == "_" else "import", r, target, 0) for r, alias, target in found]
-        return out + [("comment", r, "", 0) for r in comments] + [("bare", r, "", 0) for r in go.bare_errors(source)]
+        out += [("import", r, target, 0) for r, _, target in found]
+        out += [("open", r, target, 0) for r, alias, target in found if alias == "_" and r not in near]
+        return out + [("bare", r, "", 0) for r in go.bare_errors(source)]
 
     return _facts(files.where(extension() == "go"), read, "path string, kind string, line int, text string, n int")
 
 
 def go_findings(files: DataFrame) -> DataFrame:
-    facts = go_facts(files)
-    told = lambda df, rule, message: df.select("path", "line", F.lit(rule).alias("rule"), message.alias("message"))
-    of = lambda kind: facts.where(F.col("kind") == kind)
-    blank = of("blank").withColumnRenamed("line", "row")
-    # a comment justifies the import on its row, or on the next row if it shares its own with no import
-    any_import = facts.where(F.col("kind").isin("blank", "import")).select("path", F.col("line").alias("row")).distinct()
-    notes = of("comment").select("path", F.col("line").alias("row")).distinct()
-    above = notes.join(any_import, ["path", "row"], "left_anti").select("path", (F.col("row") + 1).alias("row"))
-    open_ = blank.join(notes.unionByName(above).distinct(), ["path", "row"], "left_anti").withColumnRenamed("row", "line")
-    parts = [
-        told(of("parameters"), "primitive-obsession", F.concat(F.col("n").cast("string"), F.lit(" parameters in a row of type "), "text")),
-        told(of("ignored"), "go-ignored-error", F.lit("the last result, an error by convention, is ignored")),
-        told(of("bare"), "go-error-context", F.lit("the error is passed on without context")),
-        told(open_, "go-blank-imports", F.concat(F.lit("blank import without a reason: "), "text")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Findings of the Go rules; a row of facts is a finding, or none."""
+    told = {
+        "parameters": ("primitive-obsession", F.concat(F.col("n").cast("string"), F.lit(" parameters in a row of type "), "text")),
+        "ignored": ("go-ignored-error", F.lit("the last result, an error by convention, is ignored")),
+        "bare": ("go-error-context", F.lit("the error is passed on without context")),
+        "open": ("go-blank-imports", F.concat(F.lit("blank import without a reason: "), "text")),
+    }
+    of = lambda k: F.coalesce(*[F.when(F.col("kind") == kind, x[k] if k else F.lit(x[k])) for kind, x in told.items()])
+    return go_facts(files).where(F.col("kind").isin(*told)).select("path", "line", of(0).alias("rule"), of(1).alias("message"))
 
 
 def duplicate_findings(files: DataFrame) -> DataFrame:
@@ -156,8 +151,9 @@ def markdown_facts(files: DataFrame) -> DataFrame:
 
 
 def markdown_findings(files: DataFrame) -> DataFrame:
-    """Undefined and unused references, and links to anchors or files that aren't there."""
-    facts = markdown_facts(files)
+    """Undefined and unused references, and links to anchors or files that aren't there. Facts, a few short rows per
+    document, are written to the checkpoint folder once, as each kind of finding reads them."""
+    facts = graph._settled(files.sparkSession, markdown_facts(files))
     of = lambda kind: facts.where(F.col("kind") == kind)
     told = lambda df, *message: df.select("path", "line", F.lit("markdown-link-integrity").alias("rule"), F.concat(*message).alias("message"))
     defs, uses = of("definition"), of("use").withColumn("image", F.col("image") == 1)
@@ -199,7 +195,7 @@ def import_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     sources = files.where(extension() == "go").crossJoin(F.broadcast(first)).where("module is not null")  # one row: the outermost module
     below = F.when(F.col("root") == "", directory(F.col("path"))).otherwise(F.expr("substring(" + "regexp_replace(path, '/[^/]*$', ''), length(root) + 2)"))
     packages = sources.select("path", F.concat_ws("/", "module", F.when(~below.isin(".", ""), below)).alias("node"))
-    found = go_facts(files).where(F.col("kind").isin("import", "blank")).join(packages, "path")
+    found = go_facts(files).where("kind = 'import'").join(packages, "path")
     nodes = packages.select("node").distinct()
     go_edges = found.join(nodes.withColumnRenamed("node", "dst"), F.col("text") == F.col("dst")).where("node <> dst").select(F.col("node").alias("src"), "dst", F.col("path").alias("file"), "line")
 
