@@ -101,6 +101,14 @@ class Scratch:
             _delete(self.spark, df.__dict__["_scratch_path"])
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, mapped, mix64, text_bytes
+from .common import Scratch, fresh_name, mapped, mix64, text_bytes, word_hashes
 
 BINS = 256
 
@@ -31,16 +31,26 @@ def bands_for(percent: int) -> tuple[int, int]:
     return 1, BINS
 
 
-def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Distinct hashes of the runs of k words, given each word's hash; of fewer words the whole run."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    size = min(k, n)
-    out = np.zeros(n - size + 1, dtype=np.uint64)
-    for j in range(size):
-        out = mix64(out ^ hashes[j : n - size + 1 + j]) + np.uint64(size)
-    return np.unique(out)
+def shingle_sets_of(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Per text the distinct hashes of its runs of k words, A-Z lower-cased, in order; of fewer words the whole run."""
+    hashes, sizes = word_hashes(texts, lower=True)
+    runs = np.zeros(max(len(hashes) - k + 1, 0), dtype=np.uint64)  # those that reach into the next text aren't used
+    for j in range(k):
+        runs = mix64(runs ^ hashes[j : j + len(runs)]) + np.uint64(k)
+    out, begin = [], 0
+    for n in sizes.tolist():
+        if n >= k:
+            out.append(np.unique(runs[begin : begin + n - k + 1]))
+        else:
+            whole = np.zeros(min(n, 1), dtype=np.uint64)
+            for j in range(n):
+                whole = mix64(whole ^ hashes[begin + j]) + np.uint64(n)
+            out.append(whole)
+        begin += n
+    return out
+
+
+_EMPTY = np.iinfo(np.uint64).max
 
 
 class OnePermutation:
@@ -51,24 +61,25 @@ class OnePermutation:
         self.order = rng.random((BINS, BINS)).argsort(axis=1).argsort(axis=1).astype(np.int16)  # rank of bin j for bin b
         self.rows, self.bands = rows, bands
 
-    def sketch(self, shingles: np.ndarray) -> np.ndarray:
-        mixed = mix64(shingles + np.uint64(0x5BD1E995))
-        bins, value = (mixed >> np.uint64(56)).astype(np.int64), mixed & np.uint64((1 << 56) - 1)
-        out = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
-        np.minimum.at(out, bins, value)
-        empty = out == np.iinfo(np.uint64).max
-        if empty.any():
-            full = np.flatnonzero(~empty)
-            lacking = np.flatnonzero(empty)
-            out[lacking] = out[full[self.order[np.ix_(lacking, full)].argmin(axis=1)]]
+    def sketches(self, sets: list[np.ndarray]) -> np.ndarray:
+        """A row of BINS values per set; sets aren't empty."""
+        mixed = mix64(np.concatenate(sets) + np.uint64(0x5BD1E995))
+        owner = np.repeat(np.arange(len(sets)) * BINS, [len(s) for s in sets])
+        out = np.full(len(sets) * BINS, _EMPTY, dtype=np.uint64)
+        np.minimum.at(out, owner + (mixed >> np.uint64(56)).astype(np.int64), mixed & np.uint64((1 << 56) - 1))
+        out = out.reshape(len(sets), BINS)
+        empty = out == _EMPTY
+        for k in np.flatnonzero(empty.any(axis=1)).tolist():
+            full, lacking = np.flatnonzero(~empty[k]), np.flatnonzero(empty[k])
+            out[k, lacking] = out[k, full[self.order[np.ix_(lacking, full)].argmin(axis=1)]]
         return out
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """One key per band; the band's number is part of it."""
-        rows = self.sketch(shingles)[: self.rows * self.bands].reshape(self.bands, self.rows)
-        key = np.arange(self.bands, dtype=np.uint64)
+    def keys(self, sets: list[np.ndarray]) -> np.ndarray:
+        """One key per set and band; the band's number is part of it."""
+        rows = self.sketches(sets)[:, : self.rows * self.bands].reshape(len(sets), self.bands, self.rows)
+        key = np.tile(np.arange(self.bands, dtype=np.uint64), (len(sets), 1))
         for j in range(self.rows):
-            key = mix64(key ^ rows[:, j]) + np.uint64(0x9E3779B97F4A7C15)
+            key = mix64(key ^ rows[:, :, j]) + np.uint64(0x9E3779B97F4A7C15)
         return key
 
 
@@ -86,31 +97,26 @@ def sketches(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not state:
-            state.update(words=WordHashes(), sketch=OnePermutation(rows, bands))
-        n, a, b, keys = [], [], [], []
-        for text in text_bytes(batch.column(1)):
-            s = shingle_hashes(state["words"].of(text.lower().split()), shingle)
-            n.append(len(s))
-            a.append(int(mix64(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-            b.append(int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-            keys.append(state["sketch"].keys(s) if len(s) else s)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), _longs(keys)], names=["_id", "n", "a", "b", "keys"])
+            state["sketch"] = OnePermutation(rows, bands)
+        sets = shingle_sets_of(text_bytes(batch.column(1)), shingle)
+        live = [s for s in sets if len(s)]
+        told = iter(state["sketch"].keys(live) if live else ())
+        keys = [next(told) if len(s) else s for s in sets]
+        both = [[int(mix64(s ^ seed).sum(dtype=np.uint64).view(np.int64)) for s in sets] for seed in (np.uint64(0), np.uint64(0xA5A5A5A5A5A5A5A5))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in both), _longs(keys)], names=["_id", "n", "a", "b", "keys"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return mapped(picked, work, "_id long, n long, a long, b long, keys array<long>", 8 << 20)
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return mapped(picked, work, f"_id {picked.schema['_id'].dataType.simpleString()}, n long, a long, b long, keys array<long>", 4 << 20)
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """rep, n, s: the full sets of (rep, _text)."""
-    state: dict = {}
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not state:
-            state["words"] = WordHashes()
-        sets = [shingle_hashes(state["words"].of(t.lower().split()), shingle) for t in text_bytes(batch.column(1))]
+        sets = shingle_sets_of(text_bytes(batch.column(1)), shingle)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _longs(sets)], names=["rep", "n", "s"])
 
-    return mapped(docs.select("rep", "_text"), work, "rep long, n long, s array<long>", 8 << 20)
+    return mapped(docs.select("rep", "_text"), work, f"rep {docs.schema['rep'].dataType.simpleString()}, n long, s array<long>", 4 << 20)
 
 
 def components(links: DataFrame, scratch: Scratch, known: DataFrame | None = None) -> DataFrame:
@@ -143,14 +149,16 @@ def remaining_pairs(full: DataFrame, members: DataFrame, percent: int, scratch:
     component are not paired with each other, so a large component costs as many rows as it has members.
     """
     told = scratch.keep(full.join(members, "rep").select("rep", "n", "comp", F.explode("s").alias("h")))
-    common = told.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("c > 1")
+    # the smaller side of each of these joins is written first: both come of an exchange then, and Spark can split a
+    # shingle, bucket or set that very many rows have
+    common = scratch.keep(told.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("c > 1"))
     shared = told.join(common, "h").groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("c", "h", F.expr("lo <> hi").alias("mixed")))).alias("x"))
     # those of no other member come first; then the shared ones in order
     place = shared.select("rep", "n", "comp", F.size("x").alias("m"), F.posexplode("x").alias("k", "t"))
     place = place.withColumn("left", F.col("m") - F.col("k")).where(f"t.mixed and 100 * left >= {percent} * n")
     place = scratch.keep(place.select(F.col("t.h").alias("h"), "rep", "n", "comp", "left"))
     per_comp = place.groupBy("h", "comp").agg(F.count("*").alias("c"))
-    main = per_comp.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("x"), F.count("*").alias("comps")).where("comps > 1").select("h", F.col("x.comp").alias("c0"))
+    main = scratch.keep(per_comp.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("x"), F.count("*").alias("comps")).where("comps > 1").select("h", F.col("x.comp").alias("c0")))
     open_ = place.join(main, "h")
     few = open_.where("comp <> c0").select("h", F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("comp").alias("c1"), F.col("left").alias("left1"))
     all_ = open_.select("h", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("c2"), F.col("left").alias("left2"))
@@ -171,21 +179,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     scratch = Scratch(spark, "neardup")
     signed = scratch.keep(sketches(docs, shingle, percent, id_col, text_col))
     live = signed.where("_id is not null and n > 0")
-    classes = live.groupBy("n", "a", "b").agg(F.min("_id").alias("rep"))
+    classes = scratch.keep(live.groupBy("n", "a", "b").agg(F.min("_id").alias("rep")))
     member = live.select("_id", "n", "a", "b").join(classes, ["n", "a", "b"]).select("_id", "rep")
     copies = member.where("_id <> rep").select(F.col("_id").alias("a"), F.col("rep").alias("b")).distinct()
 
     reps = live.groupBy("n", "a", "b").agg(F.min(F.struct("_id", "keys")).alias("x")).select("n", F.col("x._id").alias("rep"), F.explode("x.keys").alias("key"))
-    sizes = reps.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = scratch.keep(reps.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     in_buckets = scratch.keep(reps.join(sizes, "key").select("key", "rep", "n", "size"))
     wanted = in_buckets.select(F.col("rep").alias("_id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(wanted, "_id")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(wanted, "_id")
     full = scratch.keep(shingle_sets(texts.select(F.col("_id").alias("rep"), "_text"), shingle).select("rep", "n", "s"))
 
     # candidates in large buckets must share enough of their set with other candidates
     crowded = in_buckets.where(F.col("size") > large_bucket).select("rep").distinct()
     told = full.join(crowded, "rep").select("rep", "n", F.explode("s").alias("h"))
-    common = told.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    common = scratch.keep(told.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     shared = told.join(common, "h").groupBy("rep", "n").agg(F.count("*").alias("shared"))
     central = scratch.keep(shared.where(f"100 * shared >= {percent} * n").select("rep", (F.col("shared") / F.col("n")).alias("share")))
     small = in_buckets.where(F.col("size") <= large_bucket).select("key", "rep", "n", F.lit(1.0).alias("share"))
@@ -215,6 +223,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             # first the member that shares most; then that of the members not linked to the smallest component
             rank = F.struct((-F.col("share")).alias("r"), F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("comp").alias("c1"))
             centre = (now.where("comp <> c0") if turn else now).groupBy("key").agg(F.min(rank).alias("x"))
+            centre = scratch.keep(centre)
             pairs = now.join(centre, "key").selectExpr("x.a as a", "x.n1 as n1", "x.c1 as c1", "rep as b", "n as n2", "comp as c2").where("c1 <> c2").where(fits)
         else:
             pairs = remaining_pairs(full, now_labelled(now.select("rep").distinct()), percent, scratch)
@@ -232,7 +241,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         labels = scratch.keep(components(links, scratch))
 
     # labels name the smallest representative, which is the smallest id of its component
-    grouped = member.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left") if labels is not None else member.withColumn("comp", F.lit(None).cast("long"))
+    grouped = member.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left") if labels is not None else member.withColumn("comp", F.lit(None).cast(member.schema["rep"].dataType))
     by_id = grouped.select("_id", F.coalesce("comp", "rep").alias("component_id"))
     if signed.groupBy("_id").count().where("_id is not null and count > 1").isEmpty():
         settled = by_id
@@ -247,10 +256,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, i
     """docs with one document of each near-duplicate group, that of the smallest id; columns stay as they are. Rows
     with a null id stay; of several rows with the same id one stays (the one with the smallest text hash)."""
     scratch = Scratch(docs.sparkSession, "dropped")
-    found = scratch.keep(near_duplicates(docs, shingle, percent, id_col, text_col).select(F.col(id_col).alias("_dropped"), "kept"))
-    out = docs.join(found.where("not kept").select("_dropped").distinct(), docs[id_col] == F.col("_dropped"), "left_anti")
-    if found.where("_dropped is not null").groupBy("_dropped").count().where("count > 1").isEmpty():
+    dropped, rank_in_id = fresh_name(docs, "_dropped"), fresh_name(docs, "_rank_in_id")
+    found = scratch.keep(near_duplicates(docs, shingle, percent, id_col, text_col).select(F.col(id_col).alias(dropped), "kept"))
+    gone = found.where("not kept").select(dropped).distinct()
+    out = docs.join(gone, F.col(id_col) == F.col(dropped), "left_anti")
+    if found.where(F.col(dropped).isNotNull()).groupBy(dropped).count().where("count > 1").isEmpty():
         return out
     rank = Window.partitionBy(F.col(id_col)).orderBy(F.sha2(F.col(text_col), 256))
-    ranked = out.where(F.col(id_col).isNotNull()).withColumn("_rank_in_id", F.row_number().over(rank)).where("_rank_in_id = 1").drop("_rank_in_id")
+    ranked = out.where(F.col(id_col).isNotNull()).withColumn(rank_in_id, F.row_number().over(rank)).where(F.col(rank_in_id) == 1).drop(rank_in_id)
     return ranked.unionByName(out.where(F.col(id_col).isNull()))

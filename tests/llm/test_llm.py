@@ -144,6 +144,13 @@ def test_near_duplicates_null_ids_and_empty(spark, no_docs):
     assert neardup.drop_near_duplicates(df).count() == 3
 
 
+def test_near_duplicates_clashing_columns_and_ids_of_text(spark):
+    text = "a b c d e f"
+    df = spark.createDataFrame([("x", text, 1, 2, 3), ("y", text, 4, 5, 6), ("z", "other words", 7, 8, 9), ("z", text + " g", 1, 1, 1)], "doc_id string, text string, _dropped int, _rank_in_id int, kept int")
+    assert sorted(r.doc_id for r in neardup.drop_near_duplicates(df).collect()) == ["x", "z"]
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == {"x": "x", "y": "x", "z": "z"}
+
+
 def test_bands_miss_less_than_once_in_a_hundred_million():
     for percent in (80, 85, 95):
         rows, bands = neardup.bands_for(percent)
@@ -364,8 +371,40 @@ def test_decontamination_against_all_windows(spark, no_docs):
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {i for i, _ in expected} and clean.columns == ["doc_id", "text", "_k"]
     assert decontaminate.benchmark_hits(no_docs, known).count() == 0
     assert decontaminate.benchmark_hits(df, known.where("false")).count() == 0
-    with pytest.raises(ValueError):
-        decontaminate.benchmark_hits(df, known, most_bytes=10)
+    for most_bytes in (400, 2000):  # a benchmark in parts
+        in_parts = decontaminate.benchmark_hits(df, known, most_bytes=most_bytes)
+        assert sorted(map(tuple, in_parts.collect())) == sorted(map(tuple, decontaminate.benchmark_hits(df, known).collect()))
+        assert {r.doc_id for r in decontaminate.decontaminate(df, known, most_bytes=most_bytes).collect()} == {r.doc_id for r in clean.collect()}
+
+
+def test_decontamination_of_a_long_text(spark):
+    passage = " ".join(f"p{k}" for k in range(30))
+    items = spark.createDataFrame([(1, passage), (2, "it was " * 20)], "item_id long, text string")
+    rows = [(1, words(random.Random(1), 200_000, 50) + " " + passage, 7), (2, "it was " * 100_000, 7), (3, "x" * 2_000_000, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    assert {(r.doc_id, r.item_id, r.similarity) for r in decontaminate.benchmark_hits(df, items).collect()} == {(1, 1, 1.0), (2, 2, 1.0)}
+    assert [tuple(r) for r in decontaminate.decontaminate(df, items).collect()] == [rows[2]]
+
+
+def test_fingerprints_recall_and_candidates():
+    """Of pairs just above the threshold nearly all lie within the radius, and few items are looked at."""
+    rng = np.random.default_rng(9)
+    items = [rng.integers(0, 1 << 63, 60, dtype=np.uint64) for _ in range(2000)]
+    near = []
+    for s in items:
+        other = s.copy()
+        other[rng.choice(60, 6, replace=False)] = rng.integers(0, 1 << 63, 6, dtype=np.uint64)  # similarity 54 / 66
+        near.append(other)
+    prints, queries = (decontaminate.fingerprints(np.array([decontaminate.bit_votes(s).sum(axis=0) for s in x])) for x in (items, near))
+    for spread in (4096, 100):
+        decontaminate.HammingIndex.spread, kept = spread, decontaminate.HammingIndex.spread
+        try:
+            index = decontaminate.HammingIndex(prints, 19)
+            q, i = index.near(queries)
+        finally:
+            decontaminate.HammingIndex.spread = kept
+        assert len({a for a, b in zip(q.tolist(), i.tolist()) if a == b}) >= 0.998 * len(items)
+        assert index.looked_at < 0.17 * len(items) ** 2
 
 
 def test_decontamination_null_ids_and_short_items(spark):
@@ -385,8 +424,8 @@ def test_hamming_index_finds_all_within_radius():
     for k in range(50):
         for b in rng.choice(64, k % 30, replace=False):
             queries[k] ^= np.uint64(1) << np.uint64(b)
-    q, i = decontaminate.HammingIndex(prints, 24).near(queries)
-    every = {(a, b) for a in range(50) for b in range(50) if bin(int(queries[a] ^ prints[b])).count("1") <= 24}
+    q, i = decontaminate.HammingIndex(prints, 19).near(queries)
+    every = {(a, b) for a in range(50) for b in range(50) if bin(int(queries[a] ^ prints[b])).count("1") <= 19}
     assert set(zip(q.tolist(), i.tolist())) == every
 
 
@@ -501,10 +540,15 @@ def test_classifiers_without_labels(spark, no_docs):
 
 
 def test_windows_overlap_and_cover():
-    for n in (0, 1, 47, 48, 49, 500):
-        spans = toxicity.windows_of(n)
+    sizes = np.array([0, 1, 47, 48, 49, 72, 73, 500, 0])
+    start, end, owner = toxicity.windows_of(sizes)
+    assert sorted(set(owner.tolist())) == list(range(len(sizes)))
+    for k, n in enumerate(sizes.tolist()):
+        spans = [(a - int(sizes[:k].sum()), b - int(sizes[:k].sum())) for a, b, o in zip(start.tolist(), end.tolist(), owner.tolist()) if o == k]
         assert set().union(*[set(range(a, b)) for a, b in spans]) == set(range(n))
         assert all(b2 > b1 >= a2 for (_, b1), (a2, b2) in zip(spans, spans[1:]))
+        passage = toxicity.WINDOW - toxicity.STRIDE  # lies whole in some window, wherever it begins
+        assert all(any(a <= p and p + passage <= b for a, b in spans) for p in range(max(0, n - passage + 1)))
 
 
 def test_network_gradients():
