@@ -1,15 +1,18 @@
 """Benchmark decontamination: SimHash of item-sized windows, a multi-index over Hamming blocks, exact verification.
 
 A window counts as the item's if the weighted similarity of their word shingles reaches the threshold. Only
-windows that share a shingle with some item can, so only positions around such shingles are fingerprinted; this
-loses nothing. A window's fingerprint is looked up in tables, one per block of bits, of which at least one must
-find every item within the radius; what they find is verified exactly, on shingles weighted by their counts. At the default radius a window of
-similarity 0.8 lies outside it about once in a million (64 bits that differ with a chance of 0.15 each).
+windows that hold enough of some item's shingles can, so only those are fingerprinted; this loses nothing. A window's
+fingerprint is looked up in tables, one per block of bits, of which at least one must find every item within the
+radius; what they find is verified exactly, on shingles weighted by their counts. Each table lists values within four
+of a block's 16 bits, one in 26, so a window looks at about a seventh of the items. At the default radius of 19 a
+window of similarity 0.8 lies outside it about once in 2,000 (64 bits that differ with a chance of 0.15 each), one of
+0.85 about once in 100,000.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, filter_rows, mapped, mix64
 
-BITS, BLOCKS = 64, 8
+BITS, BLOCKS = 64, 4
 BLOCK_BITS = BITS // BLOCKS
 _WORDS = re.compile(r"\w+")
 _SIGNS = 1 - 2 * np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int32)  # a 1 bit counts -1
@@ -52,37 +55,51 @@ def fingerprints(votes: np.ndarray) -> np.ndarray:
     return np.packbits(votes < 0, axis=1).view(">u8").astype(np.uint64).ravel()
 
 
+def _ball(reach: int) -> np.ndarray:
+    """All values of a block with at most `reach` bits set."""
+    values = np.arange(1 << BLOCK_BITS, dtype=np.uint64)
+    return values[np.bitwise_count(values) <= reach]
+
+
 class HammingIndex:
     """All fingerprints within `radius` of a query: in one of BLOCKS blocks they differ by at most radius // BLOCKS
-    bits, so a table per block that names the items near each block value misses none."""
+    bits. A table per block names the items of each value; of few items also those of each near value, else near
+    values are tried one by one."""
+
+    spread = 4096  # items up to which tables name near values
 
     def __init__(self, prints: np.ndarray, radius: int):
         self.prints, self.radius = prints, radius
-        values = np.arange(1 << BLOCK_BITS, dtype=np.uint64)
+        ball = _ball(radius // BLOCKS)
+        self.tries = ball if len(prints) > self.spread else np.zeros(1, dtype=np.uint64)
+        self.looked_at = 0  # items that lookups have named so far
         self.tables = []
         for k in range(BLOCKS):
-            own = (prints >> np.uint64(BLOCK_BITS * k)) & np.uint64((1 << BLOCK_BITS) - 1)
-            kinds, of = np.unique(own, return_inverse=True)
-            rows, items = [], []
-            for kind in range(len(kinds)):
-                near = np.flatnonzero(np.bitwise_count(values ^ kinds[kind]) <= radius // BLOCKS)
-                for item in np.flatnonzero(of == kind):
-                    rows.append(near.astype(np.int32))
-                    items.append(np.full(len(near), item, dtype=np.int32))
-            rows, items = (np.concatenate(x) if x else np.empty(0, np.int32) for x in (rows, items))
-            order = np.argsort(rows, kind="stable")
-            self.tables.append((np.searchsorted(rows[order], np.arange((1 << BLOCK_BITS) + 1)), items[order]))
+            own = self._block(prints, k)
+            value, item = own, np.arange(len(prints))
+            if len(prints) <= self.spread:
+                value, item = (own[:, None] ^ ball[None, :]).ravel(), np.repeat(item, len(ball))
+            order = np.argsort(value, kind="stable")
+            self.tables.append((np.searchsorted(value[order], np.arange((1 << BLOCK_BITS) + 1, dtype=np.uint64)), item[order].astype(np.int32)))
+
+    @staticmethod
+    def _block(prints: np.ndarray, k: int) -> np.ndarray:
+        return (prints >> np.uint64(BLOCK_BITS * k)) & np.uint64((1 << BLOCK_BITS) - 1)
 
     def near(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, item) pairs within the radius, each once."""
-        pairs = []
+        pairs = [np.empty(0, np.int64)]
+        step = max(1, (1 << 20) // len(self.tries))
         for k, (start, items) in enumerate(self.tables):
-            at = ((queries >> np.uint64(BLOCK_BITS * k)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
-            n = start[at + 1] - start[at]
-            query = np.repeat(np.arange(len(queries)), n)
-            item = items[np.repeat(start[at], n) + np.arange(len(query)) - np.repeat(np.cumsum(n) - n, n)]
-            close = np.bitwise_count(queries[query] ^ self.prints[item]) <= self.radius
-            pairs.append(query[close] * np.int64(len(self.prints)) + item[close])
+            for a in range(0, len(queries), step):
+                part = self._block(queries[a : a + step], k)
+                at = (part[:, None] ^ self.tries[None, :]).astype(np.int64).ravel()
+                n = start[at + 1] - start[at]
+                query = np.repeat(a + np.arange(len(part)), n.reshape(len(part), -1).sum(axis=1))
+                item = items[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(len(query))]
+                self.looked_at += len(item)
+                close = np.bitwise_count(queries[query] ^ self.prints[item]) <= self.radius
+                pairs.append(query[close] * np.int64(len(self.prints)) + item[close])
         both = np.unique(np.concatenate(pairs))
         return both // max(1, len(self.prints)), both % max(1, len(self.prints))
 
@@ -212,16 +229,23 @@ def find_long(hashes: np.ndarray, items: Items, shingle: int, threshold: float)
     return [(items.ids[k], f, w + min(shingle, len(hashes)) - 1, d, -x) for k, (x, d, f, w) in sorted(best.items())]
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = 24, most_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = 19, most_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and benchmark item of which it holds a window: id_col, item_id, first_word, n_words,
     hamming, similarity (of the best window; of equals the nearest, then the first).
 
     Words are runs of letters, digits and _, in small letters. Documents and items without words have no hits;
     an item of fewer words than a shingle is one shingle of its own number of words, found in texts of any length;
-    rows with null ids count like others; copies of rows have copies of hits. The benchmark is collected only if its texts take at most most_bytes (checked first);
-    a larger one is refused with an error. One pass over documents, no shuffle.
+    rows with null ids count like others; copies of rows have copies of hits. Of the benchmark, most_bytes of text at
+    most are held at a time: a larger one is dealt into parts, each of them one more pass over documents. No shuffle.
     """
-    held = held_items(docs, benchmark, shingle, radius, most_bytes, item_col, item_text_col)
+    out = None
+    for held in held_items(docs, benchmark, shingle, radius, most_bytes, item_col, item_text_col):
+        one = _hits(docs, held, shingle, threshold, id_col, text_col)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _hits(docs: DataFrame, held, shingle: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     state: dict = {}
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -251,20 +275,26 @@ class TextWordHashes(WordHashes):
         return out
 
 
-def held_items(docs: DataFrame, benchmark: DataFrame, shingle: int, radius: int, most_bytes: int, item_col: str, item_text_col: str):
-    """The prepared benchmark as a broadcast variable, after a check of its size."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t"))
+def held_items(docs: DataFrame, benchmark: DataFrame, shingle: int, radius: int, most_bytes: int, item_col: str, item_text_col: str) -> Iterator:
+    """The prepared benchmark as broadcast variables of at most about most_bytes of text each, one at least."""
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first().n
-    if total > most_bytes:
-        raise ValueError(f"the benchmark's texts take {total} bytes; at most {most_bytes} are broadcast")
-    known = sorted(((r.i, r.t) for r in rows.distinct().collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    return docs.sparkSession.sparkContext.broadcast(prepare_items(known, shingle, radius))
+    n_parts = 1 if total <= most_bytes else -(-2 * total // most_bytes)
+    for k in range(n_parts):
+        part = rows if n_parts == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_parts)) == k)
+        known = sorted(((r.i, r.t) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+        yield docs.sparkSession.sparkContext.broadcast(prepare_items(known, shingle, radius))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = 24, most_bytes: int = 16 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = 19, most_bytes: int = 16 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs without the rows whose text holds a window of a benchmark item; columns stay as they are. Null and
-    empty texts stay. See benchmark_hits. One pass, no shuffle."""
-    held = held_items(docs, benchmark, shingle, radius, most_bytes, item_col, item_text_col)
+    empty texts stay. See benchmark_hits. One pass over what is left for each part of the benchmark, no shuffle."""
+    for held in held_items(docs, benchmark, shingle, radius, most_bytes, item_col, item_text_col):
+        docs = filter_rows(docs, text_col, _clean(held, shingle, threshold))
+    return docs
+
+
+def _clean(held, shingle: int, threshold: float) -> Callable[[pa.Array], list[bool]]:
     state: dict = {}
 
     def clean(texts: pa.Array) -> list[bool]:
@@ -272,4 +302,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, thres
             state["words"] = TextWordHashes()
         return [not (t and find_items(state["words"].of(words_of(t)), held.value, shingle, threshold)) for t in texts.to_pylist()]
 
-    return filter_rows(docs, text_col, clean)
+    return clean
