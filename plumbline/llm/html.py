@@ -1,13 +1,15 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
 The standard library's parser streams events; a line is the text between two block-level tags. Smoothed
-text-to-tag ratios above a threshold cluster into content lines. The smallest element that holds them, or the
-article around it, is the page's article; all its lines count, except those in menus, forms and other matter.
+text-to-tag ratios above a threshold cluster into content lines. Their text is weighed by element, and the article is
+the smallest container that holds most of it, or the <article> around that; landmarks weigh more. All its lines count,
+except those in menus, forms and other matter, and blocks of links among its parts that hold no content line.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -21,58 +23,75 @@ from .common import mapped
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("html head body title option optgroup td th tr tbody thead tfoot template noscript".split())
-DROPPED = frozenset("head title script style noscript template nav footer aside form button select textarea svg iframe object canvas dialog menu datalist math".split())
+DROPPED = frozenset("head title script style noscript template nav footer aside button select textarea svg iframe object canvas dialog menu datalist math".split())
 SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
-#: Words in class or id, and roles, that mark matter around an article.
-MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|respond|repl(?:y|ies)|disqus|cookies?|consent|notices?|alert|menu|nav|navbar|navigation|navi|sidebar|side-?bar|footer|masthead|site-?header|page-?header|promo\w*|sponsor\w*|related|recommend\w*|share|sharing|social|newsletter|subscribe|signup|popup|modal|overlay|widget|toolbar|pagination|pager|skip-?link)(?=$|[\s_-])", re.I)
+#: Class names and ids that mark matter around an article, and roles. A name marks only as a whole, or with a word
+#: in front or behind that says what part of the page it is: has-sidebar or menu-open tell of the page's state.
+_WORD = r"ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?(?:list|body|form|section|area|thread)|respond|repl(?:y|ies)|disqus\w*|cookies?|consent|notices?|alert|menu|nav|navbar|navigation|navi|side-?bar|footer|masthead|promo\w*|sponsor\w*|related|recommend\w*|share|sharing|social|newsletter|subscribe|signup|popup|modal|overlay|widget|toolbar|pagination|pager|skip-?link"
+_FRONT = "site|page|main|top|bottom|left|right|global|post|article|user|reader|header"
+_BACK = "box|bar|block|lists?|links?|items?|container|wrap|wrapper|area|section|slot|unit|panel|posts?|articles?|stories|news|form|buttons?|icons?|inner|outer|top|bottom|left|right|content|title|header|heading|text|message|body|\\d+"
+MARKED = re.compile(rf"(?:(?:{_FRONT})[_-])?(?:{_WORD}|(?:site|page)-?header)(?:[_-](?:{_WORD}|{_BACK}))*", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 LANDMARKS = ("article", "main")
-_WHITE = re.compile(r"[ \t\n\r\f\v\xa0 -​    　 \x85﻿]+")
+FOREIGN = ("svg", "math")
+#: What may be the article's element, and how much more than elsewhere text in a landmark weighs.
+CONTAINERS = frozenset("article main section div body td html".split())
+LANDMARK_WEIGHT = 4
+_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 class _Element:
-    __slots__ = ("tag", "up", "dropped", "depth", "landmark")
+    """dropped: lines in it are never text; marked: they aren't, unless it turns out to be around the article."""
 
-    def __init__(self, tag: str, up: _Element | None, dropped: bool):
-        self.tag, self.up, self.dropped = tag, up, dropped
+    __slots__ = ("tag", "up", "dropped", "marked", "depth", "landmark", "around", "weight", "n_lines", "size", "link_size")
+
+    def __init__(self, tag: str, up: _Element | None, dropped: bool, marked: bool):
+        self.tag, self.up, self.dropped, self.marked = tag, up, dropped, marked
         self.depth = up.depth + 1 if up else 0
-        self.landmark = tag in LANDMARKS or bool(up and up.landmark)
+        self.landmark = tag in LANDMARKS and not marked or bool(up and up.landmark)
+        self.around = False  # holds an article, a main part or a title of its own
+        self.weight = self.n_lines = self.size = self.link_size = 0
+
+    def path(self) -> Iterator[_Element]:
+        at: _Element | None = self
+        while at is not None:
+            yield at
+            at = at.up
 
 
 class LineParser(HTMLParser):
-    """Collects lines: (text, tags seen, element they stand in)."""
+    """Collects lines: (text, tags seen, element they stand in, characters in links)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.at = self.root = _Element("", None, False)
-        self.lines: list[tuple[str, int, _Element]] = []
+        self.at = self.root = _Element("", None, False, False)
+        self.lines: list[tuple[str, int, _Element, int]] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = self.links = 0
         self.where: _Element | None = None
 
     def _break(self) -> None:
         if self.parts:
-            text = _WHITE.sub(" ", "".join(self.parts)).strip()
+            text = _WHITE.sub(" ", "".join(self.parts)).strip(" ")
             if text:
-                self.lines.append((text, self.tags, self.where or self.root))
+                self.lines.append((text, self.tags, self.where or self.root, min(self.linked, len(text))))
                 self.tags = 0
-        self.parts, self.where = [], None
+        self.parts, self.where, self.linked = [], None, 0
 
-    def _drops(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _drops(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
         if tag in DROPPED or tag == "header" and not self.at.landmark:
-            return True
-        if tag in ("html", "body", *LANDMARKS):
-            return False
+            return True, False
+        marked = tag == "form"
         for name, value in attrs:
-            if name in ("class", "id") and value and MARKED.search(value):
-                return True
-            if name == "role" and value and value.strip().lower() in ROLES:
-                return True
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
+                return True, False
             if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        return False
+                return True, False
+            if name in ("class", "id") and value:
+                marked = marked or any(MARKED.fullmatch(x) for x in value.split())
+            if name == "role" and value:
+                marked = marked or value.strip().lower() in ROLES
+        return False, marked and tag not in ("html", "body", "main")
 
     def _pop_to(self, tag: str, stop: tuple[str, ...]) -> None:
         found = self.at
@@ -91,16 +110,27 @@ class LineParser(HTMLParser):
             self._pop_to("p", ("article", "body", "div", "main", "section", "td", "button"))
         if tag in SAME_CLOSES:
             self._pop_to(tag, SAME_CLOSES[tag])
+        if tag == "a":
+            self.links += 1
         if tag not in VOID:
-            self.at = _Element(tag, self.at, self.at.dropped or self._drops(tag, attrs))
+            dropped, marked = self._drops(tag, attrs)
+            self.at = _Element(tag, self.at, self.at.dropped or dropped, marked)
+            if tag in ("article", "main", "h1") and not marked:
+                for at in self.at.up.path():
+                    at.around = True
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # a slash doesn't close elements that aren't void
+        foreign = tag in FOREIGN or any(at.tag in FOREIGN for at in self.at.path())
+        self.handle_starttag(tag, attrs)  # a slash closes foreign elements, and no others that aren't void
+        if foreign:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self._break()
+        if tag == "a":
+            self.links = max(0, self.links - 1)
         self._pop_to(tag, ())
 
     def handle_data(self, data: str) -> None:
@@ -108,6 +138,8 @@ class LineParser(HTMLParser):
             if self.where is None and not data.isspace():
                 self.where = self.at
             self.parts.append(data)
+            if self.links:
+                self.linked += len(data.strip())
 
     def close(self) -> None:
         super().close()
@@ -133,40 +165,57 @@ def content_lines(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return smooth >= cut
 
 
+def article_element(lines: list[tuple[str, int, _Element, int]]) -> _Element:
+    """The container that holds most of the content lines' text, or the <article> around it."""
+    high = content_lines(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]))
+    total, below = 0, {}
+    for (text, _, where, linked), h in zip(lines, high.tolist()):
+        weight = (len(text) - linked) * (LANDMARK_WEIGHT if where.landmark else 1) if h else 0
+        total += weight
+        inner = None
+        for at in where.path():
+            at.weight += weight
+            at.n_lines += bool(h)
+            at.size += len(text)
+            at.link_size += linked
+            if inner is not None:
+                below.setdefault(id(at), {})[id(inner)] = inner
+            if at.tag in CONTAINERS or at.up is None:
+                inner = at
+    at = next(reversed(list(lines[0][2].path())))
+    while True:  # down to the smallest container of more than half
+        inner = max((x for x in below.get(id(at), {}).values()), key=lambda x: x.weight, default=None)
+        if inner is None or 2 * inner.weight <= total:
+            break
+        at = inner
+    return next((x for x in at.path() if x.tag == "article"), at)
+
+
 def main_text(html: str) -> str:
     """The article's blocks, joined by newlines; empty if the page has none."""
     parser = LineParser()
     parser.feed(html)
     parser.close()
-    lines = parser.lines
+    # a marked element around an article or a title is no matter beside it, nor is a form around a whole page
+    marks = [{at.tag == "form" for at in x[2].path() if at.marked and not at.around} for x in parser.lines]
+    lines = [x for x, m in zip(parser.lines, marks) if not m] or [x for x, m in zip(parser.lines, marks) if False not in m]
     if not lines:
         return ""
-    landmarked = [x for x in lines if x[2].landmark]
-    lines = landmarked or lines  # a page that says where its article is needn't be guessed at
-    high = content_lines(np.array([len(text) / max(1, tags) for text, tags, _ in lines]))
-    heavy = [(len(text), where) for (text, _, where), h in zip(lines, high) if h]
-    holder = heavy[0][1]
-    for _, where in heavy[1:]:
-        a, b = holder, where
-        while a is not b:
-            if a.depth >= b.depth:
-                a = a.up
-            else:
-                b = b.up
-        holder = a
-    while holder.up is not None and holder.tag not in ("article", "main", "section", "div", "body", "td", "html"):
-        holder = holder.up
-    around = holder
-    while around is not None and around.tag not in LANDMARKS:
-        around = around.up
-    holder = around or holder
-
-    def inside(where: _Element) -> bool:
-        while where.depth > holder.depth:
-            where = where.up
-        return where is holder
-
-    return "\n".join(text for text, _, where in lines if inside(where))
+    article = article_element(lines)
+    out = []
+    for text, _, where, _ in lines:
+        path = []
+        for at in where.path():
+            if at is article:
+                break
+            path.append(at)
+        else:
+            continue
+        # a part of several lines, none of them content and nearly all of them links, is a menu
+        if any(at.tag in ("ul", "ol", "div", "section", "table") and not at.n_lines and at.size > len(text) and 10 * at.link_size >= 9 * at.size for at in path):
+            continue
+        out.append(text)
+    return "\n".join(out)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
