@@ -12,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, mapped, mix64
+from .common import labelled_sample, mapped, mix64, split_words
 
 WORD_SLOTS, GRAM_SLOTS, GRAMS = 1 << 16, 1 << 18, (3, 4, 5)
 WORD_DIMS, GRAM_DIMS, HIDDEN = 4, 4, 8
-WINDOW, STRIDE = 48, 36
+#: Every passage of up to WINDOW - STRIDE words lies whole in some window.
+WINDOW, STRIDE = 48, 24
 #: Words and n-grams of fewer training texts than this get no vector of their own.
 LEAST_TEXTS = 4
 _EDGE = b" .,;:!?\"'()[]{}|*$%&#<>=+-_/~"
@@ -58,13 +59,14 @@ def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (mix64(word) % np.uint64(WORD_SLOTS)).astype(np.int32), slots[order].astype(np.int32), np.cumsum(n_of) - n_of
 
 
-def windows_of(n: int) -> list[tuple[int, int]]:
-    """Starts and ends of overlapping windows that cover n words; one empty window for none."""
-    out = [(0, min(n, WINDOW))]
-    while out[-1][1] < n:
-        a = out[-1][0] + STRIDE
-        out.append((a, min(n, a + WINDOW)))
-    return out
+def windows_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and texts of overlapping windows that cover texts of `sizes` words, given one after the other;
+    one empty window for a text without words."""
+    n = 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
+    owner = np.repeat(np.arange(len(sizes)), n)
+    within = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
+    begin = (np.cumsum(sizes) - sizes)[owner]
+    return begin + within, begin + np.minimum(within + WINDOW, sizes[owner]), owner
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -155,14 +157,11 @@ class BiGRU:
         return g, d_x[:-1]
 
 
-def _windows(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _windows(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All windows of texts given as word indices: indices padded with -1, and the text of each."""
-    rows, owner = [], []
-    for k, words in enumerate(texts):
-        for a, b in windows_of(len(words)):
-            rows.append(words[a:b] + [-1] * (WINDOW - b + a))
-            owner.append(k)
-    return np.array(rows, dtype=np.int64).reshape(-1, WINDOW), np.array(owner, dtype=np.int64)
+    start, end, owner = windows_of(sizes)
+    place = start[:, None] + np.arange(WINDOW)
+    return np.where(place < end[:, None], np.append(words, -1)[np.minimum(place, len(words))], -1), owner
 
 
 def calibrated(net: BiGRU, texts: list[str], labels: np.ndarray, at: float = 0.7) -> BiGRU:
@@ -205,7 +204,7 @@ def fit_network(texts: list[str], labels: np.ndarray, rounds: int = 9, batch: in
     for way in "fb":
         net.p[f"w{way}"][0] += 0.5
         net.p[f"w{way}"][WORD_DIMS] += 0.5
-    at, owner = _windows(coded)
+    at, owner = _windows(np.array([w for words in coded for w in words], dtype=np.int64), np.array([len(words) for words in coded], dtype=np.int64))
     first = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
     evidence = np.r_[net.inputs(found)[:, [0, WORD_DIMS]].sum(axis=1), -9]
     worst = np.where(at >= 0, evidence[at], -9).max(axis=1)
@@ -276,18 +275,24 @@ class Scorer:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """The worst window's probability, per text; a text without words has one window without words."""
-        words = [words_of(t) for t in texts]
         if len(self.index) > self.most_words:
             self._empty()
-        get = self.index.get
-        coded = [list(map(get, ws)) for ws in words]
-        fresh = list(dict.fromkeys(w for own, ws in zip(coded, words) if None in own for k, w in zip(own, ws) if k is None))
+        raw = [t.lower().encode("utf-8", "replace") for t in texts]
+        data = np.frombuffer(b"\n".join(raw), dtype=np.uint8)
+        starts, ends = split_words(data)
+        sizes = np.diff(np.searchsorted(starts, np.cumsum([len(t) + 1 for t in raw])), prepend=0)
+        letters = np.zeros(len(data) + 1, dtype=np.int8)
+        letters[starts], letters[ends] = 1, -1
+        packed = data[np.cumsum(letters[:-1], dtype=np.int8) > 0].tobytes()
+        offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+        told = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+        kinds = told.dictionary.to_pylist()
+        fresh = [w for w in kinds if w not in self.index]
         if fresh or not self.index:
             self._learn(fresh)
-            get = self.index.__getitem__
-            coded = [[get(w) if k is None else k for k, w in zip(own, ws)] if None in own else own for own, ws in zip(coded, words)]
+        coded = np.array([self.index[w] for w in kinds], dtype=np.int64)[told.indices.to_numpy()]
         out = np.full(len(texts), -np.inf)
-        at, owner = _windows(coded)
+        at, owner = _windows(coded, sizes)
         for a in range(0, len(at), 2048):
             np.maximum.at(out, owner[a : a + 2048], self.net.forward(at[a : a + 2048], self.table))
         return sigmoid(out)
@@ -304,8 +309,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", train
 def toxicity_scores(docs: DataFrame, model: BiGRU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id_col and score (0 to 1, higher: toxic likelier) of the whole text.
 
-    Windows of WINDOW words, one begun every STRIDE words, cover the whole text and are scored. Null and
-    empty texts have the score of a window without words; repeated and null ids stay, one row each. The model's size is fixed. One pass, no shuffle.
+    Windows of WINDOW words, one begun every STRIDE words, cover the whole text and are scored; a passage of more than
+    WINDOW - STRIDE words may be cut by all of them, but half a window of it is always whole. Null and empty texts have the score of a window without words; repeated and null ids stay, one row each. The model's size is fixed. One pass, no shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     state: dict = {}
