@@ -14,6 +14,7 @@ from .decontaminate import benchmark_hits
 from .html import extract_main_text
 from .media import media_columns
 from .neardup import near_duplicates
+from .oracles import ORACLES
 from .ppm import score_texts
 from .pii import pseudonymise
 from .quality import fit_quality, quality_scores
@@ -115,4 +116,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
