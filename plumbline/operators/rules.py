@@ -162,7 +162,7 @@ def markdown_findings(files: DataFrame) -> DataFrame:
     own = defs.where(F.startswith("target", F.lit("#"))).withColumn("fragment", F.expr("substring(target, 2)"))
     other = defs.where(~F.startswith("target", F.lit("#")) & ~F.col("target").rlike("^https?://"))
     cut = other.withColumn("fragment", F.when(F.instr("target", "#") > 0, F.regexp_replace("target", r"\A[^#]*#", "")).otherwise(F.lit(""))).withColumn("file", F.split_part("target", F.lit("#"), F.lit(1)))
-    cut = cut.where("fragment <> ''").withColumn("written", F.col("target")).withColumn("target", normalised(F.concat_ws("/", F.when(directory(F.col("path")) != ".", directory(F.col("path"))), "file")))
+    cut = cut.where("file <> ''").withColumn("written", F.col("target")).withColumn("target", normalised(F.concat_ws("/", F.when(directory(F.col("path")) != ".", directory(F.col("path"))), "file")))
     crossed = links.cross_file_links(cut.select("path", "line", "label", "written", "target", "fragment"), files.where("source is not null"), anchors)
     parts = [
         told(links.dangling_uses(uses, defs), F.lit("undefined reference: "), "text"),

@@ -20,7 +20,7 @@ def parse(source: str) -> dict[str, list[tuple]]:
     rows = source.split("\n")
     out: dict[str, list[tuple]] = {"definitions": [], "uses": [], "headings": []}
     text: list[tuple[int, str]] = []
-    fence, paragraph = None, False
+    fence, paragraph, known = None, False, set()
     for number, line in enumerate(rows, 1):
         line = line.rstrip("\r")
         m = _FENCE.fullmatch(line)
@@ -38,7 +38,9 @@ def parse(source: str) -> dict[str, list[tuple]]:
             continue
         d = _DEFINITION.fullmatch(line)
         if d and not paragraph and not d[1].startswith("^"):
-            out["definitions"].append((number, key(d[1]), d[2] if d[2] is not None else d[3]))
+            if key(d[1]) not in known:  # the first of several definitions holds
+                known.add(key(d[1]))
+                out["definitions"].append((number, key(d[1]), d[2] if d[2] is not None else d[3]))
             text.append((number, ""))
             continue
         h = _ATX.fullmatch(line)
@@ -52,7 +54,6 @@ def parse(source: str) -> dict[str, list[tuple]]:
             paragraph = bool(line.strip())
         text.append((number, line))
     out["headings"].sort()
-    known = {label for _, label, _ in out["definitions"]}
     for block in _blocks(text):
         joined = "\n".join(x for _, x in block)
         joined = _CODE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), joined)

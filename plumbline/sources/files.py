@@ -8,6 +8,7 @@ import subprocess
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +30,19 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
 
 def transcripts(spark: SparkSession, root: str) -> DataFrame:
     """(transcript, line_no, raw): lines of *.jsonl in a folder and one level below; blank lines are left out."""
-    found = [str(p) for pattern in ("*.jsonl", "*/*.jsonl") for p in sorted(Path(root).glob(pattern))]
-    if not found:
+    text = None
+    for pattern in ("*.jsonl", "*/*.jsonl"):  # Spark lists the folder, wherever it is
+        try:
+            one = spark.read.text(f"{root.rstrip('/')}/{pattern}", wholetext=True)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        one = one.select(F.input_file_name().alias("transcript"), "value")
+        text = one if text is None else text.unionByName(one)
+    if text is None:
         return spark.createDataFrame([], "transcript string, line_no long, raw string")
-    text = spark.read.text(found, wholetext=True).select(F.input_file_name().alias("transcript"), F.posexplode(F.split("value", "\n")).alias("line_no", "raw"))
+    text = text.select("transcript", F.posexplode(F.split("value", "\n")).alias("line_no", "raw"))
     return text.select("transcript", F.col("line_no").cast("long").alias("line_no"), "raw").where(F.trim("raw") != "")
 
 
@@ -77,7 +87,7 @@ def config_errors(config: dict, checkers: set[str], architecture: set[str]) -> l
 
 
 def head_files(spark: SparkSession, repo: str) -> DataFrame:
-    """(path, source) of all files at HEAD; empty without a HEAD."""
+    """(path, source) of all files at HEAD, read by one process per batch of paths; empty without a HEAD."""
     listed = subprocess.run(["git", "-C", repo, "ls-tree", "-r", "-z", "--name-only", "HEAD"], capture_output=True)
     paths = [p for p in listed.stdout.decode().split("\0") if p] if listed.returncode == 0 else []
     if not paths:
@@ -86,8 +96,18 @@ def head_files(spark: SparkSession, repo: str) -> DataFrame:
     def work(batches):
         for batch in batches:
             names = batch.column(0).to_pylist()
-            shown = [subprocess.run(["git", "-C", repo, "show", f"HEAD:{n}"], capture_output=True).stdout for n in names]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.decode("utf-8", "replace") for s in shown], pa.string())], names=["path", "source"])
+            asked = "".join(f"HEAD:{n}\n" for n in names if "\n" not in n).encode()
+            told, at, shown = subprocess.run(["git", "-C", repo, "cat-file", "--batch"], input=asked, capture_output=True).stdout, 0, []
+            for n in names:  # of each a line that ends with its size, its bytes, a line end
+                if "\n" in n:
+                    shown.append(subprocess.run(["git", "-C", repo, "show", f"HEAD:{n}"], capture_output=True).stdout)
+                    continue
+                end = told.index(b"\n", at)
+                head = told[at:end].split()
+                size = int(head[-1]) if head[-1].isdigit() else None
+                shown.append(told[end + 1 : end + 1 + size] if size is not None and head[-2] == b"blob" else None)
+                at = end + 1 + (0 if size is None else size + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if s is None else s.decode("utf-8", "replace") for s in shown], pa.string())], names=["path", "source"])
 
     return spark.createDataFrame([(p,) for p in paths], "path string").mapInArrow(work, "path string, source string")
 

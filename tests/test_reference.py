@@ -271,10 +271,14 @@ def test_syntax_findings(spark):
     "source,expected",
     [
         ("see [x][a]\n", ["undefined reference: a"]), ("see [x][a]\n\n[a]: http://e.org\n", []), ("[a]: http://e.org\n", ["unused definition: a"]), ("note[^1]\n", []),
-        ("![i][nope]\n", []), ("`[x][a]`\n", []), ("```\n[x][a]\n```\n", []), ("[short]\n", ["undefined reference: short"]), ("[A b][]\n\n[a  B]: u\n", []),
+        ("![i][nope]\n", []), ("`[x][a]`\n", []), ("```\n[x][a]\n```\n", []), ("[short]\n", ["undefined reference: short"]), ("[A b][]\n\n[a  B]: https://e.org\n", []), ("[A b][]\n\n[a  B]: u\n", ["definition a b: missing file: u"]),
         ("# One\n\n[x](#one)\n", []), ("# One\n\n[x](#two)\n", ["no such heading: #two"]), ("# A\n# A\n\n[x](#a-1)\n", []), ("# A &amp; B\n\n[x](#a--b)\n", []),
         ("[x]\n\n[x]: #gone\n", ["definition x leads to no heading: #gone"]), ("[x]\n\n[x]: other.md#here\n", []), ("[x]\n\n[x]: other.md#gone\n", ["definition x: dead anchor: other.md#gone"]),
         ("[x]\n\n[x]: no.md#here\n", ["definition x: missing file: no.md#here"]), ("[x]\n\n[x]: https://e.org/#a\n", []), ("Title\n=====\n\n[x](#title)\n", []),
+        ("![i][p]\n\n[p]: https://e.org/i.png\n", []), ("about [s] here\n\n[s]: https://e.org\n", []), ("use [c][].\n\n[c]: https://e.org/b\n", []), ("[s]: https://e.org\n\nsee [it][ S ]\n", []),
+        ("write `[l][r]` and `[r]: t` so\n", []), ("## By `call()`\n\n[l](#by-call)\n", []), ("## The *Big* [Plan](https://e.org)\n\n[l](#the-big-plan)\n", []), ("<details>\n<summary>M</summary>\n\n## In There\n\n</details>\n\n[l](#in-there)\n", []),
+        ("", []), ("an [open bracket and no end\n", []), ("# H One\n\nSee [s][r] and [H](#h-one).\n\n[r]: https://e.org\n", []), ("note[^1]\n\n[^1]: a footnote\n", []), ("[x]\n\n[x]: other.md\n", []),
+        ("[x]\n\n[x]: https://e.org\n[x]: #gone\n", []), ("[x]\n\n[x]: #\n", []),
     ],
 )
 def test_markdown(spark, source, expected):
