@@ -69,7 +69,7 @@ _NEVER = 1 << 40
 class SpeculativeBPE:
     """Encodes and decodes. The tokens of a word are remembered; beyond most_words all words are forgotten at once."""
 
-    def __init__(self, vocabulary: dict, most_words: int = 1 << 18):
+    def __init__(self, vocabulary: dict, most_words: int = 1 << 17):
         self.ids, self.merges, self.special = vocabulary["ids"], vocabulary["merges"], vocabulary["special"]
         self.classes, self.most_words = vocabulary["classes"], most_words
         self.bytes_of = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
@@ -340,4 +340,4 @@ def bpe_round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
 
     picked = docs.select(F.col(id_col), F.col(text_col))
     kind = picked.schema[id_col].dataType.simpleString()
-    return mapped(picked, work, f"`{id_col}` {kind}, ids array<int>, decoded string", 4 << 20)
+    return mapped(picked, work, f"`{id_col}` {kind}, ids array<int>, decoded string", 2 << 20)
