@@ -74,16 +74,18 @@ def extension(path: str = "path"):
 
 
 def _facts(files: DataFrame, read, schema: str) -> DataFrame:
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    """What read finds in each source, with the file's path, and its repository where files tell it."""
+    of = [c for c in ("repo", "path") if c in files.columns]
     kinds = {"string": pa.string(), "int": pa.int32()}
-    types = [kinds[x.strip().split(" ")[1]] for x in schema.split(",")]
+    names, types = zip(*[(n, kinds[t]) for n, t in (x.split() for x in [*(f"{c} string" for c in of), *schema.split(", ")])])
 
     def work(batches):
         for batch in batches:
-            rows = [(path, *fact) for path, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if source is not None for fact in read(path or "", source)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+            told = [c.to_pylist() for c in batch.columns]
+            rows = [(*of_row, *fact) for *of_row, source in zip(*told) if source is not None for fact in read(of_row[-1] or "", source)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=list(names))
 
-    return files.select("path", "source").mapInArrow(work, schema)
+    return files.select(*of, "source").mapInArrow(work, ", ".join([*(f"{c} string" for c in of), schema]))
 
 
 def syntax_facts(files: DataFrame) -> DataFrame:
@@ -93,7 +95,7 @@ def syntax_facts(files: DataFrame) -> DataFrame:
         language = LANGUAGES.get(path.rsplit(".", 1)[-1])
         return [(f.row, f.body_lines, f.depth, f.parameters) for f in scan.functions(language, source)] if language else []
 
-    return _facts(files.where(extension().isin(*LANGUAGES)), read, "path string, line int, body_lines int, depth int, parameters int")
+    return _facts(files.where(extension().isin(*LANGUAGES)), read, "line int, body_lines int, depth int, parameters int")
 
 
 def syntax_findings(files: DataFrame) -> DataFrame:
@@ -118,7 +120,7 @@ def go_facts(files: DataFrame) -> DataFrame:
         out += [("open", r, target, 0) for r, alias, target in found if alias == "_" and r not in near]
         return out + [("bare", r, "", 0) for r in go.bare_errors(source)]
 
-    return _facts(files.where(extension() == "go"), read, "path string, kind string, line int, text string, n int")
+    return _facts(files.where(extension() == "go"), read, "kind string, line int, text string, n int")
 
 
 def go_findings(files: DataFrame) -> DataFrame:
@@ -147,7 +149,7 @@ def markdown_facts(files: DataFrame) -> DataFrame:
         out += [("use" if target is None else "inline", r, label or "", written, target or "", int(image)) for r, label, written, image, target in found["uses"]]
         return out + [("heading", r, "", text, "", 0) for r, text in found["headings"]]
 
-    return _facts(files.where(extension() == "md"), read, "path string, kind string, line int, label string, text string, target string, image int")
+    return _facts(files.where(extension() == "md"), read, "kind string, line int, label string, text string, target string, image int")
 
 
 def markdown_findings(files: DataFrame) -> DataFrame:
@@ -189,15 +191,19 @@ def normalised(path):
 
 def import_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes (node), edges (src, dst, file, line)) of Go packages and JS/TS directories. Without go.mod there is no
-    Go part; imports from outside the files are left out."""
-    mods = files.where("path = 'go.mod' or path like '%/go.mod'").select(F.regexp_replace("path", r"/?go\.mod\z", "").alias("root"), F.regexp_extract("source", r"(?m)^\s*module\s+(\S+)", 1).alias("module")).where("module <> ''")
-    first = mods.agg(F.min_by("module", F.struct(F.length("root"), F.col("root"))).alias("module"), F.min(F.struct(F.length("root"), F.col("root")))["root"].alias("root"))
-    sources = files.where(extension() == "go").crossJoin(F.broadcast(first)).where("module is not null")  # one row: the outermost module
-    below = F.when(F.col("root") == "", directory(F.col("path"))).otherwise(F.expr("substring(" + "regexp_replace(path, '/[^/]*$', ''), length(root) + 2)"))
-    packages = sources.select("path", F.concat_ws("/", "module", F.when(~below.isin(".", ""), below)).alias("node"))
-    found = go_facts(files).where("kind = 'import'").join(packages, "path")
-    nodes = packages.select("node").distinct()
-    go_edges = found.join(nodes.withColumnRenamed("node", "dst"), F.col("text") == F.col("dst")).where("node <> dst").select(F.col("node").alias("src"), "dst", F.col("path").alias("file"), "line")
+    Go part; imports from outside the files are left out. Where files have a column repo, so have nodes and edges, and
+    each repository has its own graph; of its modules the outermost counts."""
+    of = ["repo"] if "repo" in files.columns else []
+    files = files if of else files.withColumn("repo", F.lit(""))
+    mods = files.where("path = 'go.mod' or path like '%/go.mod'").select("repo", F.regexp_replace("path", r"/?go\.mod\z", "").alias("root"), F.regexp_extract("source", r"(?m)^\s*module\s+(\S+)", 1).alias("module")).where("module <> ''")
+    outer = F.struct(F.length("root"), F.col("root"))
+    first = mods.groupBy("repo").agg(F.min_by("module", outer).alias("module"), F.min(outer)["root"].alias("root"))
+    sources = files.where(extension() == "go").select("repo", "path").join(first, "repo")
+    inner = F.when(F.col("root") == "", directory(F.col("path"))).otherwise(F.expr("substring(regexp_replace(path, '/[^/]*$', ''), length(root) + 2)"))
+    packages = sources.select("repo", "path", F.concat_ws("/", "module", F.when(~inner.isin(".", ""), inner)).alias("node"))
+    found = go_facts(files).where("kind = 'import'").join(packages, ["repo", "path"])
+    nodes = packages.select("repo", "node").distinct()
+    go_edges = found.join(nodes.withColumnsRenamed({"node": "text"}), ["repo", "text"]).where("node <> text").select("repo", F.col("node").alias("src"), F.col("text").alias("dst"), F.col("path").alias("file"), "line")
 
     js = files.where(extension().isin(*JS_EXTENSIONS))
 
@@ -208,13 +214,18 @@ def import_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                 target = posixpath.normpath(posixpath.join(posixpath.dirname(path), t.text[1:-1]))
                 stem = posixpath.splitext(target)[0] if "." in posixpath.basename(target) else target
                 tries = [target, *[f"{stem}.{e}" for e in JS_EXTENSIONS], *[f"{target}/index.{e}" for e in JS_EXTENSIONS]]
-                out += [(t.row, k, n, x) for n, x in enumerate(tries)]
+                begin = k  # an import is where its statement begins
+                while begin and ts[begin].text not in ("import", "export") and ts[begin - 1].text != ";":
+                    begin -= 1
+                out += [(ts[begin].row, k, n, x) for n, x in enumerate(tries)]
         return out
 
-    tries = _facts(js, read, "path string, line int, position int, rank int, target string")
-    hits = tries.join(js.select(F.col("path").alias("target")).distinct(), "target").groupBy("path", "line", "position").agg(F.min_by("target", "rank").alias("target"))
-    js_edges = hits.select(directory(F.col("path")).alias("src"), directory(F.col("target")).alias("dst"), F.col("path").alias("file"), "line").where("src <> dst")
-    return nodes.unionByName(js.select(directory(F.col("path")).alias("node")).distinct()).distinct(), go_edges.unionByName(js_edges)
+    tries = _facts(js, read, "line int, position int, rank int, target string")
+    there = js.select("repo", F.col("path").alias("target")).distinct()
+    hits = tries.join(there, ["repo", "target"]).groupBy("repo", "path", "line", "position").agg(F.min_by("target", "rank").alias("target"))
+    js_edges = hits.select("repo", directory(F.col("path")).alias("src"), directory(F.col("target")).alias("dst"), F.col("path").alias("file"), "line").where("src <> dst")
+    all_nodes = nodes.unionByName(js.select("repo", directory(F.col("path")).alias("node")).distinct()).distinct()
+    return all_nodes.select(*of, "node"), go_edges.unionByName(js_edges).select(*of, "src", "dst", "file", "line")
 
 
 def all_findings(files: DataFrame) -> DataFrame:

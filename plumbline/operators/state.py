@@ -44,8 +44,7 @@ def claims(events: DataFrame, key: str, ts: str, order: str, seconds: int = CLAI
                     now, since, begun, out[k] = x, t, True, True
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=[key, order, "claimed"])
 
-    n = max(1, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return picked.select(*columns).repartition(n, key).sortWithinPartitions(key, "_us", order).mapInArrow(fold, f"{kinds}, claimed boolean")
+    return picked.select(*columns).repartition(key).sortWithinPartitions(key, "_us", order).mapInArrow(fold, f"{kinds}, claimed boolean")
 
 
 def cache_lookup(asked: DataFrame, cached: DataFrame, key: str, stamps: list[str]) -> DataFrame:

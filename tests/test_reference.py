@@ -299,6 +299,15 @@ def test_import_graph(spark):
     assert graph.strong_components(found).count() == 4
 
 
+def test_import_graphs_of_repositories(spark):
+    rows = [("one", "go.mod", "module m\n"), ("one", "a/x.go", 'package a\nimport "m/b"\n'), ("one", "b/x.go", "package b\n"), ("two", "go.mod", "module m\n"), ("two", "a/x.go", 'package a\nimport "m/c"\n'), ("two", "b/x.go", 'package b\nimport "m/a"\n'), ("two", "w/x.ts", 'import {\n  a,\n} from "../v/y"\n'), ("one", "v/y.ts", "")]
+    nodes, found = rules.import_graph(spark.createDataFrame(rows, "repo string, path string, source string"))
+    assert sorted(map(tuple, nodes.collect())) == [("one", "m/a"), ("one", "m/b"), ("one", "v"), ("two", "m/a"), ("two", "m/b"), ("two", "w")]
+    assert sorted(map(tuple, found.collect())) == [("one", "m/a", "m/b", "a/x.go", 2), ("two", "m/b", "m/a", "b/x.go", 2)]
+    alone = spark.createDataFrame([("w/x.ts", 'import fs from "fs";\nimport {\n  a,\n} from "../v/y"\n'), ("v/y.ts", "")], "path string, source string")
+    assert [tuple(r) for r in rules.import_graph(alone)[1].collect()] == [("w", "v", "w/x.ts", 2)]
+
+
 def test_imports_on_one_line(spark):
     df = files(spark, w__x_dot_ts='import a from "../u/a"; import b from "../v/b"; import c from "../v/b.ts"\n', u__a_dot_ts="", v__b_dot_ts="")
     assert sorted((r.dst, r.line) for r in rules.import_graph(df)[1].collect()) == [("u", 1), ("v", 1), ("v", 1)]
