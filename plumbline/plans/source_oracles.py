@@ -26,6 +26,22 @@ _IMPORTS = f"""
 i AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM strong)
 """
 
+#: What the architecture checkers find in the packages, as a table `found`.
+_ARCHITECTURE = f"""
+WITH RECURSIVE {_REACH}, i AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM strong),
+nodes AS (SELECT n_nationkey AS k, 'example.org/m/n' || n_nationkey AS name FROM nation),
+pair AS (SELECT a.src AS x, a.dst AS y FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src),
+comp AS (SELECT x AS k, min(p.name) AS component FROM pair JOIN nodes p ON p.k = pair.y GROUP BY x),
+members AS (SELECT component, string_agg(name, ' -> ' ORDER BY name) || ' -> ' || component AS told FROM comp JOIN nodes USING (k) GROUP BY component),
+first AS (SELECT c.component, min('n' || i.src || '/x.go') AS file, min(4 + i.rn) AS line FROM comp c JOIN nodes n ON n.name = c.component JOIN i ON i.src = n.k JOIN comp d ON d.k = i.dst AND d.component = c.component GROUP BY c.component),
+rank AS (SELECT k, name, CASE k WHEN 1 THEN 0 WHEN 7 THEN 1 WHEN 3 THEN 2 END AS r FROM nodes),
+fan AS (SELECT name, (SELECT count(*) FROM strong WHERE src = k) AS o, (SELECT count(*) FROM strong WHERE dst = k) AS i FROM nodes),
+found AS (SELECT 'import-cycles' AS checker, file, CAST(line AS BIGINT) AS line, 'import cycle: ' || told AS message FROM members JOIN first USING (component)
+UNION ALL SELECT 'layering', 'n' || i.src || '/x.go', 4 + rn, 'layering: ' || a.name || ' (n' || a.k || ') imports ' || b.name || ' (n' || b.k || '), a layer above its own' FROM i JOIN rank a ON a.k = i.src JOIN rank b ON b.k = i.dst WHERE b.r < a.r
+UNION ALL SELECT 'coupling', '', 0, '[coupling] ' || name || ' imports ' || o || ' packages, limit 10' FROM fan WHERE o > 10
+UNION ALL SELECT 'coupling', '', 0, '[coupling] ' || name || ' is imported ' || i || ' times, limit 10' FROM fan WHERE i > 10)
+"""
+
 ORACLES: dict[str, str] = {
     "syntax_facts": f"WITH {_FACTS} SELECT path, CAST(line AS BIGINT) AS line, CAST(body_lines AS BIGINT) AS body_lines, CAST(depth AS BIGINT) AS depth, CAST(parameters AS BIGINT) AS parameters FROM f",
     "syntax_rule_findings": f"""WITH {_FACTS}
@@ -43,19 +59,33 @@ UNION ALL SELECT path, 6, 'definition other: missing file: ' || (k + 1) || '.md#
 UNION ALL SELECT path, 6, 'definition other: dead anchor: ' || (k + 1) || '.md#nowhere' FROM c WHERE k % 5 = 0 AND k < top""",
     "go_import_edges": f"WITH {_IMPORTS} SELECT 'example.org/m/n' || src AS src, 'example.org/m/n' || dst AS dst, 'n' || src || '/x.go' AS file, CAST(4 + rn AS BIGINT) AS line FROM i",
     "script_import_edges": f"WITH {_IMPORTS} SELECT 'n' || src AS src, 'n' || dst AS dst, 'n' || src || '/index.ts' AS file, CAST(1 + rn AS BIGINT) AS line FROM i",
-    "architecture_findings": f"""
-WITH RECURSIVE {_REACH}, i AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM strong),
-nodes AS (SELECT n_nationkey AS k, 'example.org/m/n' || n_nationkey AS name FROM nation),
-pair AS (SELECT a.src AS x, a.dst AS y FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src),
-comp AS (SELECT x AS k, min(p.name) AS component FROM pair JOIN nodes p ON p.k = pair.y GROUP BY x),
-members AS (SELECT component, string_agg(name, ' -> ' ORDER BY name) || ' -> ' || component AS told FROM comp JOIN nodes USING (k) GROUP BY component),
-first AS (SELECT c.component, min('n' || i.src || '/x.go') AS file, min(4 + i.rn) AS line FROM comp c JOIN nodes n ON n.name = c.component JOIN i ON i.src = n.k JOIN comp d ON d.k = i.dst AND d.component = c.component GROUP BY c.component),
-rank AS (SELECT k, name, CASE k WHEN 1 THEN 0 WHEN 7 THEN 1 WHEN 3 THEN 2 END AS r FROM nodes),
-fan AS (SELECT name, (SELECT count(*) FROM strong WHERE src = k) AS o, (SELECT count(*) FROM strong WHERE dst = k) AS i FROM nodes)
-SELECT 'import-cycles' AS checker, file, CAST(line AS BIGINT) AS line, 'import cycle: ' || told AS message FROM members JOIN first USING (component)
-UNION ALL SELECT 'layering', 'n' || i.src || '/x.go', 4 + rn, 'layering: ' || a.name || ' (n' || a.k || ') imports ' || b.name || ' (n' || b.k || '), a layer above its own' FROM i JOIN rank a ON a.k = i.src JOIN rank b ON b.k = i.dst WHERE b.r < a.r
-UNION ALL SELECT 'coupling', '', 0, '[coupling] ' || name || ' imports ' || o || ' packages, limit 10' FROM fan WHERE o > 10
-UNION ALL SELECT 'coupling', '', 0, '[coupling] ' || name || ' is imported ' || i || ' times, limit 10' FROM fan WHERE i > 10""",
+    "architecture_findings": _ARCHITECTURE + "SELECT checker, file, CAST(line AS BIGINT) AS line, message FROM found",
+    "assessment_report": _ARCHITECTURE + """,
+shown AS (SELECT checker, '[advisory] ' || CASE WHEN file = '' THEN '' ELSE file || ':' || line || ': ' END || message AS text FROM found),
+ids AS (SELECT name, regexp_replace(name, '[^A-Za-z0-9]', '_', 'g') AS id FROM nodes),
+cyclic AS (SELECT name FROM comp JOIN nodes USING (k)),
+arrows AS (SELECT a.name AS src, b.name AS dst, row_number() OVER (ORDER BY a.name, b.name) - 1 AS ord FROM strong JOIN nodes a ON a.k = strong.src JOIN nodes b ON b.k = strong.dst),
+told AS (
+SELECT 0 AS part, 'architecture assessment: ' || (SELECT count(*) FROM found) || ' finding(s) across ' || ((SELECT count(*) FROM nodes) + 1) || ' file(s)' AS text
+UNION ALL SELECT 1, text FROM shown
+UNION ALL SELECT 2, '- import-cycles: move what both sides need into a package of its own, or let one side depend on an interface.' FROM found WHERE checker = 'import-cycles' HAVING count(*) > 0
+UNION ALL SELECT 2, '- layering: put the import behind an interface that the upper layer owns, or move the code that needs it down.' FROM found WHERE checker = 'layering' HAVING count(*) > 0
+UNION ALL SELECT 3, 'graph TD'
+UNION ALL SELECT 4, '    ' || id || '["' || name || '"]' FROM ids
+UNION ALL SELECT 5, '    ' || a.id || ' --> ' || b.id FROM arrows JOIN ids a ON a.name = src JOIN ids b ON b.name = dst
+UNION ALL SELECT 6, '    classDef cycle fill:#fee2e2,stroke:#dc2626,stroke-width:2px;' FROM cyclic HAVING count(*) > 0
+UNION ALL SELECT 7, '    class ' || string_agg(id, ',' ORDER BY name) || ' cycle;' FROM ids WHERE name IN (SELECT name FROM cyclic) HAVING count(*) > 0
+UNION ALL SELECT 8, '    linkStyle ' || ord || ' stroke:#dc2626,stroke-width:2px;' FROM arrows WHERE src IN (SELECT name FROM cyclic) AND dst IN (SELECT name FROM cyclic))
+SELECT CAST(part AS BIGINT) AS part, text, count(*) AS n FROM told GROUP BY ALL""",
+    "repository_import_edges": f"""
+WITH {_EDGES}, here AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM strong)
+SELECT 'r' || a.n_regionkey AS repo, 'example.org/m/n' || src AS src, 'example.org/m/n' || dst AS dst, 'n' || src || '/x.go' AS file, CAST(4 + rn AS BIGINT) AS line
+FROM here JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst WHERE a.n_regionkey = b.n_regionkey""",
+    "hook_results": f"""
+WITH found AS ({_go('c_custkey', 'customer')}),
+asked AS (SELECT c_custkey AS k, unnest([{{'name': 'errors', 'checker': 'go-ignored-error'}}, {{'name': 'context', 'checker': 'go-error-context'}}]) AS c FROM customer),
+j AS (SELECT a.k, a.c, f.k IS NOT NULL AND (CASE WHEN a.k % 2 = 0 THEN f.line = 9 WHEN a.k % 3 = 0 THEN f.line = 8 ELSE true END) AS failed, 'go/' || a.k || '.go:' || f.line || ': ' || f.message AS output FROM asked a LEFT JOIN found f ON f.k = a.k AND f.checker = a.c.checker)
+SELECT 't' || k AS tool_use_id, c.name AS check_name, 'blocking' AS severity, NOT failed AS passed, md5(CASE WHEN failed THEN output ELSE '' END) AS output_md5 FROM j""",
     "replay_snapshots": f"""
 WITH RECURSIVE c AS (SELECT conv_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS k FROM conversations),
 l AS (SELECT *, {_LINES} AS ls FROM c),

@@ -138,6 +138,34 @@ def architecture_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("checker", F.coalesce("file", F.lit("")).alias("file"), F.coalesce(F.col("line").cast("long"), F.lit(0)).alias("line"), "message")
 
 
+def repository_import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same packages, dealt into a repository per region: imports from outside a repository are left out."""
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit("/x.go")).alias("path"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("repo"))
+    files = _edge_files(spark, sf_dir, False)
+    mods = n.select("repo").distinct().select("repo", F.lit("go.mod").alias("path"), F.lit("module example.org/m\n").alias("source"))
+    every = files.join(n, "path").select("repo", "path", "source").unionByName(mods)
+    return rules.import_graph(every)[1].select("repo", "src", "dst", "file", F.col("line").cast("long").alias("line"))
+
+
+def assessment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The architecture of the Go packages as a report."""
+    config = {"checks": [{"name": n, "architecture_checker": n} for n in rules.ARCHITECTURE_CHECKERS], "architecture": {"layers": ["n1", "n7", "n3"]}}
+    out = run.assessment(_edge_files(spark, sf_dir, False), config)
+    return out.groupBy(F.col("part").cast("long").alias("part"), "text").agg(F.count("*").alias("n"))
+
+
+def hook_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit events over a Go file per customer: only what the edit has touched counts."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    empty = F.lit(None).cast("string")
+    new = F.when(k % 2 == 0, "v, ").when(k % 3 == 0, "func f(").otherwise("nowhere")
+    given = F.struct(F.concat(F.lit("go/"), k.cast("string"), F.lit(".go")).alias("file_path"), new.alias("new_string"), empty.alias("content"), F.lit(None).cast("array<struct<new_string:string>>").alias("edits"))
+    events = c.select(F.lit("/").alias("cwd"), F.lit("edit").alias("hook_event_name"), F.concat(F.lit("t"), k.cast("string")).alias("tool_use_id"), given.alias("tool_input"))
+    done = run.hook_results(events.unionByName(events), _go_files(c, "c_custkey"), {"checks": RUN["checks"][:2]}, "edit")
+    return done.select("tool_use_id", "check_name", "severity", "passed", F.md5("output").alias("output_md5"))
+
+
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session log per conversation: its first turn is read or written, each later one edits the file."""
     c = table(spark, sf_dir, "conversations")
@@ -240,6 +268,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         syntax_rule_findings, syntax_facts, go_rule_findings, duplicate_code_findings, markdown_link_findings, go_import_edges, script_import_edges,
-        architecture_findings, replay_snapshots, backtest_lines, hook_changed_lines, hook_answers, diagnostic_rows, scoped_results, batch_run, text_keys,
+        architecture_findings, repository_import_edges, assessment_report, hook_results, replay_snapshots, backtest_lines, hook_changed_lines, hook_answers, diagnostic_rows, scoped_results, batch_run, text_keys,
     )
 }
