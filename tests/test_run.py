@@ -191,6 +191,37 @@ def test_streams_answer_and_watch(spark, tmp_path):
     assert [(r.line, r.severity, r.source) for r in seen] == [(3, "ERROR", "errors")]
 
 
+def test_grace_and_claims_as_streams_equal_their_batches(spark, tmp_path):
+    from plumbline.streaming import state as streams
+
+    rng = __import__("random").Random(3)
+    rows = [(f"f{rng.randrange(3)}", f"c{rng.randrange(2)}", k, f"2024-01-01 00:{k // 60:02}:{k % 60:02}", rng.choice(["edit", "edit", "batch"]), rng.choice(["blocking", "blocking", "advisory"]), rng.random() < 0.5) for k in range(200)]
+    schema = "file string, check_name string, event_id long, ts string, trigger string, severity string, passed boolean"
+    df = spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in range(4):  # four files, read as four micro-batches in order
+        df.where(F.expr(f"event_id div 50 = {part}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        time.sleep(1.1)
+    read = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    query = streams.graced_stream(read).writeStream.format("memory").queryName("graced").option("checkpointLocation", str(tmp_path / "g")).trigger(availableNow=True).start()
+    assert query.awaitTermination(180)
+    expected = state.graced(df, ["file", "check_name"], ["ts", "event_id"])
+    assert rows_of(spark.table("graced"), "event_id", "severity") == rows_of(expected, "event_id", "severity")
+    query = streams.claimed_stream(read, "file", "ts").writeStream.format("memory").queryName("claimed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert query.awaitTermination(180)
+    claimed = state.claims(df.select("file", "ts", "event_id"), "file", "ts", "event_id").where("claimed")
+    assert rows_of(spark.table("claimed"), "file", "event_id") == rows_of(claimed, "file", "event_id") and claimed.count() == 3
+
+
+def test_claims_without_a_key(spark):
+    df = spark.createDataFrame([(None, k, f"2024-01-01 00:00:{k:02}") for k in range(6)] + [("a", 9, "2024-01-01 00:00:00")], "key string, id long, ts string")
+    for rows_a_batch in ("10000", "2"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+        try:
+            assert rows_of(state.claims(df, "key", "ts", "id").where("claimed"), "id") == [(0,), (9,)]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_backtest_lines_and_counts(spark):
     snaps = spark.createDataFrame([("t", 1, "a.go", None, BAD, 0), ("t", 2, "a.go", BAD, BAD + "\n", 0), ("t", 3, "n.txt", None, "x", 0), ("t", -1, None, None, None, 2)], replay.SNAPSHOT)
     told = replay.backtest(snaps, lambda f: rules.findings_of(f, ["go-ignored-error"]).withColumnRenamed("checker", "rule"))
