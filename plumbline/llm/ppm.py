@@ -2,13 +2,14 @@
 
 The trie of byte contexts is a table of (context of ORDER bytes, next byte, count); counts of shorter contexts
 are sums over it. A byte's probability is looked for in its longest context; from a context that hasn't seen the
-byte the model escapes to the next shorter one (escape method C: as likely as the number of distinct bytes seen),
-where the bytes that the longer one had seen are excluded.
+byte the model escapes to the next shorter one, where the bytes that the longer one had seen are excluded. By escape
+method D a byte that was seen c of t times has (2c - 1) / 2t, and the escape, with d different bytes seen, d / 2t.
 
 No task holds the model. Documents are cut into chunks of bounded size; each chunk asks for its distinct contexts
 (and words, for the unigram base) in sorted blocks, one per bucket of keys. Counts are summed bucket by bucket,
-probabilities are worked out by shards that share the last two context bytes, and the answers go back bucket by
-bucket, in the order in which the chunks asked.
+probabilities are worked out by shards that share the last three context bytes, with the counts of all shorter runs
+(2 ** 24 at most, whatever the corpus) at hand, and the answers go back bucket by bucket, in the order in which the
+chunks asked.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, give_back, ship, slices, text_bytes, word_hashes
 
-ORDER = 4
+ORDER = 5
 #: Bytes that no UTF-8 text has: before a text, and after it.
 START, END = b"\xfe" * ORDER, b"\xff"
 END_TOKEN = -(1 << 63)
@@ -85,24 +86,27 @@ class Coder:
         if self.dense:
             of = _look((np.cumsum(kinds) - 1).astype(np.int32), pair)
             del pair
-            quad = (of[:-3] * np.int32(n_pairs) + of[2:-1])[begins]  # the four bytes of context of each run
+            quad = (of[: len(begins)] * np.int32(n_pairs) + of[2 : 2 + len(begins)])[begins]  # the first four bytes of each run
             del of
             seen = _seen(n_pairs**2, quad)
-            cells = int(seen.sum()) * 256
-            self.dense = cells <= 4 * self.most
         if not self.dense:
             self.key, self.at = np.unique(self._keys(data)[begins], return_inverse=True)
             return
-        at = Ranks(seen).of(quad)
+        self.at = Ranks(seen).of(quad)
         del quad
-        at *= 256
-        at += data[ORDER:][begins]
-        mark = _seen(cells, at)
-        used = np.flatnonzero(mark)
-        self.at = Ranks(mark).of(at)
-        pairs = np.flatnonzero(kinds)
-        quads = np.flatnonzero(seen)[used >> 8]
-        self.key = pairs[quads // n_pairs].astype(np.int64) << 24 | pairs[quads % n_pairs].astype(np.int64) << 8 | used & 255
+        pairs, quads = np.flatnonzero(kinds), np.flatnonzero(seen)
+        self.key = pairs[quads // n_pairs].astype(np.int64) << 16 | pairs[quads % n_pairs]
+        for k in range(4, ORDER + 1):  # a byte more at a time
+            self.dense = len(self.key) * 256 <= 4 * self.most
+            if not self.dense:
+                self.key, self.at = np.unique(self._keys(data)[begins], return_inverse=True)
+                return
+            self.at *= 256
+            self.at += data[k : len(data) - ORDER + k][begins]
+            mark = _seen(len(self.key) * 256, self.at)
+            used = np.flatnonzero(mark)
+            self.at = Ranks(mark).of(self.at)
+            self.key = self.key[used >> 8] << 8 | used & 255
 
     @staticmethod
     def _keys(data: np.ndarray) -> np.ndarray:
@@ -129,6 +133,23 @@ def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return -(hashes >> np.uint64(1)).astype(np.int64) - 1, sizes
 
 
+def in_planes(values: np.ndarray) -> bytes:
+    """Numbers of 64 bits, all their lowest bytes first: bytes that are alike compress well."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    return in_planes(np.diff(keys, prepend=0))
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(raw, np.int64))
+
+
 def buckets_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(34)).astype(np.int64) % n
 
@@ -139,13 +160,31 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return kinds, np.bincount(of, weights=np.concatenate(counts), minlength=len(kinds)).astype(np.int64)
 
 
-def log_probabilities(key: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+class Short:
+    """Counts of runs of up to three bytes, from those of three: (run, count), each run once and in order."""
+
+    def __init__(self, run: np.ndarray, count: np.ndarray):
+        self.run, self.count = run, count.astype(np.float64)
+        pair = np.bincount(run & 0xFFFF, weights=self.count, minlength=1 << 16)
+        self.one = pair.reshape(256, 256)
+        self.zero = self.one.sum(axis=0)
+        sums = lambda w: np.bincount(run >> 8, weights=w, minlength=1 << 16)
+        # per context of two bytes: its count, its different bytes, and how often these follow the second alone
+        self.total, self.distinct, self.mass = sums(self.count), sums(self.count > 0), sums(np.where(self.count > 0, pair[run & 0xFFFF], 0))
+
+    def of(self, run: np.ndarray) -> np.ndarray:
+        if not len(self.run):
+            return np.zeros(len(run))
+        at = np.minimum(np.searchsorted(self.run, run), len(self.run) - 1)
+        return np.where(self.run[at] == run, self.count[at], 0)
+
+
+def log_probabilities(key: np.ndarray, n: np.ndarray, short: Short) -> np.ndarray:
     """log10 of the probability of each run's last byte after its context.
 
-    key, n: all runs of some shards (contexts that end in the same two bytes), with their counts, 0 for those only
-    asked for; pairs: counts of all pairs of bytes (65536 numbers)."""
-    one = pairs.reshape(256, 256)
-    zero = one.sum(axis=0)
+    key, n: all runs of some shards (contexts that end in the same three bytes), with their counts, 0 for those only
+    asked for."""
+    one, zero = short.one, short.zero
     seen_zero = zero > 0
     out, open_ = np.zeros(len(key)), np.ones(len(key), dtype=bool)
     longer_distinct, longer_mass = np.zeros(len(key)), np.zeros(len(key))  # of the level above: what is excluded here
@@ -153,30 +192,32 @@ def log_probabilities(key: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.n
     def level(count: np.ndarray, total: np.ndarray, distinct: np.ndarray) -> None:
         nonlocal open_
         t, d = total - longer_mass, distinct - longer_distinct
-        live = open_ & (t + d > 0)
+        live = open_ & (t > 0)
         found = live & (count > 0)
-        out[found] += np.log10(count[found] / (t + d)[found])
-        escaped = live & ~found & (d > 0)
-        out[escaped] += np.log10(d[escaped] / (t + d)[escaped])
+        out[found] += np.log10((2 * count[found] - 1) / (2 * t[found]))
+        escaped = live & ~found
+        out[escaped] += np.log10(d[escaped] / (2 * t[escaped]))
         open_ = open_ & ~found
 
-    counts, contexts = {}, {}
-    for k in (4, 3, 2):
+    counts = {}
+    for k in range(ORDER, 2, -1):
         run, of = np.unique(key & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
         counts[k] = (run, of, np.bincount(of, weights=n, minlength=len(run)))
-    for k in (4, 3, 2):
+    for k in range(ORDER, 2, -1):
         run, of, count = counts[k]
         context, in_context = np.unique(run >> 8, return_inverse=True)
         total, distinct = np.bincount(in_context, weights=count), np.bincount(in_context, weights=count > 0)
         level(count[of], total[in_context][of], distinct[in_context][of])
-        if k > 2:
+        if k > 3:
             below_run, _, below_count = counts[k - 1]
             below = below_count[np.searchsorted(below_run, run & ((1 << 8 * k) - 1))]
         else:
-            below = one[run >> 8 & 255, run & 255]
+            below = short.of(run & 0xFFFFFF)
         mass = np.bincount(in_context, weights=np.where(count > 0, below, 0))
         longer_distinct, longer_mass = distinct[in_context][of], mass[in_context][of]
-    last, symbol = key >> 8 & 255, key & 255
+    two, last, symbol = key >> 8 & 0xFFFF, key >> 8 & 255, key & 255
+    level(short.of(key & 0xFFFFFF), short.total[two], short.distinct[two])
+    longer_distinct, longer_mass = short.distinct[two], short.mass[two]
     level(one[last, symbol], one.sum(axis=1)[last], (one > 0).sum(axis=1)[last])
     longer_distinct, longer_mass = (one > 0).sum(axis=1)[last], ((one > 0) * zero).sum(axis=1)[last]
     level(zero[symbol], np.full(len(key), zero.sum()), np.full(len(key), seen_zero.sum()))
@@ -227,13 +268,14 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     packed = picked.mapInArrow(pack, f"chunk long, ids array<{kind}>, train array<boolean>, texts array<binary>")
     chunks = scratch.keep_bucketed(packed, "chunk", n_parts)
 
-    def blocks(chunk: int | None, keys: np.ndarray, *others: np.ndarray) -> list[pa.Array]:
-        """A row per bucket: its number, the chunk, and its part of each array, in the order of the keys."""
+    def blocks(chunk: int | None, keys: np.ndarray, other: np.ndarray) -> list[pa.Array]:
+        """A row per bucket: its number, the chunk, and its part of the keys and of the other numbers, packed, in the
+        order of the keys."""
         bucket = buckets_of(keys, n_buckets)
         order = np.argsort(bucket, kind="stable")
         kinds, first = np.unique(bucket[order], return_index=True)
-        offsets = pa.array(np.append(first, len(order)), pa.int32())
-        return [pa.array(kinds, pa.int32()), pa.array([chunk] * len(kinds), pa.int64()), *(pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (keys, *others))]
+        parts = [[pack(x) for x in np.split(of[order], first[1:])] for pack, of in ((pack_keys, keys), (in_planes, other))]
+        return [pa.array(kinds, pa.int32()), pa.array([chunk] * len(kinds), pa.int64()), *(pa.array(x, pa.binary()) for x in parts)]
 
     def ask(batches):
         for batch in batches:
@@ -246,7 +288,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                 word, of = np.unique(words, return_inverse=True)
                 word_counts = np.bincount(of[np.repeat(learn, in_text)], minlength=len(word))
                 key = np.concatenate([runs.key, word, np.array([END_TOKEN])])
-                n = np.concatenate([counts, word_counts, np.array([learn.sum()])]).astype(np.int32)
+                n = np.concatenate([counts, word_counts, np.array([learn.sum()])]).astype(np.int64)
                 del runs, texts
                 yield pa.RecordBatch.from_arrays(blocks(batch.column(0)[k].as_py(), key, n), names=["bucket", "chunk", "keys", "n"])
         give_back()
@@ -266,8 +308,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                     yield from out()
                     keys, counts, held = [], [], 0
                 at = bucket
-                keys.append(batch.column(1)[k].values.to_numpy())
-                counts.append(batch.column(2)[k].values.to_numpy())
+                keys.append(unpack_keys(batch.column(1)[k].as_py()))
+                counts.append(from_planes(batch.column(2)[k].as_py(), np.int64))
                 held += len(keys[-1])
                 if held > 1 << 22 and held > 2 * len(keys[0]):
                     (keys[:], counts[:]) = ([x] for x in summed(keys, counts))
@@ -276,15 +318,15 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             yield from out()
         give_back()
 
-    asked = scratch.keep(chunks.select("chunk", "train", "texts").mapInArrow(ask, "bucket int, chunk long, keys array<long>, n array<int>"))
-    totals = scratch.keep(asked.select("bucket", "keys", "n").repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(total, "key long, n long"))
+    # asked twice of the same chunks, which costs less than what was asked would take on disk
+    asked = chunks.select("chunk", "train", "texts").mapInArrow(ask, "bucket int, chunk long, keys binary, n binary")
+    totals = scratch.keep(asked.select("bucket", "keys", "n").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(total, "key long, n long"))
     scratch.tidy()
     base = totals.where("key < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("n") > 0, 1)), F.lit(0)).alias("v")).first()
-    pairs = np.zeros(1 << 16)  # at most 65536 rows, whatever the corpus
-    for row in totals.where("key >= 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect():
-        pairs[row.pair] = row.n
-    held = spark.sparkContext.broadcast(pairs)
-    value_kind = "bucket int, chunk long, keys array<long>, value array<double>"
+    runs = totals.where("key >= 0")
+    shortest = runs.where("n > 0").groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("run")).agg(F.sum("n").alias("n")).toArrow().sort_by("run")  # 2 ** 24 rows at most
+    held = spark.sparkContext.broadcast(Short(shortest.column("run").to_numpy(), shortest.column("n").to_numpy()))
+    value_kind = "bucket int, chunk long, keys binary, value binary"
 
     def answer(batches):
         """Probabilities of the runs, which come sorted by shard; whole shards are worked out together."""
@@ -300,8 +342,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         for batch in batches:
             key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if n_held >= shard_keys:  # up to the last shard that is sure to be whole
-                shard = key >> 8 & 0xFFFF
-                last = parts[-1][0][-1] >> 8 & 0xFFFF
+                shard = key >> 8 & 0xFFFFFF
+                last = parts[-1][0][-1] >> 8 & 0xFFFFFF
                 cut = len(key) if (shard == last).all() else int(np.argmax(shard != last))
                 if cut < len(key):
                     yield from out([*parts, (key[:cut], n[:cut])])
@@ -316,6 +358,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays(blocks(None, batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float64)), names=["bucket", "chunk", "keys", "value"])
+        give_back()
 
     def reply(batches):
         """Per bucket, first the values of its keys, then the chunks' blocks: each gets its values."""
@@ -324,24 +367,23 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             for k, (bucket, chunk) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 if bucket != at:
                     keys, values, at, known = [], [], bucket, None
-                wanted = batch.column(2)[k].values.to_numpy()
+                wanted = unpack_keys(batch.column(2)[k].as_py())
                 if chunk is None:
-                    keys.append(wanted.copy())
-                    values.append(batch.column(3)[k].values.to_numpy().copy())
+                    keys.append(wanted)
+                    values.append(from_planes(batch.column(3)[k].as_py(), np.float64))
                     continue
                 if known is None:
                     order = np.argsort(flat := np.concatenate(keys))
                     known, value = flat[order], np.concatenate(values)[order]
                     keys, values = [], []
-                found = pa.array(value[np.searchsorted(known, wanted)])
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(wanted)], pa.int32()), found)], names=["chunk", "bucket", "value"])
+                found = in_planes(value[np.searchsorted(known, wanted)])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket], pa.int32()), pa.array([found], pa.binary())], names=["chunk", "bucket", "value"])
         give_back()
 
-    shard = F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF)
-    runs = totals.where("key >= 0").repartition(n_parts, shard).sortWithinPartitions(shard).mapInArrow(answer, value_kind)
-    values = runs.unionByName(totals.where("key < 0").mapInArrow(word_values, value_kind))
-    both = values.unionByName(asked.select("bucket", "chunk", "keys", F.lit(None).cast("array<double>").alias("value")))
-    answers = both.repartition(n_parts, "bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first()).mapInArrow(reply, "chunk long, bucket int, value array<double>")
+    shard = F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFFFF)
+    values = runs.repartition(shard).sortWithinPartitions(shard).mapInArrow(answer, value_kind).unionByName(totals.where("key < 0").mapInArrow(word_values, value_kind))
+    both = values.unionByName(asked.select("bucket", "chunk", "keys", F.lit(None).cast("binary").alias("value")))
+    answers = both.repartition("bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first()).mapInArrow(reply, "chunk long, bucket int, value binary")
     per_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "value")).alias("told"))
     denominator = float(np.log10(base.n + 0.5 * (base.v + 1)))
     train_tokens = int(base.n)
@@ -357,7 +399,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                 told = batch.column(2)[k].values
                 parts, order = told.field(1), np.argsort(buckets_of(key, n_buckets), kind="stable")
                 value = np.empty(len(key))
-                value[order] = np.concatenate([parts[j].values.to_numpy() for j in np.argsort(told.field(0).to_numpy()).tolist()])
+                value[order] = np.concatenate([from_planes(parts[j].as_py(), np.float64) for j in np.argsort(told.field(0).to_numpy()).tolist()])
                 past = np.cumsum(sizes)
                 logs, a = np.empty(len(texts)), 0
                 while a < len(texts):  # some texts at a time

@@ -235,23 +235,23 @@ def test_ppm_against_plain_tries(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     learned = [t for i, t in rows if i % 5 != 1]
     counts = collections.Counter()
-    tries = [collections.defaultdict(collections.Counter) for _ in range(5)]
+    tries = [collections.defaultdict(collections.Counter) for _ in range(6)]
     for t in learned:
         counts.update([*(t or "").encode().lower().split(), "end"])
-        b = b"\xfe" * 4 + (t or "").encode() + b"\xff"
-        for k in range(5):
-            for a in range(4, len(b)):
+        b = b"\xfe" * 5 + (t or "").encode() + b"\xff"
+        for k in range(6):
+            for a in range(5, len(b)):
                 tries[k][b[a - k : a]][b[a]] += 1
     n, v = sum(counts.values()), len(counts)
 
     def log_p(context, symbol):
         out, excluded = 0.0, set()
-        for k in (4, 3, 2, 1, 0):
-            here = {s: c for s, c in tries[k].get(context[4 - k :], {}).items() if s not in excluded}
+        for k in (5, 4, 3, 2, 1, 0):
+            here = {s: c for s, c in tries[k].get(context[5 - k :], {}).items() if s not in excluded}
             if here:
-                total = sum(here.values()) + len(here)
+                total = 2 * sum(here.values())
                 if symbol in here:
-                    return out + math.log10(here[symbol] / total)
+                    return out + math.log10((2 * here[symbol] - 1) / total)
                 out += math.log10(len(here) / total)
                 excluded |= set(here)
         return out - math.log10(256 - len(excluded))
@@ -259,9 +259,9 @@ def test_ppm_against_plain_tries(spark):
     expected = collections.Counter()
     for i, t in rows:
         tokens = [*(t or "").encode().lower().split(), "end"]
-        b = b"\xfe" * 4 + (t or "").encode() + b"\xff"
+        b = b"\xfe" * 5 + (t or "").encode() + b"\xff"
         base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)
-        score = sum(log_p(b[a - 4 : a], b[a]) for a in range(4, len(b)))
+        score = sum(log_p(b[a - 5 : a], b[a]) for a in range(5, len(b)))
         expected[i, len(tokens), sum(counts[w] > 0 for w in tokens), n, round(base, 6), round(score, 6)] += 1
     got = ppm.score_texts(df, F.col("doc_id") % 5 != 1, chunk_bytes=300).collect()
     assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == expected
