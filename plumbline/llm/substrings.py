@@ -280,7 +280,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         )
 
     emitted = mapped(source, emit, f"key long, often boolean, s1 long, s2 long, n long, size long, content array<long>, ids array<{kind}>, hashes array<long>, firsts array<long>", 8 << 20)
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     names = ["_id", "_hash", "a", "b", "w1", "w2", "n"]
     kinds = f"_id {kind}, _hash long, a long, b long, w1 long, w2 long, n long"
 
@@ -378,7 +377,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             yield flush()
         give_back()
 
-    dealt = emitted.repartition(n_parts, "key").sortWithinPartitions("key", "s1", "s2")
+    dealt = emitted.repartition("key").sortWithinPartitions("key", "s1", "s2")
     found = scratch.keep(dealt.mapInArrow(search, kinds))
     scratch.tidy()
     each = found.where("w1 is not null")
