@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 import zlib
@@ -92,9 +93,11 @@ class Scratch:
         return out
 
     def tidy(self) -> None:
-        """Lets Spark remove the shuffle files of finished steps."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Lets Spark remove the shuffle files of finished steps: its cleaner looks for plans that nothing refers to."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
