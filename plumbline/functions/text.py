@@ -59,10 +59,10 @@ def command_for(template: Column, path: Column, ranges: Column) -> Column:
 
 def summary(output: Column, command: Column) -> Column:
     """At most the first 20 lines of the trimmed output, and a note on the rest."""
-    all_lines = lines(trimmed(output))
-    hidden = F.size(all_lines) - MAX_SUMMARY_LINES
+    whole = F.replace(trimmed(output), F.lit("\r\n"), F.lit("\n"))
+    hidden = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1 - MAX_SUMMARY_LINES
     note = F.concat(F.lit("\n… "), hidden.cast("string"), F.lit(" more line(s) truncated — see everything, run: "), command)
-    return F.when(hidden <= 0, F.array_join(all_lines, "\n")).otherwise(F.concat(F.array_join(F.slice(all_lines, 1, MAX_SUMMARY_LINES), "\n"), note))
+    return F.when(hidden <= 0, whole).otherwise(F.concat(F.substring_index(whole, "\n", MAX_SUMMARY_LINES), note))
 
 
 def described(message: Column, output: Column, command: Column) -> Column:

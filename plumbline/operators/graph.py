@@ -82,10 +82,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found.join(sizes, "component").join(own, "node", "left").where("size > 1 or loop").select("node", "component", "size")
 
 
-def cycle_findings(edges: DataFrame) -> DataFrame:
+def cycle_findings(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """(component, members, file, line): each cycle's members in order, the first again at the end, at its first
     edge out of the first member into the cycle."""
-    nodes = strong_components(edges)
+    nodes = strong_components(edges) if components is None else components
     members = nodes.groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("m"))
     inside = edges.join(nodes.select(F.col("node").alias("dst"), F.col("component")), "dst").where("src = component")
     first = inside.groupBy("component").agg(F.min(F.struct("file", "line")).alias("at"))
@@ -98,13 +98,13 @@ def layering_violations(edges: DataFrame, layers: list[str]) -> DataFrame:
     return ranked.where("to_layer < from_layer")
 
 
-def architecture_findings(name: str, nodes: DataFrame, edges: DataFrame, layers: list[str] = ()) -> DataFrame:
+def architecture_findings(name: str, nodes: DataFrame, edges: DataFrame, layers: list[str] = (), components: DataFrame | None = None) -> DataFrame:
     """(checker, file, line, message) of one architecture checker over an import graph (node; src, dst, file, line).
-    Findings that belong to no one import have neither file nor line."""
+    Findings that belong to no one import have neither file nor line. components: those of the edges, if they are known."""
     told = lambda df, file, line, *message: df.select(F.lit(name).alias("checker"), file.alias("file"), line.cast("int").alias("line"), F.concat(*message).alias("message"))
     none = F.lit(None)
     if name == "import-cycles":
-        return told(cycle_findings(edges), F.col("file"), F.col("line"), F.lit("import cycle: "), "members")
+        return told(cycle_findings(edges, components), F.col("file"), F.col("line"), F.lit("import cycle: "), "members")
     if name == "layering":
         at = lambda c: F.get(F.array(*[F.lit(x) for x in layers]), F.col(c))
         found = layering_violations(edges, list(layers)) if layers else edges.withColumn("from_layer", F.lit(0)).withColumn("to_layer", F.lit(0)).where("false")
@@ -127,7 +127,7 @@ def coupling(nodes: DataFrame, edges: DataFrame, distinct: bool = False, limit:
     return all_.withColumn("high", (F.col("fan_out") > limit) | (F.col("fan_in") > limit))
 
 
-def diagram_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def diagram_lines(nodes: DataFrame, edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """(part, ord, text): lines of a diagram. A graph of no node, or of over MAX_DIAGRAM_NODES, is one note, which
     is decided before anything is numbered; so numbering in one task never sees more than such a graph."""
     from pyspark.sql import Window
@@ -138,7 +138,7 @@ def diagram_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         note = "no edges to draw" if n == 0 else f"more than {MAX_DIAGRAM_NODES} nodes: choose a narrower scope"
         return spark.createDataFrame([(0, 0, note)], "part int, ord long, text string")
     order = lambda *c: (F.row_number().over(Window.orderBy(*c)) - 1).cast("long")
-    cyclic = strong_components(edges).select("node")
+    cyclic = (strong_components(edges) if components is None else components).select("node")
     named = nodes.select("node").distinct()
     head = spark.createDataFrame([(0, 0, "graph TD")], "part int, ord long, text string")
     boxes = named.select(F.lit(1).alias("part"), order("node").alias("ord"), F.concat(F.lit("    "), diagram_id(F.col("node")), F.lit('["'), "node", F.lit('"]')).alias("text"))

@@ -111,21 +111,29 @@ def _base(head: DataFrame, checks: list[dict], trigger: str, ranges: DataFrame |
     return scoped.select("path", "check_name", (inserted | F.col("passed")).alias("passed"))
 
 
-def architecture_results(files: DataFrame, config: dict, trigger: str, root: str, head: DataFrame | None = None) -> DataFrame:
-    """Results of the architecture checks over the import graph of all files; root stands for their path."""
+Graph = tuple[DataFrame, DataFrame, DataFrame]
+
+
+def built_graph(files: DataFrame) -> Graph:
+    """Nodes, edges and components of the import graph, written once: several searches read them."""
+    nodes, edges = (graph._settled(files.sparkSession, x) for x in rules.import_graph(files.where("source is not null")))
+    return nodes, edges, graph.strong_components(edges)
+
+
+def architecture_results(files: DataFrame, config: dict, trigger: str, root: str, head: DataFrame | None = None, built: Graph | None = None) -> DataFrame:
+    """Results of the architecture checks over the import graph of all files; root stands for their path. built: the
+    graph of the files, if it is there already."""
     _, whole = split_checks(config)
     own = [c for c in whole if c.get("architecture_checker") and (not c.get("triggers") or trigger in c["triggers"])]
     spark = files.sparkSession
     layers = config.get("architecture", {}).get("layers", [])
 
-    def judged(of: DataFrame) -> DataFrame:
-        nodes, edges = rules.import_graph(of.where("source is not null"))
-        # the graph is read by several searches; it is as small as the imports are
-        nodes, edges = graph._settled(spark, nodes), graph._settled(spark, edges)
+    def judged(of: DataFrame, known: Graph | None = None) -> DataFrame:
+        nodes, edges, components = known or built_graph(of)
         out = spark.createDataFrame([(c["name"],) for c in own], "check_name string")
         found = None
         for c in own:
-            one = graph.architecture_findings(c["architecture_checker"], nodes, edges, layers).withColumn("check_name", F.lit(c["name"]))
+            one = graph.architecture_findings(c["architecture_checker"], nodes, edges, layers, components).withColumn("check_name", F.lit(c["name"]))
             found = one if found is None else found.unionByName(one)
         line = F.concat_ws(": ", F.concat_ws(":", "file", F.col("line").cast("string")), "message")
         told = found.withColumn("told", F.when(F.col("file").isNull(), F.col("message")).otherwise(line))
@@ -134,7 +142,7 @@ def architecture_results(files: DataFrame, config: dict, trigger: str, root: str
 
     if not own:
         return spark.createDataFrame([], "path string, check_name string, severity string, passed boolean, output string, message string, command string")
-    now = judged(files).select("*", _of(own, "severity").alias("severity"), _of(own, "message").alias("message"), F.concat(F.lit("plumbline check architecture "), _of(own, "architecture_checker")).alias("command"))
+    now = judged(files, built).select("*", _of(own, "severity").alias("severity"), _of(own, "message").alias("message"), F.concat(F.lit("plumbline check architecture "), _of(own, "architecture_checker")).alias("command"))
     return settled(now, None if head is None else judged(head).select("path", "check_name", "passed"))
 
 
@@ -190,7 +198,8 @@ def assessment(files: DataFrame, config: dict, globs: list[str] = (), diagram: b
     spark = files.sparkSession
     own = files.where(in_scope(F.col("path"), list(globs)))
     whole = [c for c in split_checks(config)[1] if c.get("architecture_checker")]
-    arch = architecture_results(own, {**config, "checks": [{**c, "triggers": []} for c in whole]}, "batch", "")
+    built = built_graph(own) if whole or diagram else None
+    arch = architecture_results(own, {**config, "checks": [{**c, "triggers": []} for c in whole]}, "batch", "", built=built)
     levels = {c.get("checker"): c.get("severity", "advisory") for c in reversed(config.get("checks", []))}
     syntax = [{"name": n, "checker": n, "severity": levels.get(n, "advisory")} for n in rules.CHECKERS if n.startswith("syntax-rules")]
     found = arch.unionByName(native_results(own, syntax, "batch").select(*RESULT)).where("not passed")
@@ -203,8 +212,7 @@ def assessment(files: DataFrame, config: dict, globs: list[str] = (), diagram: b
     out = head.unionByName(lines).unionByName(advice.select(F.lit(2).alias("part"), F.col("check_name").alias("ord"), "text"))
     if not diagram:
         return out.unionByName(spark.createDataFrame([(3, "", "(no diagram asked for)")], "part int, ord string, text string"))
-    nodes, edges = rules.import_graph(own.where("source is not null"))
-    drawn = graph.diagram_lines(graph._settled(spark, nodes), graph._settled(spark, edges))
+    drawn = graph.diagram_lines(*built)
     return out.unionByName(drawn.select((F.col("part") + 3).alias("part"), F.lpad(F.col("ord").cast("string"), 9, "0").alias("ord"), "text"))
 
 
