@@ -44,8 +44,16 @@ def _source(language: str, n: Column, depth: Column, parameters: Column) -> Colu
     return F.concat(F.lit(opened), given, F.lit(rest), nested, F.repeat(F.lit("s();\n" if language != "go" else "s()\n"), n.cast("int")), closing, F.lit(tail))
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all cores before a source is written of each: a table of narrow rows is a file of one or two row
+    groups, and so would its sources be scanned by one or two tasks, however many they are."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, key)
+
+
 def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 53 + 1).alias("n"), (F.col("p_size") % 7).alias("depth"), (F.expr("p_partkey div 7") % 9).alias("parameters"), (F.col("p_partkey") % 7).alias("language"))
+    p = _dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", (F.col("p_partkey") % 53 + 1).alias("n"), (F.col("p_size") % 7).alias("depth"), (F.expr("p_partkey div 7") % 9).alias("parameters"), (F.col("p_partkey") % 7).alias("language"))
     source = F.coalesce(*[F.when(F.col("language") == k, _source(x, F.col("n"), F.col("depth"), F.col("parameters"))) for k, x in enumerate(LANGUAGES)])
     suffix = F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), F.col("language").cast("int") + 1)
     return p.select(F.concat(F.lit("src/f"), F.col("p_partkey").cast("string"), F.lit("."), suffix).alias("path"), source.alias("source"))

@@ -3,6 +3,7 @@
 import json
 import random
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -232,6 +233,29 @@ def test_nesting_body_and_chains(language):
         assert scan.functions(language, "def f(a, b, /, c, *, d, e):\n    pass\n")[0].parameters == 5
 
 
+def test_brackets_are_paired_in_one_pass():
+    ts = scan.tokens("f(" * 20_000 + "]" + ")" * 20_000 + "{")
+    began = time.perf_counter()
+    assert [scan.closing(ts, 2 * k + 1) for k in range(20_000)] == list(range(60_000, 40_000, -1)) and scan.closing(ts, len(ts) - 1) == len(ts) - 1
+    assert time.perf_counter() - began < 5  # a search from each bracket takes minutes
+
+
+def test_tokens_of_odd_sources():
+    kinds = lambda source: [(t.kind, t.text, t.row) for t in scan.tokens(source)]
+    assert kinds('"a\n"') == [("string", '"a', 1), ("string", '"', 2)] and kinds('"ab\\') == [("sign", '"', 1), ("word", "ab", 1), ("sign", "\\", 1)]
+    assert kinds("/* a\n */ $x 1.5e3 ²a\n`b\n` => //") == [("word", "$x", 2), ("number", "1.5e3", 2), ("word", "²a", 2), ("string", "`b\n`", 3), ("sign", "=>", 4)]
+    assert [f.depth for f in scan.functions("javascript", ") => { if (a) { b() } }\nf(")] == [2]  # nothing opens the parameters
+
+
+@pytest.mark.parametrize("facts", [source_queries.syntax_facts])
+def test_sources_are_scanned_on_all_cores(spark, facts, monkeypatch):
+    counts = []
+    scanned = rules._facts
+    monkeypatch.setattr(rules, "_facts", lambda files, *how: counts.append(files.select(F.spark_partition_id()).distinct().count()) or scanned(files, *how))
+    facts(spark, "/root/testdata/sf0.01")
+    assert min(n for n in counts if n) >= spark.sparkContext.defaultParallelism  # there are no files of other languages
+
+
 def test_parameter_counts():
     count = lambda language, source: scan.functions(language, source)[0].parameters
     assert count("go", "func f(a, b, c, d, e int) {}\n") == 5 and count("go", "func (s *S) f(a, b int, c ...string) (x int, err error) {\n}\n") == 3
