@@ -110,15 +110,16 @@ def go_facts(files: DataFrame) -> DataFrame:
     (open), bare errors. One pass over the sources."""
 
     def read(path, source):
-        found, comments = go.imports(source)
+        ts = scan.tokens(source)
+        found, comments = go.imports(ts)
         # a comment justifies the import on its row, or on the next row if it shares its own with no import
         rows = {r for r, _, _ in found}
         near = set(comments) | {r + 1 for r in comments if r not in rows}
-        out = [("parameters", r, kind, n) for r, n, kind in go.same_typed_parameters(source)]
-        out += [("ignored", r, "", 0) for r in go.ignored_errors(source)]
+        out = [("parameters", r, kind, n) for r, n, kind in go.same_typed_parameters(ts)]
+        out += [("ignored", r, "", 0) for r in go.ignored_errors(ts)]
         out += [("import", r, target, 0) for r, _, target in found]
         out += [("open", r, target, 0) for r, alias, target in found if alias == "_" and r not in near]
-        return out + [("bare", r, "", 0) for r in go.bare_errors(source)]
+        return out + [("bare", r, "", 0) for r in go.bare_errors(ts)]
 
     return _facts(files.where(extension() == "go"), read, "kind string, line int, text string, n int")
 

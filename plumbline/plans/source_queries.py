@@ -79,7 +79,7 @@ def _go_files(df: DataFrame, key: str) -> DataFrame:
         F.when(k % 2 == 0, "a, b string").otherwise("a string, n int"), F.lit(") error {\n\tv, "), F.when(k % 5 == 0, "_").otherwise("err"), F.lit(" := g()\n\tif err != nil {\n\t\treturn "),
         F.when(k % 4 == 0, "err").otherwise('fmt.Errorf("f: %w", err)'), F.lit('\n\t}\n\treturn fmt.Errorf("x: %w", v)\n}\n'),
     )
-    return df.select(F.concat(F.lit("go/"), k.cast("string"), F.lit(".go")).alias("path"), text.alias("source"))
+    return _dealt(df, key).select(F.concat(F.lit("go/"), k.cast("string"), F.lit(".go")).alias("path"), text.alias("source"))
 
 
 GO_RULES = ["primitive-obsession", "go-ignored-error", "go-blank-imports", "go-error-context"]
@@ -104,7 +104,7 @@ def _markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("# Part "), s(k), F.lit(" &amp; more\n\nSee [a][ref"), s(k % 3), F.lit("], [b][other] and [c](#part-"), s(k + k % 2), F.lit("--more).\n\n[ref0]: https://example.org/"), s(k), F.lit("\n[other]: "), s(k + 1), F.lit(".md#"),
         F.when(k % 5 == 0, "nowhere").otherwise(F.concat(F.lit("part-"), s(k + 1), F.lit("--more"))), F.lit("\n"),
     )
-    return table(spark, sf_dir, "customer").select(F.concat(F.lit("docs/"), s(k), F.lit(".md")).alias("path"), text.alias("source"))
+    return _dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(F.concat(F.lit("docs/"), s(k), F.lit(".md")).alias("path"), text.alias("source"))
 
 
 def markdown_link_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
