@@ -247,7 +247,7 @@ def test_tokens_of_odd_sources():
     assert [f.depth for f in scan.functions("javascript", ") => { if (a) { b() } }\nf(")] == [2]  # nothing opens the parameters
 
 
-@pytest.mark.parametrize("facts", [source_queries.syntax_facts, source_queries.syntax_rule_findings, source_queries.go_rule_findings])
+@pytest.mark.parametrize("facts", [source_queries.syntax_facts, source_queries.syntax_rule_findings, source_queries.go_rule_findings, source_queries.batch_run])
 def test_sources_are_scanned_on_all_cores(spark, facts, monkeypatch):
     counts = []
     scanned = rules._facts
