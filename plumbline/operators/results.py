@@ -95,7 +95,12 @@ def diagnostics(results: DataFrame, path: str = "path") -> DataFrame:
 def joined_output(findings: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
     """(keys, path, output): findings as lines `path:line: message`, by line."""
     told = F.array_sort(F.collect_list(F.struct("line", "message")))  # in the order of lines
-    return findings.groupBy(*keys, path).agg(F.array_join(F.transform(told, lambda x: F.concat_ws("", F.col(path), F.lit(":"), x["line"].cast("string"), F.lit(": "), x["message"])), "\n").alias("output"))
+    return findings.groupBy(*keys, path).agg(output_lines(F.col(path), told).alias("output"))
+
+
+def output_lines(path: Column, told: Column) -> Column:
+    """An array of struct(line, message) as lines `path:line: message`."""
+    return F.array_join(F.transform(told, lambda x: F.concat_ws("", path, F.lit(":"), x["line"].cast("string"), F.lit(": "), x["message"])), "\n")
 
 
 def rollup(parts: dict[str, DataFrame]) -> DataFrame:

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.text import in_scope, lines
 
 
+def started(checks: list[dict], trigger: str) -> list[dict]:
+    """The checks that the trigger starts; one that names no trigger is started by any."""
+    return [c for c in checks if not c.get("triggers") or trigger in c["triggers"]]
+
+
 def selected_checks(files: DataFrame, checks: list[dict], trigger: str, path: str = "path") -> DataFrame:
     """files x check_name for the checks that the trigger starts and whose scope holds the path. checks is the
     configuration (small by nature); scopes become one predicate per check, so no join is needed."""
-    parts = []
-    for check in checks:
-        if not check.get("triggers") or trigger in check["triggers"]:
-            parts.append(F.when(in_scope(F.col(path), check.get("scope", [])), F.lit(check["name"])))
+    parts = [F.when(in_scope(F.col(path), c.get("scope", [])), F.lit(c["name"])) for c in started(checks, trigger)]
     if not parts:
         return files.withColumn("check_name", F.lit("")).where("false")
     return files.withColumn("check_name", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())))

@@ -108,10 +108,13 @@ def cached_run(files: DataFrame, cached: DataFrame, trigger: str, config_stamp:
 def with_baseline(current: DataFrame, head: DataFrame, keys: list[str]) -> DataFrame:
     """current (passed, severity) against the same checks at the base revision: a blocking failure that was there
     already is advisory; an unknown base changes nothing."""
-    base = head.select(*keys, F.col("passed").alias("_base"))
+    return downgraded(current.join(head.select(*keys, F.col("passed").alias("base_passed")), keys, "left"))
+
+
+def downgraded(judged: DataFrame) -> DataFrame:
+    """judged (passed, severity, base_passed) with a blocking failure that was there already as advisory."""
     failed = ~F.col("passed") & (F.col("severity") == "blocking")
-    out = current.join(base, keys, "left")
-    return out.withColumn("severity", F.when(failed & F.coalesce(~F.col("_base"), F.lit(False)), F.lit("advisory")).otherwise(F.col("severity"))).withColumnRenamed("_base", "base_passed")
+    return judged.withColumn("severity", F.when(failed & F.coalesce(~F.col("base_passed"), F.lit(False)), F.lit("advisory")).otherwise(F.col("severity")))
 
 
 def pre_existing(after: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:

@@ -77,6 +77,34 @@ def test_what_the_base_has_too_is_advisory(spark):
     assert rows_of(run.file_results(tree.where("path = 'a.go'"), config, "batch", changed, head, hunks), "path", "severity") == [("a.go", "advisory")]
 
 
+def test_a_run_asks_only_what_counts(spark, monkeypatch):
+    asked, found = [], rules.findings_of
+    monkeypatch.setattr(rules, "findings_of", lambda files, names: asked.append(names) or found(files, names))
+    checks = [{"name": "errors", "checker": "go-ignored-error", "severity": "blocking"}, {"name": "params", "checker": "primitive-obsession", "scope": ["*.go"]}, {"name": "more", "checker": "primitive-obsession", "scope": ["b/*"]}, {"name": "imports", "checker": "go-blank-imports", "triggers": ["edit"]}, {"name": "links", "checker": "markdown-link-integrity"}]
+    tree = files(spark, {"a.go": BAD, "b/b.go": BAD, "c/c.go": BAD, "d.md": "[x][y]\n", "e.go": None})
+    got = run.file_results(tree, {"checks": checks}, "batch", head=tree.where("path <> 'b/b.go'"))
+    assert asked == [["go-ignored-error", "markdown-link-integrity", "primitive-obsession"], ["go-ignored-error"]]  # a base changes blocking checks only
+    assert "check_name" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x)  # rows of checks aren't dealt
+    assert rows_of(got.where("not passed"), "path", "check_name", "severity", "output") == [
+        ("a.go", "errors", "advisory", "a.go:4: the last result, an error by convention, is ignored"), ("a.go", "params", "advisory", "a.go:3: 2 parameters in a row of type string"),
+        ("b/b.go", "errors", "blocking", "b/b.go:4: the last result, an error by convention, is ignored"), ("b/b.go", "more", "advisory", "b/b.go:3: 2 parameters in a row of type string"),
+        ("c/c.go", "errors", "advisory", "c/c.go:4: the last result, an error by convention, is ignored"), ("d.md", "links", "advisory", "d.md:1: undefined reference: y"),
+        ("e.go", "errors", "advisory", "can't read e.go"), ("e.go", "params", "advisory", "can't read e.go"),
+    ]
+    assert rows_of(got.where("passed"), "path", "check_name") == [("a.go", "links"), ("b/b.go", "links"), ("c/c.go", "links"), ("d.md", "errors"), ("e.go", "links")]
+    mild = run.file_results(tree, {"checks": checks[1:2]}, "batch", head=tree)
+    assert {r.severity for r in mild.collect()} == {"advisory"} and mild.count() == 2 and asked[2:] == [["primitive-obsession"]]
+
+
+def test_go_facts_of_the_kinds_asked_for(spark):
+    source = 'package p\n\nimport (\n\t_ "a"\n\t"b"\n)\n\nfunc f(a, b string) {\n\tv, _ := g()\n\tif err != nil { return err }\n\treturn fmt.Errorf("%w", err)\n}\n'
+    every = rows_of(rules.go_facts(files(spark, {"x.go": source})), "kind", "line", "text", "n")
+    assert every == [("bare", 10, "", 0), ("ignored", 9, "", 0), ("import", 4, "a", 0), ("import", 5, "b", 0), ("open", 4, "a", 0), ("parameters", 8, "string", 2)]
+    for kind in {k for k, *_ in every}:
+        assert rows_of(rules.go_facts(files(spark, {"x.go": source}), (kind,)), "kind", "line", "text", "n") == [r for r in every if r[0] == kind]
+    assert rows_of(rules.go_findings(files(spark, {"x.go": source}), ["go-blank-imports"]), "rule", "line") == [("go-blank-imports", 4)]
+
+
 GO_CYCLE = {"go.mod": "module m\n", "ui/u.go": 'package ui\n\nimport "m/core"\n', "core/c.go": 'package core\n\nimport (\n\t"fmt"\n\t"m/ui"\n)\n'}
 
 
